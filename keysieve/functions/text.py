@@ -105,3 +105,30 @@ def fold_emit(
         finish,
     )
     return F.when(F.size(items) > 0, folded).otherwise(empty)
+
+
+def cut(text: Column, offsets: Column) -> Column:
+    """Pieces of the text between consecutive ascending offsets, the first from 0.
+
+    The text behind the last offset is left out. Cut block by block: taking
+    each piece from the whole text would walk the text once per piece.
+    ``offsets`` should be a plain column, as it is used many times.
+    """
+
+    def at(index: Column) -> Column:
+        return F.when(index < 0, F.lit(0)).otherwise(F.get(offsets, index))
+
+    def block_pieces(block: Column) -> Column:
+        low = at(block * BLOCK - 1)
+        last = F.least(block * BLOCK + BLOCK, F.size(offsets)) - 1
+        return let(
+            F.substring(text, low + 1, at(last) - low),
+            lambda part: F.transform(
+                F.sequence(block * BLOCK, last),
+                lambda i: F.substring(part, at(i - 1) - low + 1, at(i) - at(i - 1)),
+            ),
+        )
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(offsets) - 1) / BLOCK).cast("int"))
+    empty = F.array().cast("array<string>")
+    return F.when(F.size(offsets) > 0, F.flatten(F.transform(blocks, block_pieces))).otherwise(empty)

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.catalog import Catalog, Rule, default_catalog
-from keysieve.functions.text import BLOCK, fold_emit, let, redact, units
+from keysieve.functions.reuse import built_once
+from keysieve.functions.text import cut, fold_emit, let, redact, units
 
 SPAN = "struct<start:int,end:int,rule_order:int,value:string>"
 _WORK = "__ks_"
@@ -71,39 +72,29 @@ def _yield_to(accepted: Column, order: Column, spans: Column) -> Column:
     return let(F.sort_array(F.concat(accepted, spans)), sweep)
 
 
-def has_candidate(text: Column, catalog: Catalog | None = None) -> Column:
-    """True when at least one rule matches somewhere in the text."""
-    rules = (catalog or default_catalog()).rules
-    return reduce(lambda a, b: a | b, [rule.matches(text) for rule in rules], F.lit(False))
+@built_once
+def _candidate(catalog: Catalog) -> Column:
+    return reduce(lambda a, b: a | b, [rule.matches(F.col("text")) for rule in catalog.rules], F.lit(False))
 
 
-def annotate_spans(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
-    """Add ``spans``: accepted spans of each text in start order (empty, never null).
+def with_candidates(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """Only files in which some rule matches; the rest leave right after the scan."""
+    return files.filter(_candidate(catalog or default_catalog()))
 
-    Offsets are half-open and count code points. Keeps every input row.
-    """
-    catalog = catalog or default_catalog()
+
+@built_once
+def _span_steps(catalog: Catalog) -> tuple[tuple[Column, ...], ...]:
+    """Columns to add in each step of :func:`annotate_spans`."""
     numbered = list(enumerate(catalog.rules, start=1))
     text = F.col("text")
-    kept = files.columns
 
-    # One select per step: an expression used several times in the next step
-    # stays a column there instead of being evaluated again.
-    found = files.select(
-        *kept,
-        *[
-            F.when(rule.may_match(text), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).alias(
-                f"{_WORK}m{i}"
-            )
-            for i, rule in numbered
-        ],
+    found = tuple(
+        F.when(rule.may_match(text), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).alias(f"{_WORK}m{i}")
+        for i, rule in numbered
     )
-    split = found.select(
-        "*",
-        *[
-            F.when(F.size(f"{_WORK}m{i}") > 0, F.split(text, rule.pattern, -1)).alias(f"{_WORK}g{i}")
-            for i, rule in numbered
-        ],
+    split = tuple(
+        F.when(F.size(f"{_WORK}m{i}") > 0, F.split(text, rule.pattern, -1)).alias(f"{_WORK}g{i}")
+        for i, rule in numbered
     )
 
     def rows_of(i: int, rule: Rule) -> Column:
@@ -112,22 +103,16 @@ def annotate_spans(files: DataFrame, catalog: Catalog | None = None) -> DataFram
         zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
         return F.when(gaps.isNotNull(), F.slice(zipped, F.lit(1), F.size(hits)))
 
-    matched = split.select(
-        *kept,
-        F.filter(
-            F.array(*[F.struct(F.lit(i).alias("rule"), rows_of(i, r).alias("rows")) for i, r in numbered]),
-            lambda entry: entry.getField("rows").isNotNull(),
-        ).alias(f"{_WORK}rows"),
+    matched = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("rule"), rows_of(i, r).alias("rows")) for i, r in numbered]),
+        lambda entry: entry.getField("rows").isNotNull(),
     )
-    per_rule = matched.select(
-        *kept,
-        F.transform(
-            f"{_WORK}rows",
-            lambda entry: F.struct(
-                entry.getField("rule").alias("rule"),
-                _spans_of(entry.getField("rule"), entry.getField("rows")).alias("spans"),
-            ),
-        ).alias(f"{_WORK}spans"),
+    per_rule = F.transform(
+        f"{_WORK}rows",
+        lambda entry: F.struct(
+            entry.getField("rule").alias("rule"),
+            _spans_of(entry.getField("rule"), entry.getField("rows")).alias("spans"),
+        ),
     )
 
     # Leading disjoint rules cannot collide: merge them in one go. Every later
@@ -139,75 +124,54 @@ def annotate_spans(files: DataFrame, catalog: Catalog | None = None) -> DataFram
     def of_rules(condition) -> Column:
         return F.filter(f"{_WORK}spans", lambda entry: condition(entry.getField("rule")))
 
-    merged = per_rule.select(
-        *kept,
-        F.sort_array(
-            F.flatten(F.transform(of_rules(lambda r: r <= max(head, 1)), lambda e: e.getField("spans")))
-        ).alias("spans"),
-        of_rules(lambda r: r > max(head, 1)).alias(f"{_WORK}rest"),
+    merged = F.sort_array(
+        F.flatten(F.transform(of_rules(lambda r: r <= max(head, 1)), lambda e: e.getField("spans")))
     )
-    return merged.select(
-        *kept,
-        F.aggregate(
-            F.col(f"{_WORK}rest"),
-            F.col("spans"),
-            lambda accepted, entry: _yield_to(accepted, entry.getField("rule"), entry.getField("spans")),
-        ).alias("spans"),
+    rest = of_rules(lambda r: r > max(head, 1))
+    resolved = F.aggregate(
+        F.col(f"{_WORK}rest"),
+        F.col(f"{_WORK}merged"),
+        lambda accepted, entry: _yield_to(accepted, entry.getField("rule"), entry.getField("spans")),
+    )
+    return (
+        found,
+        (*[F.col(f"{_WORK}m{i}") for i, _ in numbered], *split),
+        (matched.alias(f"{_WORK}rows"),),
+        (per_rule.alias(f"{_WORK}spans"),),
+        (merged.alias(f"{_WORK}merged"), rest.alias(f"{_WORK}rest")),
+        (resolved.alias("spans"),),
     )
 
 
-def _segments(text: Column, spans: Column) -> Column:
-    """Text between consecutive span starts (from the text's start for the first).
+def annotate_spans(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """Add ``spans``: accepted spans of each text in start order (empty, never null).
 
-    Cut block by block: taking each piece from the whole text would walk the
-    text once per span.
+    Offsets are half-open and count code points. Keeps every input row.
     """
-
-    def start_of(index: Column) -> Column:
-        return F.when(index < 0, F.lit(0)).otherwise(F.get(spans, index).getField("start"))
-
-    def block_pieces(block: Column) -> Column:
-        low = start_of(block * BLOCK - 1)
-        high = start_of(F.least(block * BLOCK + BLOCK, F.size(spans)) - 1)
-        members = F.sequence(block * BLOCK, F.least(block * BLOCK + BLOCK, F.size(spans)) - 1)
-        return F.flatten(
-            F.transform(
-                F.array(F.substring(text, low + 1, high - low)),
-                lambda part: F.transform(
-                    members,
-                    lambda i: F.substring(part, start_of(i - 1) - low + 1, start_of(i) - start_of(i - 1)),
-                ),
-            )
-        )
-
-    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
-    return F.when(F.size(spans) > 0, F.flatten(F.transform(blocks, block_pieces)))
+    # One select per step: an expression used several times in the next step
+    # stays a column there instead of being evaluated again.
+    kept = files.columns
+    for step in _span_steps(catalog or default_catalog()):
+        files = files.select(*kept, *step)
+    return files
 
 
 _PLACE = "struct<line:int,character:int,offset:int>"
 
 
-def annotate_places(files: DataFrame, utf16: bool = False) -> DataFrame:
-    """Add ``places``, parallel to ``spans``: 1-based line and character of each start.
-
-    A line ends at LF (with or without CR before it); a lone CR restarts the
-    character count without starting a line. ``utf16`` counts characters and
-    ``offset`` in UTF-16 units instead of code points.
-    """
-    kept = files.columns
-    pieces = files.select(*kept, _segments(F.col("text"), F.col("spans")).alias(f"{_WORK}p"))
-    measured = pieces.select(
-        *kept,
-        F.transform(
-            f"{_WORK}p",
-            lambda p: F.struct(
-                (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).alias("breaks"),
-                F.rlike(p, F.lit(r"[\r\n]")).alias("restarts"),
-                units(F.substring_index(F.translate(p, "\r", "\n"), "\n", -1), utf16).alias("tail"),
-                units(p, utf16).alias("units"),
-            ),
-        ).alias(f"{_WORK}q"),
-    )
+@built_once
+def _place_steps(utf16: bool) -> tuple[Column, ...]:
+    starts = F.transform("spans", lambda s: s.getField("start")).alias(f"{_WORK}o")
+    pieces = cut(F.col("text"), F.col(f"{_WORK}o")).alias(f"{_WORK}p")
+    measured = F.transform(
+        f"{_WORK}p",
+        lambda p: F.struct(
+            (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).alias("breaks"),
+            F.rlike(p, F.lit(r"[\r\n]")).alias("restarts"),
+            units(F.substring_index(F.translate(p, "\r", "\n"), "\n", -1), utf16).alias("tail"),
+            units(p, utf16).alias("units"),
+        ),
+    ).alias(f"{_WORK}q")
 
     def step(state: dict[str, Column], piece: Column) -> tuple[dict[str, Column], Column]:
         line = state["line"] + piece.getField("breaks")
@@ -219,12 +183,20 @@ def annotate_places(files: DataFrame, utf16: bool = False) -> DataFrame:
 
     start = {"line": F.lit(1), "column": F.lit(0), "offset": F.lit(0)}
     places = F.coalesce(fold_emit(F.col(f"{_WORK}q"), start, step, _PLACE), F.array())
-    return measured.select(*kept, places.alias("places"))
+    return starts, pieces, measured, places.alias("places")
 
 
-def _hit_files(files: DataFrame, catalog: Catalog) -> DataFrame:
-    """Only files in which some rule matches; the rest leave right after the scan."""
-    return files.filter(has_candidate(F.col("text"), catalog))
+def annotate_places(files: DataFrame, utf16: bool = False) -> DataFrame:
+    """Add ``places``, parallel to ``spans``: 1-based line and character of each start.
+
+    A line ends at LF (with or without CR before it); a lone CR restarts the
+    character count without starting a line. ``utf16`` counts characters and
+    ``offset`` in UTF-16 units instead of code points.
+    """
+    kept = files.columns
+    for step in _place_steps(utf16):
+        files = files.select(*kept, step)
+    return files
 
 
 def detect(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
@@ -232,7 +204,7 @@ def detect(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     ``ordinal, rule_order, start, end, value``."""
     catalog = catalog or default_catalog()
     kept = [c for c in files.columns if c != "text"]
-    spans = annotate_spans(_hit_files(files, catalog), catalog)
+    spans = annotate_spans(with_candidates(files, catalog), catalog)
     # Exploding an expression, not the bare column, keeps the optimizer from
     # repeating the whole span computation as a "size > 0" filter below.
     rows = spans.select(*kept, F.posexplode(F.arrays_zip("spans")).alias("ordinal", "item"))
@@ -247,7 +219,7 @@ def detect_located(files: DataFrame, catalog: Catalog | None = None, utf16: bool
     offsets and characters count UTF-16 units."""
     catalog = catalog or default_catalog()
     kept = [c for c in files.columns if c != "text"]
-    placed = annotate_places(annotate_spans(_hit_files(files, catalog), catalog), utf16)
+    placed = annotate_places(annotate_spans(with_candidates(files, catalog), catalog), utf16)
     rows = placed.select(*kept, F.posexplode(F.arrays_zip("spans", "places")).alias("ordinal", "item"))
     span, place = F.col("item.spans"), F.col("item.places")
     start = place["offset"] if utf16 else span["start"]
@@ -264,23 +236,32 @@ def detect_located(files: DataFrame, catalog: Catalog | None = None, utf16: bool
     )
 
 
-def describe(findings: DataFrame, catalog: Catalog | None = None) -> DataFrame:
-    """Add the rule's attributes and the redacted wording to detected rows."""
-    catalog = catalog or default_catalog()
+@built_once
+def _descriptions(catalog: Catalog) -> tuple[Column, ...]:
     order = F.col("rule_order")
     env_var = catalog.attribute("env_var", order)
-    return findings.select(
-        "*",
+    hidden = redact(F.col("value"))
+    return (
         catalog.attribute("provider", order).alias("provider"),
         catalog.attribute("secret_type", order).alias("secret_type"),
         catalog.attribute("severity", order).alias("severity"),
         env_var.alias("env_var"),
-        redact(F.col("value")).alias("redacted"),
-        F.concat(
-            catalog.attribute("headline", order),
-            F.lit(" Read it from process.env."), env_var, F.lit(" before you commit."),
-        ).alias("message"),
-        F.concat(
-            catalog.attribute("risk", order), F.lit(" Detected value: "), redact(F.col("value"))
-        ).alias("explanation"),
+        hidden.alias("redacted"),
+        message(catalog, order).alias("message"),
+        explanation(catalog, order, hidden).alias("explanation"),
     )
+
+
+def message(catalog: Catalog, order: Column) -> Column:
+    variable = catalog.attribute("env_var", order)
+    headline = catalog.attribute("headline", order)
+    return F.concat(headline, F.lit(" Read it from process.env."), variable, F.lit(" before you commit."))
+
+
+def explanation(catalog: Catalog, order: Column, redacted: Column) -> Column:
+    return F.concat(catalog.attribute("risk", order), F.lit(" Detected value: "), redacted)
+
+
+def describe(findings: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """Add the rule's attributes and the redacted wording to detected rows."""
+    return findings.select("*", *_descriptions(catalog or default_catalog()))
