@@ -186,7 +186,7 @@ class Catalog:
     def attribute(self, name: str, rule_order: Column) -> Column:
         """Rule attribute for a 1-based rule number, as a folded array literal (no join)."""
         values = F.array(*[F.lit(getattr(rule, name)) for rule in self.rules])
-        return F.element_at(values, rule_order)
+        return F.get(values, rule_order - 1)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The rules as a dimension table, one row per rule."""

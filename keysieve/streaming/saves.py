@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from keysieve.catalog import Catalog, default_catalog
 from keysieve.functions.paths import is_confined, is_supported
 from keysieve.operators.detect import annotate_spans, detect_located
-from keysieve.operators.history import fold_chunks, chunk_summaries
+from keysieve.operators.history import chunk_summaries, fold_chunks
 from keysieve.sources.shared import shared_folder
 
 SAVE_SCHEMA = "workspace string, path string, ts timestamp, seq bigint, kind string, text string"
@@ -81,7 +81,8 @@ class RunningStats:
 
     def update(self, events: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` function."""
-        chunks = chunk_summaries(events).withColumn("chunk", F.col("chunk").cast("bigint"))
+        summaries = chunk_summaries(events)
+        chunks = summaries.withColumns({n: F.col(n).cast(t) for n, t in (("workspace", "string"), ("chunk", "bigint"))})
         if batch_id > 0:
             # Earlier state enters as a chunk before all others: its fixes so
             # far, its open count as a scan at that point, its found as peak.
