@@ -8,6 +8,7 @@ own :class:`Rule` objects; no code runs per row for a rule.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,13 @@ SEVERITIES = ("critical", "high", "medium")
 # Regex building blocks, written so that java.util.regex agrees with the
 # ECMAScript meaning: ASCII word boundaries and the wider ECMAScript \s class.
 _QUOTE = "([\"'`])"
-_NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
-_NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
+_WORD = "[A-Za-z0-9_]"
 JS_SPACE = (
     r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+JS_SPACE_CHARACTERS = "".join(
+    map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+)
 _ASSIGN = f"[{JS_SPACE}]*[:=][{JS_SPACE}]*"
 
 # A run of at least eight UTF-16 units without quotes or line breaks. Java
@@ -43,17 +46,33 @@ def _quoted(body: str) -> str:
     return f"{_QUOTE}({body})\\1"
 
 
-def _named(names: str, body: str) -> str:
-    return f"(?i){_NOT_AFTER_WORD}(?:{names}){_NOT_BEFORE_WORD}{_ASSIGN}{_QUOTE}({body})\\1"
+def _any_case(letter: str) -> str:
+    return letter.lower() + letter.upper()
+
+
+def _named(names: tuple[str, ...], body: str) -> str:
+    """An assignment to one of the names (any case, whole word) of a quoted body.
+
+    The pattern starts with the class of possible first letters, so that most
+    positions of a text are passed over by one class test; the word boundary
+    and the rest of the name are checked only behind such a letter.
+    """
+    firsts = sorted({name[0] for name in names})
+    lead = "[" + "".join(map(_any_case, firsts)) + "]"
+    rests = "|".join(
+        f"(?<=[{_any_case(first)}])(?i:{'|'.join(n[1:] for n in names if n[0] == first)})" for first in firsts
+    )
+    return f"{lead}(?<!{_WORD}.)(?:{rests})(?!{_WORD}){_ASSIGN}{_QUOTE}({body})\\1"
 
 
 @dataclass(frozen=True)
 class Rule:
     """One credential shape.
 
-    ``literals``: the text must contain one of them for the rule to match at
-    all (case-sensitive); ``probe``: a cheap regex with the same role. Both are
-    optional and only save work.
+    Optional hints that only save work, each a necessary condition for a match:
+    ``after_quote``, a regex for what follows some quote character; ``words``,
+    of which the text contains one in any case; ``literals``, of which it
+    contains one as it stands.
 
     ``disjoint``: spans of this rule can never overlap a span of another
     disjoint rule, so overlap resolution may skip it.
@@ -67,24 +86,16 @@ class Rule:
     value_group: int
     headline: str
     risk: str
+    after_quote: str | None = None
+    words: tuple[str, ...] = ()
     literals: tuple[str, ...] = ()
-    probe: str | None = None
     disjoint: bool = False
 
     def may_match(self, text: Column) -> Column:
-        """Cheap necessary condition for a match."""
-        tests = [F.contains(text, F.lit(item)) for item in self.literals]
-        if self.probe:
-            tests.append(F.rlike(text, F.lit(self.probe)))
-        if not tests:
+        """Cheap necessary condition for a match of this rule."""
+        if not self.literals:
             return F.lit(True)
-        found = tests[0]
-        for test in tests[1:]:
-            found = found | test
-        return found
-
-    def matches(self, text: Column) -> Column:
-        return self.may_match(text) & F.rlike(text, F.lit(self.pattern))
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(item)) for item in self.literals])
 
 
 _BUILT_IN = (
@@ -95,7 +106,7 @@ _BUILT_IN = (
         pattern=_quoted(r"sk-ant-[A-Za-z0-9_-]{16,}"), value_group=2,
         headline="Anthropic API key written into source.",
         risk="Whoever holds this key can call models on the owner's account and run up its bill.",
-        literals=("sk-ant-",), disjoint=True,
+        after_quote="sk-ant-", literals=("sk-ant-",), disjoint=True,
     ),
     Rule(
         provider="openai", secret_type="OpenAI API key", severity="critical",
@@ -104,7 +115,7 @@ _BUILT_IN = (
         value_group=2,
         headline="OpenAI API key written into source.",
         risk="Whoever holds this key can use the API, read stored data and spend the owner's quota.",
-        literals=("sk-",), disjoint=True,
+        after_quote="sk-", literals=("sk-",), disjoint=True,
     ),
     Rule(
         provider="github", secret_type="GitHub personal access token", severity="critical",
@@ -113,7 +124,7 @@ _BUILT_IN = (
         value_group=2,
         headline="GitHub token written into source.",
         risk="The token opens repositories, workflow runs and organisation settings.",
-        literals=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), disjoint=True,
+        after_quote="gh[pousr]_|github_pat_", literals=("gh",), disjoint=True,
     ),
     Rule(
         provider="aws", secret_type="AWS access key ID", severity="high",
@@ -121,16 +132,16 @@ _BUILT_IN = (
         pattern=_quoted(r"(?:AKIA|ASIA)[0-9A-Z]{16}"), value_group=2,
         headline="AWS access key ID written into source.",
         risk="Together with its secret half the key ID gives access to cloud resources.",
-        literals=("AKIA", "ASIA"), disjoint=True,
+        after_quote="A[KS]IA", literals=("AKIA", "ASIA"), disjoint=True,
     ),
     Rule(
         provider="aws", secret_type="AWS secret access key", severity="critical",
         env_var="AWS_SECRET_ACCESS_KEY",
-        pattern=_named("aws_secret_access_key|secret_access_key", r"[A-Za-z0-9/+=]{40}"),
+        pattern=_named(("aws_secret_access_key", "secret_access_key"), r"[A-Za-z0-9/+=]{40}"),
         value_group=2,
         headline="AWS secret access key written into source.",
         risk="With the matching key ID this secret controls the cloud account.",
-        probe="[sS](?i:ecret_access_key)", disjoint=True,
+        words=("secret_access_key",), disjoint=True,
     ),
     Rule(
         provider="stripe", secret_type="Stripe API key", severity="critical",
@@ -138,7 +149,7 @@ _BUILT_IN = (
         pattern=_quoted(r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}"), value_group=2,
         headline="Stripe secret key written into source.",
         risk="The key can charge cards, send payouts and read customer payment records.",
-        literals=("k_live_", "k_test_"), disjoint=True,
+        after_quote="[sr]k_", literals=("k_",), disjoint=True,
     ),
     Rule(
         provider="slack", secret_type="Slack token", severity="high",
@@ -146,7 +157,7 @@ _BUILT_IN = (
         pattern=_quoted(r"xox[baprs]-[A-Za-z0-9-]{10,}"), value_group=2,
         headline="Slack token written into source.",
         risk="The token reads channels and posts messages as a member of the workspace.",
-        literals=("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"), disjoint=True,
+        after_quote="xox", literals=("xox",), disjoint=True,
     ),
     Rule(
         provider="google", secret_type="Google API key", severity="high",
@@ -154,7 +165,7 @@ _BUILT_IN = (
         pattern=_quoted(r"AIza[0-9A-Za-z_-]{35}"), value_group=2,
         headline="Google API key written into source.",
         risk="Without restrictions the key can call billed cloud and maps services.",
-        literals=("AIza",), disjoint=True,
+        after_quote="AIza", literals=("AIza",), disjoint=True,
     ),
     Rule(
         provider="generic", secret_type="Private key material", severity="critical",
@@ -167,11 +178,11 @@ _BUILT_IN = (
     Rule(
         provider="generic", secret_type="Hardcoded password assignment", severity="medium",
         env_var="APP_PASSWORD",
-        pattern=_named("password|passwd|pwd|secret", _EIGHT_UNITS + r"[^\"'`\r\n]+"),
+        pattern=_named(("password", "passwd", "pwd", "secret"), _EIGHT_UNITS + r"[^\"'`\r\n]+"),
         value_group=2,
         headline="Password-like value written into source.",
         risk="Passwords in source are hard to rotate and leak with every copy of the history.",
-        probe="[pPsS](?i:assw(?:or)?d|wd|ecret)",
+        words=("password", "passwd", "pwd", "secret"),
     ),
 )
 
@@ -183,6 +194,37 @@ class Catalog:
     def __post_init__(self) -> None:
         object.__setattr__(self, "rules", tuple(self.rules))
 
+    def may_match(self, text: Column) -> Column:
+        """Cheap necessary condition for a match of any rule.
+
+        All quote and word hints share one regex, so a text is read once. It
+        starts with a class of characters, which passes over most positions at
+        the cost of one test. The text is bound first: filters are pushed below
+        projections, and a computed text would be computed for every test.
+        """
+        leads = [rule.after_quote for rule in self.rules if rule.after_quote]
+        words = [word for rule in self.rules for word in rule.words]
+        # A word that starts with another one adds nothing.
+        words = sorted({w for w in words if not any(w != v and w.startswith(v) for v in words)})
+        plain = [rule for rule in self.rules if not rule.after_quote and not rule.words]
+
+        parts, firsts = [], ""
+        if words:
+            firsts += "".join(map(_any_case, sorted({w[0] for w in words})))
+            seconds = "".join(map(_any_case, sorted({w[1] for w in words})))
+            parts.append(f"(?=[{seconds}])(?i:{'|'.join(w[1:] for w in words)})")
+        if leads:
+            firsts += "\"'`"
+            parts.append(f"(?<=[\"'`])(?:{'|'.join(leads)})")
+
+        def tests(bound: Column) -> Column:
+            found = [rule.may_match(bound) for rule in plain]
+            if parts:
+                found.append(F.rlike(bound, F.lit(f"[{firsts}](?:{'|'.join(parts)})")))
+            return reduce(lambda a, b: a | b, found, F.lit(False))
+
+        return F.exists(F.array(text), tests)
+
     def attribute(self, name: str, rule_order: Column) -> Column:
         """Rule attribute for a 1-based rule number, as a folded array literal (no join)."""
         values = F.array(*[F.lit(getattr(rule, name)) for rule in self.rules])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,22 +18,29 @@ def _is_number(value: Column) -> Column:
     return F.rlike(_kind(value), F.lit(r"^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"))
 
 
-def recover_object(content: Column) -> Column:
-    """Whole text as JSON, else the stretch from the first ``{`` to the last ``}``.
+def with_object(rows: DataFrame, content: str, name: str) -> DataFrame:
+    """Add ``name``: the whole text as JSON, else the stretch from its first ``{`` to its last ``}``.
 
     Null when neither parses, or when the value is null, false, zero or "".
+    Each stage is a column of its own, so no text is parsed twice.
     """
-    whole = F.try_parse_json(content)
-    stretch = F.try_parse_json(F.nullif(F.regexp_extract(content, r"(?s)\{.*\}", 0), F.lit("")))
-    parsed = F.when(whole.isNotNull(), whole).otherwise(stretch)
-    plain = F.try_variant_get(parsed, "$", "string")
+    kept = rows.columns
+    stretch = F.nullif(F.regexp_extract(F.col(content), r"(?s)\{.*\}", 0), F.lit(""))
+    whole = rows.select(*kept, F.try_parse_json(content).alias("__whole"))
+    parsed = whole.select(
+        *kept,
+        F.when(F.col("__whole").isNotNull(), F.col("__whole")).otherwise(F.try_parse_json(stretch)).alias("__json"),
+    )
+    value = F.col("__json")
+    plain = F.try_variant_get(value, "$", "string")
+    kind = _kind(value)
     empty = (
-        _kind(parsed).isin("VOID")
-        | ((_kind(parsed) == "BOOLEAN") & (plain == "false"))
-        | ((_kind(parsed) == "STRING") & (plain == ""))
-        | (_is_number(parsed) & (F.try_variant_get(parsed, "$", "double") == 0))
+        (kind == "VOID")
+        | ((kind == "BOOLEAN") & (plain == "false"))
+        | ((kind == "STRING") & (plain == ""))
+        | (_is_number(value) & (F.try_variant_get(value, "$", "double") == 0))
     )
-    return F.when(~F.coalesce(empty, F.lit(False)), parsed)
+    return parsed.select(*kept, F.when(~F.coalesce(empty, F.lit(False)), value).alias(name))
 
 
 def text_at(parsed: Column, name: str) -> Column:

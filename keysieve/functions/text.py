@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keysieve.catalog import JS_SPACE
+from keysieve.catalog import JS_SPACE_CHARACTERS
 
 # Arrays are folded in blocks of this many elements (see ``fold_emit``).
 BLOCK = 256
@@ -15,7 +15,7 @@ BLOCK = 256
 
 def js_trim(value: Column) -> Column:
     """Trim the ECMAScript white space set, which is wider than SQL ``trim``."""
-    return F.regexp_replace(value, f"^[{JS_SPACE}]+|[{JS_SPACE}]+\\z", "")
+    return F.btrim(value, F.lit(JS_SPACE_CHARACTERS))
 
 
 def or_default(value: Column, default: Column) -> Column:

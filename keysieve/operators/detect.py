@@ -10,8 +10,6 @@ plus lengths of matches 0..i-1.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +72,11 @@ def _yield_to(accepted: Column, order: Column, spans: Column) -> Column:
 
 @built_once
 def _candidate(catalog: Catalog) -> Column:
-    return reduce(lambda a, b: a | b, [rule.matches(F.col("text")) for rule in catalog.rules], F.lit(False))
+    return catalog.may_match(F.col("text"))
 
 
 def with_candidates(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
-    """Only files in which some rule matches; the rest leave right after the scan."""
+    """Only files in which some rule may match; the rest leave right after the scan."""
     return files.filter(_candidate(catalog or default_catalog()))
 
 
@@ -88,8 +86,9 @@ def _span_steps(catalog: Catalog) -> tuple[tuple[Column, ...], ...]:
     numbered = list(enumerate(catalog.rules, start=1))
     text = F.col("text")
 
+    candidate = F.coalesce(catalog.may_match(text), F.lit(False)).alias(f"{_WORK}may")
     found = tuple(
-        F.when(rule.may_match(text), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).alias(f"{_WORK}m{i}")
+        F.when(F.col(f"{_WORK}may") & rule.may_match(text), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).alias(f"{_WORK}m{i}")
         for i, rule in numbered
     )
     split = tuple(
@@ -134,6 +133,7 @@ def _span_steps(catalog: Catalog) -> tuple[tuple[Column, ...], ...]:
         lambda accepted, entry: _yield_to(accepted, entry.getField("rule"), entry.getField("spans")),
     )
     return (
+        (candidate,),
         found,
         (*[F.col(f"{_WORK}m{i}") for i, _ in numbered], *split),
         (matched.alias(f"{_WORK}rows"),),
@@ -167,8 +167,8 @@ def _place_steps(utf16: bool) -> tuple[Column, ...]:
         f"{_WORK}p",
         lambda p: F.struct(
             (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).alias("breaks"),
-            F.rlike(p, F.lit(r"[\r\n]")).alias("restarts"),
-            units(F.substring_index(F.translate(p, "\r", "\n"), "\n", -1), utf16).alias("tail"),
+            (F.contains(p, F.lit("\n")) | F.contains(p, F.lit("\r"))).alias("restarts"),
+            units(F.substring_index(F.replace(p, F.lit("\r"), F.lit("\n")), "\n", -1), utf16).alias("tail"),
             units(p, utf16).alias("units"),
         ),
     ).alias(f"{_WORK}q")

@@ -125,7 +125,7 @@ DEFINITIONS: dict[str, str] = {
           CASE WHEN event_type <> 'error' THEN CAST(regexp_replace(props, '[^0-9]', '' @global@) AS BIGINT) % 4 END AS n_open
         FROM {events}""",
     "selections": """
-        SELECT repo, path, doc_id, k AS sel, CASE k WHEN 0 THEN n - 20 WHEN 1 THEN 0 WHEN 2 THEN n - 1 ELSE n - 60 END AS sel_start,
+        SELECT repo, path, doc_id, CAST(k AS INT) AS sel, CASE k WHEN 0 THEN n - 20 WHEN 1 THEN 0 WHEN 2 THEN n - 1 ELSE n - 60 END AS sel_start,
           CASE k WHEN 0 THEN n - 20 WHEN 1 THEN 5 WHEN 2 THEN n ELSE n - 30 END AS sel_end
         FROM (SELECT repo, path, doc_id, length(text) AS n, @upto3@ AS k FROM {planted}) s""",
     "answers": f"""

@@ -22,6 +22,22 @@ def load_directory(spark: SparkSession, root: str) -> DataFrame:
     return files.select(tail.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+# Inputs up to this size are spread over all cores by one cheap exchange.
+SPREAD_BYTES = 256 * 1024 * 1024
+
+
+def spread_small(files: DataFrame, *keys: str, limit: int = SPREAD_BYTES) -> DataFrame:
+    """Repartition a small input whose few file splits would leave cores idle.
+
+    The size is the optimizer's estimate of the scan. Larger inputs have splits
+    enough and stay as they are: their texts are never shuffled.
+    """
+    size = files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > limit:
+        return files
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _read_locations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 

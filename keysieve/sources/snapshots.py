@@ -53,7 +53,9 @@ def snapshot_documents(
             F.transform(F.arrays_zip("spans", "places"), finding).alias("findings"),
         )
     )
-    return placed.filter(F.size("spans") > 0).select(*keys, document.alias("document"))
+    # Exploding zero or one document, not filtering: a filter would be pushed
+    # below the projections and find the spans a second time.
+    return placed.select(*keys, F.explode(F.when(F.size("spans") > 0, F.array(document))).alias("document"))
 
 
 def parse_snapshots(documents: DataFrame) -> DataFrame:
@@ -62,19 +64,22 @@ def parse_snapshots(documents: DataFrame) -> DataFrame:
     Missing or malformed documents read as no findings. ``open`` falls back to
     the number of findings.
     """
-    parsed = F.try_parse_json("document")
     typed = F.from_json("document", f"struct<findings:array<struct<{_typed(FINDING_FIELDS)}>>>")["findings"]
-    rows = documents.withColumns({"__parsed": parsed, "__typed": typed})
-    listed = is_list_at(F.col("__parsed"), "findings")
-    findings = F.when(listed, F.col("__typed"))
-    return rows.withColumns(
+    rows = documents.withColumns({"__parsed": F.try_parse_json("document"), "__typed": typed})
+    parsed = F.col("__parsed")
+    read = rows.withColumns(
         {
-            "updated_at": F.nullif(text_at(F.col("__parsed"), "updatedAt"), F.lit("")),
-            "findings": F.coalesce(findings, F.array()),
+            "updated_at": F.nullif(text_at(parsed, "updatedAt"), F.lit("")),
+            "__open": number_at(parsed, "open").cast("bigint"),
+            "findings": F.coalesce(F.when(is_list_at(parsed, "findings"), F.col("__typed")), F.array()),
         }
-    ).withColumn(
-        "open", F.coalesce(number_at(F.col("__parsed"), "open").cast("bigint"), F.size("findings").cast("bigint"))
-    ).drop("__parsed", "__typed")
+    )
+    return read.select(
+        *documents.columns,
+        "updated_at",
+        F.coalesce("__open", F.size("findings").cast("bigint")).alias("open"),
+        "findings",
+    )
 
 
 def _typed(ddl: str) -> str:
