@@ -48,26 +48,30 @@ def _first_rows(rows: DataFrame, cap: int, *order: Column | str) -> DataFrame:
 
 
 def recent_commits(changes: DataFrame, commits: int = RECENT_COMMITS) -> DataFrame:
-    """The newest commits of each repository, ``commit_rank`` 1 being the newest."""
+    """The newest commits of each repository: ``repo, commit_id, commit_rank, sha``.
+
+    ``commit_rank`` 1 is the newest commit, whose id is ``sha`` on every row.
+    """
     newest = Window.partitionBy("repo").orderBy(F.desc("committed_at"), F.desc("commit_id"))
     return (
         changes.select("repo", "committed_at", "commit_id")
         .distinct()
         .withColumn("commit_rank", F.row_number().over(newest))
         .filter(F.col("commit_rank") <= commits)
+        .withColumn("sha", F.max(F.when(F.col("commit_rank") == 1, F.col("commit_id"))).over(Window.partitionBy("repo")))
+        .drop("committed_at")
     )
 
 
 def recent_commit_targets(changes: DataFrame, commits: int = RECENT_COMMITS, cap: int = MAX_FILES) -> DataFrame:
     """Supported files of the newest commits, first occurrence first: ``repo, path, position, sha``."""
     newest = recent_commits(changes, commits)
-    ranked = changes.filter(is_supported(F.col("path"))).join(
-        newest.select("repo", "commit_id", "commit_rank"), ["repo", "commit_id"]
-    )
-    first_seen = ranked.groupBy("repo", "path").agg(F.min(F.struct("commit_rank", "pos")).alias("seen"))
-    chosen = _first_rows(first_seen, cap, "seen", "path")
-    tips = newest.filter(F.col("commit_rank") == 1).select("repo", F.col("commit_id").alias("sha"))
-    return chosen.join(tips, "repo").select("repo", "path", "position", "sha")
+    ranked = changes.filter(is_supported(F.col("path"))).join(newest, ["repo", "commit_id"])
+    # One number in place of (commit_rank, pos), and the repository's only sha
+    # among the keys: the minimum then runs as a hash aggregate.
+    place = F.col("commit_rank").cast("bigint") * F.lit(1 << 40) + F.col("pos")
+    first_seen = ranked.groupBy("repo", "path", "sha").agg(F.min(place).alias("seen"))
+    return _first_rows(first_seen, cap, "seen", "path").select("repo", "path", "position", "sha")
 
 
 def tree_sample_targets(tree: DataFrame, cap: int = MAX_FILES) -> DataFrame:
@@ -153,17 +157,14 @@ def latest_commit_targets(changes: DataFrame) -> DataFrame:
 
 def local_targets(modified: DataFrame, changes: DataFrame, tree: DataFrame, cap: int = MAX_FILES) -> DataFrame:
     """Modified files, else the latest commit's, else a walk sample: ``repo, path, status, mode``."""
-    choices = (
-        ("modified", normalise_changes(modified).select("repo", "path", "status")),
-        ("latest-commit", latest_commit_targets(changes)),
-        ("workspace-sample", walk_sample_targets(tree, cap)),
+    changed = normalise_changes(modified).select("repo", "path", "status", F.lit("modified").alias("mode"))
+    latest = latest_commit_targets(changes).withColumn("mode", F.lit("latest-commit"))
+    walked = walk_sample_targets(tree, cap).withColumn("mode", F.lit("workspace-sample"))
+    with_changes = changed.select("repo").distinct()
+    with_latest = latest.select("repo").distinct()
+    return changed.unionByName(latest.join(with_changes, "repo", "left_anti")).unionByName(
+        walked.join(with_changes, "repo", "left_anti").join(with_latest, "repo", "left_anti")
     )
-    union = None
-    for rank, (mode, rows) in enumerate(choices):
-        rows = rows.select("repo", "path", "status", F.lit(rank).alias("rank"), F.lit(mode).alias("mode"))
-        union = rows if union is None else union.unionByName(rows)
-    best = union.groupBy("repo").agg(F.min("rank").alias("rank"))
-    return union.join(best, ["repo", "rank"], "left_semi").select("repo", "path", "status", "mode")
 
 
 def targeted(requests: DataFrame, modified: DataFrame) -> DataFrame:
