@@ -15,10 +15,10 @@ def load_directory(spark: SparkSession, root: str) -> DataFrame:
     Spark's file sources skip names that start with ``.`` or ``_``. Read those
     (``.env`` is a scanned path) through :func:`load_manifest`.
     """
-    folder = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    location = F.url_decode(F.regexp_replace(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")), "^file:/+", "/"))
-    tail = F.split_part(location, F.lit(folder.removeprefix("file://") + "/"), F.lit(-1))
+    prefix = root.rstrip("/").removeprefix("file://") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    behind = F.instr("path", F.lit(prefix)) + F.lit(len(prefix))
+    tail = F.substring("path", behind, F.length("path"))
     return files.select(tail.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
