@@ -25,7 +25,17 @@ def hour_chunk(ts: Column) -> Column:
     return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
 
 
-def _chunk_rows(events: DataFrame, chunk: Column) -> DataFrame:
+def _chunk_key(chunk: Column | None) -> Column:
+    """The chunk as a number that is never null.
+
+    A nullable join key would get a not-null filter on one side of the join
+    only, and the two sides could no longer share one shuffle.
+    """
+    key = hour_chunk(F.col("ts")) if chunk is None else chunk
+    return F.coalesce(key.cast("bigint"), F.lit(-(1 << 62)))
+
+
+def _chunk_rows(events: DataFrame, chunk: Column | None) -> DataFrame:
     """Per-event values counted from the start of the event's chunk."""
     upto = (
         Window.partitionBy("workspace", "chunk")
@@ -33,7 +43,7 @@ def _chunk_rows(events: DataFrame, chunk: Column) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     is_scan = F.col("kind") == "scan"
-    base = events.withColumn("chunk", chunk)
+    base = events.withColumn("chunk", _chunk_key(chunk))
     with_fixes = base.withColumn("rel_fixed", F.count_if(F.col("kind") == "fix").over(upto))
     at_scan = F.when(is_scan, F.struct(F.col("rel_fixed").alias("fixed"), F.col("n_open").cast("bigint").alias("n")))
     return with_fixes.withColumns(
@@ -46,8 +56,7 @@ def _chunk_rows(events: DataFrame, chunk: Column) -> DataFrame:
 
 def chunk_summaries(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """One row per workspace and chunk: its fixes, its last scan, its peak of fixed + open."""
-    rows = _chunk_rows(events, hour_chunk(F.col("ts")) if chunk is None else chunk)
-    return _summarise(rows)
+    return _summarise(_chunk_rows(events, chunk))
 
 
 def _summarise(rows: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ def _resolve(fixed: Column, scan: Column, peak: Column) -> dict[str, Column]:
 
 def running_stats(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Each event with ``found, fixed, open`` as they stand after it."""
-    rows = _chunk_rows(events, hour_chunk(F.col("ts")) if chunk is None else chunk)
+    rows = _chunk_rows(events, chunk)
     carried = rows.join(_carry(_summarise(rows)), ["workspace", "chunk"])
     here = F.when(
         F.col("rel_scan").isNotNull(),
@@ -182,9 +191,7 @@ def workspace_scans(document_events: DataFrame, chunk: Column | None = None) ->
     Both the previous count and the running sum are carried between chunks.
     """
     count = F.when(F.col("kind") == "close", F.lit(0)).otherwise(F.col("n_open")).cast("bigint")
-    base = document_events.withColumns(
-        {"chunk": hour_chunk(F.col("ts")) if chunk is None else chunk, "count": count}
-    )
+    base = document_events.withColumns({"chunk": _chunk_key(chunk), "count": count})
     order = F.struct("ts", "seq")
     document = ["workspace", "path"]
 
@@ -204,16 +211,14 @@ def workspace_scans(document_events: DataFrame, chunk: Column | None = None) ->
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     before = Window.partitionBy("workspace").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = changed.groupBy("workspace", "chunk").agg(F.sum("delta").alias("moved"))
+    # Totals are taken from the windowed rows: both uses then share one shuffle.
+    summed = changed.select("workspace", "chunk", "ts", "seq", F.sum("delta").over(upto).alias("rel_open"))
+    totals = summed.groupBy("workspace", "chunk").agg(F.max_by("rel_open", order).alias("moved"))
     totals = totals.select("workspace", "chunk", F.coalesce(F.sum("moved").over(before), F.lit(0)).alias("open_before"))
-    return (
-        changed.withColumn("rel_open", F.sum("delta").over(upto))
-        .join(totals, ["workspace", "chunk"])
-        .select(
-            "workspace",
-            "ts",
-            "seq",
-            F.lit("scan").alias("kind"),
-            (F.col("open_before") + F.col("rel_open")).cast("bigint").alias("n_open"),
-        )
+    return summed.join(totals, ["workspace", "chunk"]).select(
+        "workspace",
+        "ts",
+        "seq",
+        F.lit("scan").alias("kind"),
+        (F.col("open_before") + F.col("rel_open")).cast("bigint").alias("n_open"),
     )

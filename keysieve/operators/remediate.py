@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from keysieve.catalog import Catalog, default_catalog
 from keysieve.functions.text import cut, js_trim, lines
 from keysieve.operators.detect import with_candidates
+from keysieve.operators.skew import join_groups
 
 # Config file names and the ignore entry.
 ENV_FILE, EXAMPLE_FILE, IGNORE_FILE = ".env", ".env.example", ".gitignore"
@@ -56,7 +57,7 @@ def ignores_env(ignore_text: Column) -> Column:
 
 def _with_config(findings: DataFrame, config: DataFrame, by: str) -> DataFrame:
     names = ("env_text", "example_text", "ignore_text")
-    joined = findings.join(config, by, "left")
+    joined = join_groups(findings, config, by, spread_on=("path", "start"))
     return joined.withColumns({n: F.coalesce(F.col(n), F.lit("")) for n in names})
 
 
@@ -121,7 +122,7 @@ def repo_plan(
         F.map_from_entries(F.collect_list(F.struct("variable", "line"))).alias("winners")
     )
     info = winners.join(config.select(by, "env_text"), by, "left")
-    joined = rows.join(info, by, "left").withColumn("env_text", F.coalesce("env_text", F.lit("")))
+    joined = join_groups(rows, info, by, spread_on=("path", "start")).withColumn("env_text", F.coalesce("env_text", F.lit("")))
     variable, line = F.col("variable"), F.col("env_line")
     is_set = F.exists(lines(F.col("env_text")), lambda e: F.startswith(e, F.concat(variable, F.lit("="))))
     agrees = js_trim(line) == js_trim(F.element_at("winners", variable))
@@ -139,7 +140,9 @@ def new_config_texts(plan: DataFrame, config: DataFrame, by: str = "repo") -> Da
         .agg(F.min(position).alias("at"), F.min_by("env_line", position).alias("line"))
     )
     wanted = per_variable.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", "variable", "line"))).alias("add"))
-    rows = _with_config(wanted, config, by)
+    rows = wanted.join(config, by, "left").withColumns(
+        {n: F.coalesce(F.col(n), F.lit("")) for n in ("env_text", "example_text", "ignore_text")}
+    )
 
     def appended(text: str, line) -> Column:
         return F.aggregate("add", F.col(text), lambda acc, item: append_line(acc, line(item)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from keysieve.functions.paths import clone_slug, is_confined, is_skipped, is_supported, normal_path, repo_owner_and_name
 from keysieve.functions.text import js_trim
+from keysieve.operators.skew import join_groups
 
 # Limits and labels of target selection.
 MAX_FILES = 100
@@ -162,7 +163,7 @@ def local_targets(modified: DataFrame, changes: DataFrame, tree: DataFrame, cap:
     walked = walk_sample_targets(tree, cap).withColumn("mode", F.lit("workspace-sample"))
     with_changes = changed.select("repo").distinct()
     with_latest = latest.select("repo").distinct()
-    return changed.unionByName(latest.join(with_changes, "repo", "left_anti")).unionByName(
+    return changed.unionByName(join_groups(latest, with_changes, "repo", "left_anti")).unionByName(
         walked.join(with_changes, "repo", "left_anti").join(with_latest, "repo", "left_anti")
     )
 

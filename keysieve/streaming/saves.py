@@ -82,7 +82,7 @@ class RunningStats:
     def update(self, events: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` function."""
         summaries = chunk_summaries(events)
-        chunks = summaries.withColumns({n: F.col(n).cast(t) for n, t in (("workspace", "string"), ("chunk", "bigint"))})
+        chunks = summaries.withColumn("workspace", F.col("workspace").cast("string"))
         if batch_id > 0:
             # Earlier state enters as a chunk before all others: its fixes so
             # far, its open count as a scan at that point, its found as peak.

@@ -41,12 +41,23 @@ def test_running_stats_equal_the_fold(spark):
         assert {r.workspace: (r.found, r.fixed, r.open) for r in hist.latest_stats(df, chunk).collect()} == state
 
 
-def test_no_window_spans_a_workspace(spark):
+def test_no_window_over_events_spans_a_workspace(spark):
     df = spark.createDataFrame(_events(random.Random(1), 10), SCHEMA)
     plan = hist.running_stats(df)._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if "Window [" in line and "rel_" in line.split("Window [")[1].split("AS")[-1]:
-            assert "chunk" in line
+    over_events = [line for line in plan.splitlines() if "Window [" in line and "rel_" in line.rsplit(" AS ", 1)[-1]]
+    assert over_events and all("chunk" in line for line in over_events)
+
+
+def test_events_are_shuffled_once(spark, sf_dir, tmp_path):
+    df = spark.createDataFrame(_events(random.Random(1), 10), SCHEMA)
+    df.write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = hist.running_stats(events)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ReusedExchange") == 1
 
 
 def test_workspace_scans(spark):
