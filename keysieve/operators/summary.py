@@ -108,8 +108,9 @@ def insight_report(
         F.coalesce("found", F.lit(0)).cast("bigint").alias("found"),
         F.coalesce("fixed", F.lit(0)).cast("bigint").alias("fixed"),
         score(F.col("open")).alias("score"),
-        F.coalesce(F.concat_ws(":", "path", F.col("line").cast("string"), F.col("character").cast("string")), none)
-        .alias("first_location"),
+        F.coalesce(
+            F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("character").cast("string")), none
+        ).alias("first_location"),
         F.coalesce(F.concat("secret_type", F.lit(" ("), "severity", F.lit(")")), none).alias("first_type"),
     )
 
