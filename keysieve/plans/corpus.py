@@ -5,7 +5,7 @@ one synthetic snippet line (chosen by its id) appended to its whole text. The
 other tables re-shape orders, line items, customers, events and conversations.
 Every table grows with the tables it comes from.
 
-Each definition is plain SQL that Spark and DuckDB both run, so the reference
+Each definition is plain SQL that Spark and DuckDB both run, so the expected
 results can be computed on equal inputs by other means.
 """
 

@@ -10,15 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+_own: dict[str, str] = {}
+
+
+def _named_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests, a folder of our own is set for the session.
+    Where it is unset, as in tests, the application gets a folder of its own
+    (the setting itself cannot be changed in a running session).
     """
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
+    folder = _named_folder(spark)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="keysieve-")
-        spark.conf.set(SETTING, folder)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = tempfile.mkdtemp(prefix="keysieve-")
+        folder = _own[application]
     return folder.rstrip("/")
 
 

@@ -2,6 +2,7 @@ import base64
 import json
 
 from keysieve.sources import files as src
+from keysieve.sources import shared
 from keysieve.sources import snapshots as snap
 from keysieve.sources.shared import shared_folder, written
 
@@ -66,6 +67,12 @@ def test_shared_folder_comes_from_the_session(spark):
     assert again.count() == 5 and folder in again.inputFiles()[0]
 
 
+def test_own_folder_where_the_setting_is_missing(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_named_folder", lambda session: None)
+    assert shared_folder(spark) == shared_folder(spark)
+    assert written(spark.range(3), "numbers").count() == 3
+
+
 def test_spread_small(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert src.spread_small(documents, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
