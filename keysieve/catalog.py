@@ -7,6 +7,7 @@ own :class:`Rule` objects; no code runs per row for a rule.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -91,6 +92,10 @@ class Rule:
     literals: tuple[str, ...] = ()
     disjoint: bool = False
 
+    def __post_init__(self) -> None:
+        if any(not re.fullmatch("[a-z0-9_]{2,}", word) for word in self.words):
+            raise ValueError("words are lower-case letters, digits and underscores, two at least")
+
     def may_match(self, text: Column) -> Column:
         """Cheap necessary condition for a match of this rule."""
         if not self.literals:
