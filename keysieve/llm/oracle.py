@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keysieve.llm import quality
+from keysieve.llm import quality, secrets
 
 
 def _quoted(values) -> str:
@@ -45,5 +45,39 @@ FROM b
 """
 
 
+def op4_secret_scans() -> str:
+    def any_case(word: str) -> str:
+        return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+    # The kinds, spelled without case flags.
+    keyword = f"({any_case('password')}|{any_case('passwd')}|{any_case('secret')}|{any_case('token')}|{any_case('api')}_?{any_case('key')})"
+    assign = keyword + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [("assign", assign, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
+    kinds += [(r.kind, r.pattern, r.group, r.least) for r in secrets.MORE_RULES]
+    parts, hits = [], []
+    for n, (kind, pattern, group, least) in enumerate(kinds):
+        p = pattern.replace("'", "''")
+        parts.append(
+            f"k{n} AS (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS gs, "
+            f"string_split_regex(t, '{p}') AS seps FROM d)"
+        )
+        hits.append(
+            f"SELECT doc_id, {n} AS place, '{kind}' AS kind, length(array_to_string(seps[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) AS s, "
+            f"length(ms[i]) AS n, length(gs[i]) AS g, {least} AS least FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM k{n} WHERE len(ms) > 0)"
+        )
+    shown = "kind || ':' || s || ':' || (s + n)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{", ".join(parts)},
+h AS ({" UNION ALL ".join(hits)}),
+f AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+             coalesce(string_agg({shown}, ',' ORDER BY s, place) FILTER (place < 3), '') AS base,
+             string_agg({shown}, ',' ORDER BY s, place) AS spans FROM h WHERE g >= least GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {f.__name__: f() for f in (op1_quality_rules,)}
+    return {f.__name__: f() for f in (op1_quality_rules, op4_secret_scans)}

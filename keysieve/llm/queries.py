@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keysieve.llm import quality
-from keysieve.llm.common import table
+from keysieve.llm import bpe, quality, secrets
+from keysieve.llm.common import new_folder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +21,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, new_folder(spark, "ledger"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans"
+    )
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(encoded, path).select(
+        "doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_secret_scans, op5_byte_bpe)}
