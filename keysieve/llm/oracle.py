@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keysieve.llm import quality, secrets
+from keysieve.llm import quality, search, secrets
 
 
 def _quoted(values) -> str:
@@ -79,5 +79,16 @@ FROM d LEFT JOIN f USING (doc_id)
 """
 
 
+def op10_exact_top_k() -> str:
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({search.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def statements() -> dict[str, str]:
-    return {f.__name__: f() for f in (op1_quality_rules, op4_secret_scans)}
+    return {f.__name__: f() for f in (op1_quality_rules, op4_secret_scans, op10_exact_top_k)}

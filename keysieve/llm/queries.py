@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import bpe, quality, secrets
+from keysieve.llm import bpe, packing, quality, search, secrets
 from keysieve.llm.common import new_folder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,5 +38,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_secret_scans, op5_byte_bpe)}
+    ops = (op1_quality_rules, op4_secret_scans, op5_byte_bpe, op9_best_fit_packing, op10_exact_top_k)
+    return {f.__name__: f for f in ops}
