@@ -45,7 +45,7 @@ BATCH = 500
 
 #: str.split() also splits at these, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_WHITE = re.compile("[" + "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
 
 
 class WordEncoder:
