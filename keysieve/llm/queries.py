@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import bpe, neardup, packing, quality, search, secrets
+from keysieve.llm import bpe, lm, neardup, packing, quality, search, secrets
 from keysieve.llm.common import new_folder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.scores(docs)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs).select("doc_id", "class_id")
@@ -55,5 +60,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    ops = (op1_quality_rules, op3_minhash_near_dedup, op4_secret_scans, op5_byte_bpe, op9_best_fit_packing, op10_exact_top_k)
+    ops = (op1_quality_rules, op2_lm_scores, op3_minhash_near_dedup, op4_secret_scans, op5_byte_bpe, op9_best_fit_packing, op10_exact_top_k)
     return {f.__name__: f for f in ops}
