@@ -79,6 +79,38 @@ FROM d LEFT JOIN f USING (doc_id)
 """
 
 
+def op7_url_filters() -> str:
+    host = r"nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '[.]+$', ''), '')"
+    day = "to_timestamp(1704067200 + 86400 * ({}))::TIMESTAMP".format
+    turns = [
+        ("spam", "add", "n % 3 = 0", "n % 180"), ("spam", "remove", "n % 3 = 0 AND n % 2 = 0", "n % 180 + 30 + n % 60"),
+        ("spam", "add", "n % 3 = 0 AND n % 4 = 0", "n % 180 + 120"), ("malware", "add", "n % 5 = 1", "n % 330"),
+        ("allow", "add", "n % 7 = 2", "n % 200"), ("allow", "remove", "n % 14 = 2", "n % 200 + 90"),
+    ]
+    events = " UNION ".join(f"SELECT '{l}' AS list, key, '{a}' AS action, {day(d)} AS ts FROM n WHERE {c}" for l, a, c, d in turns)
+    return rf"""
+WITH p AS (SELECT page_id, url, {host} AS host, regexp_extract(url, '^[a-z]+://[^/?#]+/([a-z]+)/', 1) AS section,
+                  to_timestamp(1704067200 + (page_id * 7919) % 31536000)::TIMESTAMP AS ts,
+                  list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS steps FROM pages),
+k AS (SELECT DISTINCT key FROM (
+    SELECT 'host:' || host AS key FROM p
+    UNION ALL SELECT 'domain:' || array_to_string(string_split(host, '.')[-2:], '.') FROM p
+    UNION ALL SELECT 'prefix:' || host || '/' || section FROM p WHERE section <> '') WHERE key IS NOT NULL),
+n AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM k),
+e AS ({events}),
+q AS (SELECT page_id, ts, 'host:' || host AS key FROM p WHERE host IS NOT NULL
+      UNION ALL SELECT page_id, ts, 'domain:' || array_to_string(string_split(host, '.')[i:], '.')
+        FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i FROM p WHERE host IS NOT NULL)
+      UNION ALL SELECT page_id, ts, 'prefix:' || host || '/' || array_to_string(steps[1:i], '/')
+        FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM p WHERE host IS NOT NULL)),
+m AS (SELECT q.page_id, e.list, e.key, arg_max(e.action, e.ts) AS state FROM q JOIN e ON q.key = e.key AND e.ts <= q.ts GROUP BY ALL),
+v AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists, bool_or(list = 'allow') AS allowed
+      FROM m WHERE state = 'add' GROUP BY page_id)
+SELECT p.page_id, p.url, p.host, CAST(coalesce(v.n, 0) AS BIGINT) AS n_active, coalesce(v.lists, '') AS lists, v.n IS NOT NULL AND NOT coalesce(v.allowed, false) AS blocked
+FROM p LEFT JOIN v USING (page_id)
+"""
+
+
 def op10_exact_top_k() -> str:
     return f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({search.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -91,4 +123,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def statements() -> dict[str, str]:
-    return {f.__name__: f() for f in (op1_quality_rules, op4_secret_scans, op10_exact_top_k)}
+    return {f.__name__: f() for f in (op1_quality_rules, op4_secret_scans, op7_url_filters, op10_exact_top_k)}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import bpe, lm, neardup, packing, quality, search, secrets
+from keysieve.llm import bpe, lm, neardup, packing, quality, search, secrets, urls, warc
 from keysieve.llm.common import new_folder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,55 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied pages with a fetch time of the year 2024, which the table itself lacks."""
+    seconds = F.lit(1704067200) + (F.col("page_id") * 7919) % 31536000
+    return table(spark, sf_dir, "pages").withColumn("fetched_at", F.timestamp_seconds(seconds))
+
+
+def list_events(pages: DataFrame) -> DataFrame:
+    """Dated block and allow lists over the hosts, domains and sections that occur in ``pages``.
+
+    Which of them are listed, and when, follows from a checksum of their names.
+    """
+    host = urls.host_of(F.col("url"))
+    section = F.regexp_extract("url", "^[a-z]+://[^/?#]+/([a-z]+)/", 1)
+    labels = F.split("host", "[.]")
+    names = pages.select(host.alias("host"), section.alias("section")).distinct()
+    named = names.select(F.explode(F.array(
+        F.concat(F.lit("host:"), "host"),
+        F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")),
+        F.when(F.col("section") != "", F.concat(F.lit("prefix:"), "host", F.lit("/"), "section")),
+    )).alias("key")).dropna().distinct()
+    number = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("long")
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + 86400 * n)
+    n = F.col("n")
+    turns = F.array(
+        F.when(n % 3 == 0, F.struct(F.lit("spam").alias("list"), F.lit("add").alias("action"), day(n % 180).alias("at"))),
+        F.when((n % 3 == 0) & (n % 2 == 0), F.struct(F.lit("spam").alias("list"), F.lit("remove").alias("action"), day(n % 180 + 30 + n % 60).alias("at"))),
+        F.when((n % 3 == 0) & (n % 4 == 0), F.struct(F.lit("spam").alias("list"), F.lit("add").alias("action"), day(n % 180 + 120).alias("at"))),
+        F.when(n % 5 == 1, F.struct(F.lit("malware").alias("list"), F.lit("add").alias("action"), day(n % 330).alias("at"))),
+        F.when(n % 7 == 2, F.struct(F.lit("allow").alias("list"), F.lit("add").alias("action"), day(n % 200).alias("at"))),
+        F.when(n % 14 == 2, F.struct(F.lit("allow").alias("list"), F.lit("remove").alias("action"), day(n % 200 + 90).alias("at"))),
+    )
+    return named.withColumn("n", number).select("key", F.explode(F.array_compact(turns)).alias("t")).select("t.list", "key", "t.action", "t.at")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = captures(spark, sf_dir).select("page_id", "url", "fetched_at")
+    return urls.filter_captures(pages, list_events(pages)).select("page_id", "url", "host", "n_active", "lists", "blocked")
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows per page: how its metadata and its text record are linked to the response."""
+    records = warc.derivatives(warc.responses(captures(spark, sf_dir)))
+    return records.select(
+        "type", "record_id", "refers_to", warc.header("WARC-Target-URI").alias("target_uri"), warc.header("WARC-Date").alias("warc_date"),
+        warc.header("Content-Type").alias("content_type"), warc.header("WARC-Block-Digest").alias("block_digest"),
+        F.octet_length("block").cast("long").alias("content_length"), F.decode("block", "UTF-8").alias("block"),
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
@@ -60,5 +109,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    ops = (op1_quality_rules, op2_lm_scores, op3_minhash_near_dedup, op4_secret_scans, op5_byte_bpe, op9_best_fit_packing, op10_exact_top_k)
+    ops = (op1_quality_rules, op2_lm_scores, op3_minhash_near_dedup, op4_secret_scans, op5_byte_bpe, op7_url_filters, op8_warc_derivatives, op9_best_fit_packing, op10_exact_top_k)
     return {f.__name__: f for f in ops}
