@@ -26,7 +26,9 @@ Defined cases
 from __future__ import annotations
 
 import bisect
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,38 +42,97 @@ from keysieve.llm.common import settled
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_500_000
 BATCH = 500
+#: A sign that is a token of its own between spaces.
+DIVIDER = "\x01"
 
 #: str.split() also splits at these, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[" + "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Token ids of white-space separated words, remembered up to a bound.
 
     Right for tokenizers that never look across white space, as those do that
-    drop it before the merges.
+    drop it before the merges. A word of Latin letters is one piece, and full
+    stops and commas after it are another. Other new words go to the tokenizer
+    many at a time, divided by a sign whose token is known.
     """
 
     def __init__(self, path: str) -> None:
+        # Tasks are the unit of parallel work here.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A piece of Latin letters is merged in lower case, its bytes spelled as signs.
+        self.merge = self.tokenizer.model.tokenize
+        signs = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.signs = {b: b if b in signs else 256 + n for n, b in enumerate(sorted(range(256), key=lambda b: b in signs))}
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        (self.divider,) = self._ids(DIVIDER)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _divided(self, words: list[str]) -> None:
+        for start in range(0, len(words), 500):
+            part = words[start : start + 500]
+            joined = f" {DIVIDER} ".join(part)
+            if joined.count(DIVIDER) >= len(part):
+                self.known.update((w, pack_ids(self._ids(w))) for w in part)
+                continue
+            ids = np.array(self._ids(joined), dtype="<u4")
+            ends = np.flatnonzero(ids == self.divider)
+            data, at = ids.tobytes(), 0
+            for word, end in zip(part, [*(4 * ends).tolist(), len(data)], strict=True):
+                self.known[word] = data[at:end]
+                at = end + 4
+
+    def _learn_all(self, words: set[str]) -> None:
+        """Encode words not known yet."""
+        if len(self.known) + len(words) > CACHE_ENTRIES:
+            self.known.clear()
+            self.pieces.clear()
+        known, pieces, merge, signs, rest = self.known, self.pieces, self.merge, self.signs, []
+        for word in words:
+            core = word.rstrip(".,")
+            if not core.isalpha() or not (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+                rest.append(word)
+                continue
+            piece = core.lower()
+            ids = pieces.get(piece)
+            if ids is None:
+                merged = merge(piece if piece.isascii() else piece.encode().decode("latin-1").translate(signs))
+                ids = pieces[piece] = pack_ids([t.id for t in merged])
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                if tail not in pieces:
+                    pieces[tail] = pack_ids(self._ids(tail))
+                ids += pieces[tail]
+            known[word] = ids
+        self._divided(rest)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if not _SEPARATORS.search(t) else [w for w in _WHITE.split(t) if w] for t in texts]
-        missing = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known.clear()
-            missing = list(set().union(*split))
-        for start in range(0, len(missing), 20_000):
-            part = missing[start : start + 20_000]
-            for word, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(encoded.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        get = self.known.get
+        found = [list(map(get, words)) for words in split]
+        lacking = [n for n, ids in enumerate(found) if None in ids]
+        if lacking:
+            self._learn_all({w for n in lacking for w, ids in zip(split[n], found[n], strict=True) if ids is None})
+            for n in lacking:
+                if None in (ids := list(map(get, split[n]))):  # forgotten just now, to stay within the bound
+                    self._learn_all({w for w, i in zip(split[n], ids, strict=True) if i is None})
+                    ids = [get(w) for w in split[n]]
+                found[n] = ids
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(2)
