@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import settled, whole_text
+from keysieve.llm.common import press, settled, unpress, whole_text
 
 #: Weight of the unigram model in every history, in tokens.
 BACKOFF = 50.0
@@ -54,19 +54,6 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _press(numbers: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of their value, compressed."""
-    kind = np.dtype(f"<u{min(8, max(1, 1 << max(0, (int(numbers.max(initial=0)).bit_length() - 1) // 8).bit_length()))}")
-    planes = np.ascontiguousarray(numbers.astype(kind)).view(np.uint8).reshape(-1, kind.itemsize).T
-    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpress(data: bytes) -> np.ndarray:
-    width = data[0]
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8)
-    return np.ascontiguousarray(flat.reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype(np.int64)
-
-
 def _squeeze(words: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
 
@@ -105,12 +92,12 @@ def _blocks(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
         order = np.lexsort((-counts, by_bucket)) if words else np.empty(0, np.int64)
         rank = np.zeros(len(words) + 1, dtype=np.int64)
         rank[order + 1] = np.arange(1, len(words) + 1)
-        rows = [{"kind": "docs", "block": block, "bucket": -1, "a": _press(rank[tokens]), "b": _press(sizes), "c": bytes(held),
+        rows = [{"kind": "docs", "block": block, "bucket": -1, "a": press(rank[tokens]), "b": press(sizes), "c": bytes(held),
                  "ids": ids, "n": int(np.sum(~np.array(held, dtype=bool)))}]
         edges = np.searchsorted(by_bucket[order], np.arange(buckets + 1))
         for bucket in np.flatnonzero(np.diff(edges)).tolist():
             own = order[edges[bucket] : edges[bucket + 1]]
-            rows.append({"kind": "words", "block": block, "bucket": bucket, "a": _squeeze([words[i] for i in own]), "b": _press(counts[own])})
+            rows.append({"kind": "words", "block": block, "bucket": bucket, "a": _squeeze([words[i] for i in own]), "b": press(counts[own])})
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +131,11 @@ def _merge_words(buckets: int):
         places = [np.array([known.setdefault(w, len(known)) for w in _loosen(r["a"])], dtype=np.int64) for r in rows]
         counts = np.zeros(len(known), dtype=np.int64)
         for r, place in zip(rows, places, strict=True):
-            counts[place] += _unpress(r["b"])
+            counts[place] += unpress(r["b"])
         if len(known) * buckets + buckets >= 1 << 32:
             raise OverflowError("word numbers must stay below 2**32")
-        out = [{"kind": "numbers", "block": r["block"], "bucket": bucket, "a": _press(p * buckets + bucket + 1), "b": _press(counts[p])} for r, p in zip(rows, places, strict=True)]
-        out.append({"kind": "total", "block": -1, "bucket": bucket, "a": _press(counts.sum(keepdims=True)), "b": _press(np.array([(counts > 0).sum()]))})
+        out = [{"kind": "numbers", "block": r["block"], "bucket": bucket, "a": press(p * buckets + bucket + 1), "b": press(counts[p])} for r, p in zip(rows, places, strict=True)]
+        out.append({"kind": "total", "block": -1, "bucket": bucket, "a": press(counts.sum(keepdims=True)), "b": press(np.array([(counts > 0).sum()]))})
         return _table(out, table.schema.field("ids").type.value_type)
 
     return run
@@ -161,10 +148,10 @@ class Block:
         docs = next(r for r in rows if r["kind"] == "docs")
         answers = sorted((r for r in rows if r["kind"] == "numbers"), key=lambda r: r["bucket"])
         self.ids, self.held = docs["ids"], np.frombuffer(docs["c"], dtype=np.bool_)
-        self.tokens, self.sizes = _unpress(docs["a"]), _unpress(docs["b"])
+        self.tokens, self.sizes = unpress(docs["a"]), unpress(docs["b"])
         # Token 0, the end, is also the history that every text starts with.
-        self.numbers = np.concatenate([[0], *(_unpress(r["a"]) for r in answers)]).astype(np.uint64)
-        self.counts = np.concatenate([[0], *(_unpress(r["b"]) for r in answers)]).astype(np.int64)
+        self.numbers = np.concatenate([[0], *(unpress(r["a"]) for r in answers)]).astype(np.uint64)
+        self.counts = np.concatenate([[0], *(unpress(r["b"]) for r in answers)]).astype(np.int64)
 
     def pairs(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs by (bucket, pair), the first place of each bucket, and the pair of every token."""
@@ -189,7 +176,7 @@ def _send_pairs(buckets: int):
         for bucket in np.flatnonzero(np.diff(edges)).tolist():
             own = slice(edges[bucket], edges[bucket + 1])
             steps = np.diff(pairs[own], prepend=np.uint64(0))
-            out.append({"kind": "pairs", "block": rows[0]["block"], "bucket": bucket, "a": _press(steps), "b": _press(counts[own])})
+            out.append({"kind": "pairs", "block": rows[0]["block"], "bucket": bucket, "a": press(steps), "b": press(counts[own])})
         return _table(out, table.schema.field("ids").type.value_type)
 
     return run
@@ -198,11 +185,11 @@ def _send_pairs(buckets: int):
 def _merge_pairs(table: pa.Table) -> pa.Table:
     """Add up a bucket's pairs over all blocks; answer each block with counts in its own order."""
     rows = table.select(["block", "bucket", "a", "b"]).to_pylist()
-    pairs = [np.cumsum(_unpress(r["a"])) for r in rows]
+    pairs = [np.cumsum(unpress(r["a"])) for r in rows]
     distinct, of = np.unique(np.concatenate(pairs), return_inverse=True)
-    counts = np.bincount(of, weights=np.concatenate([_unpress(r["b"]) for r in rows]), minlength=len(distinct)).astype(np.int64)
+    counts = np.bincount(of, weights=np.concatenate([unpress(r["b"]) for r in rows]), minlength=len(distinct)).astype(np.int64)
     ends = np.cumsum([len(p) for p in pairs])
-    out = [{"kind": "pair_counts", "block": r["block"], "bucket": r["bucket"], "a": _press(counts[of[end - len(p) : end]])} for r, p, end in zip(rows, pairs, ends, strict=True)]
+    out = [{"kind": "pair_counts", "block": r["block"], "bucket": r["bucket"], "a": press(counts[of[end - len(p) : end]])} for r, p, end in zip(rows, pairs, ends, strict=True)]
     return _table(out, table.schema.field("ids").type.value_type)
 
 
@@ -239,7 +226,7 @@ def _score(buckets: int, train_tokens: int, vocabulary: int, train_docs: int, ba
         rows = table.to_pylist()
         block = Block(rows)
         answers = sorted((r for r in rows if r["kind"] == "pair_counts"), key=lambda r: r["bucket"])
-        automaton = Automaton(block.counts, np.concatenate([_unpress(r["a"]) for r in answers]), train_tokens, vocabulary, train_docs, backoff)
+        automaton = Automaton(block.counts, np.concatenate([unpress(r["a"]) for r in answers]), train_tokens, vocabulary, train_docs, backoff)
         _, _, of = block.pairs(buckets)
         base, score = automaton.read(block.tokens, of)
         first = np.cumsum(block.sizes) - block.sizes
@@ -264,7 +251,7 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", held:
     blocks = settled(_blocks(read, kind, buckets), "lm-blocks")
     texts = blocks.filter("kind = 'docs'")
     merged = settled(blocks.filter("kind = 'words'").groupBy("bucket").applyInArrow(_merge_words(buckets), _spec(kind)), "lm-words")
-    totals = [(int(_unpress(r["a"])[0]), int(_unpress(r["b"])[0])) for r in merged.filter("kind = 'total'").select("a", "b").collect()]
+    totals = [(int(unpress(r["a"])[0]), int(unpress(r["b"])[0])) for r in merged.filter("kind = 'total'").select("a", "b").collect()]
     train_docs = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     train_tokens, vocabulary = sum(t for t, _ in totals) + train_docs, sum(v for _, v in totals) + (train_docs > 0)
     numbers = merged.filter("kind = 'numbers'")

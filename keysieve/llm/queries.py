@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import bpe, lm, neardup, packing, quality, search, secrets, urls, warc
+from keysieve.llm import bpe, lm, neardup, packing, quality, search, secrets, suffix, urls, warc
 from keysieve.llm.common import new_folder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplied pages with a fetch time of the year 2024, which the table itself lacks."""
     seconds = F.lit(1704067200) + (F.col("page_id") * 7919) % 31536000
@@ -109,5 +114,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    ops = (op1_quality_rules, op2_lm_scores, op3_minhash_near_dedup, op4_secret_scans, op5_byte_bpe, op7_url_filters, op8_warc_derivatives, op9_best_fit_packing, op10_exact_top_k)
+    ops = (op1_quality_rules, op2_lm_scores, op3_minhash_near_dedup, op4_secret_scans, op5_byte_bpe, op6_suffix_array_dedup, op7_url_filters, op8_warc_derivatives, op9_best_fit_packing, op10_exact_top_k)
     return {f.__name__: f for f in ops}
