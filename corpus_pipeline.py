@@ -1,8 +1,79 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated strings, secrets, packing.
 
-STAGES = []
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a DataFrame. All but the last return the columns of ``documents``.
+
+A document is known by its id. Rows that repeat an id, and rows without one,
+leave at the near-duplicate stage, so that later stages can join by id. A null
+text fails the quality rules. Other columns than those of ``documents`` do not
+pass the first stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keysieve.llm import neardup, packing, quality, secrets, suffix
+from keysieve.llm.common import new_folder, settled, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``docs`` with the texts of another table, by id."""
+    found = docs.drop("text", "n_chars").join(texts, "doc_id")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and all rules of the table."""
+    return quality.judge(docs).filter("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every class."""
+    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
+    kept = classes.filter(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the strings that documents with smaller ids hold.
+
+    Bytes of a character that was cut in two go with it.
+    """
+    kept = suffix.remove_repeats(docs.select("doc_id", "text"), as_text=True)
+    return _with_text(docs, kept.select("doc_id", F.col("kept").alias("text")))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its secrets replaced by a mark."""
+    found = secrets.scan(docs, new_folder(spark, "ledger"))
+    return secrets.redacted(found).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their places in sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: No SQL: shingle similarity over all pairs and a tokenizer are out of its reach.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
