@@ -9,7 +9,7 @@ anchors. Neighbouring strings with one anchor form a segment.
 2. Blocks send their distinct segments at such anchors, with the smallest
    document id, to buckets by anchor.
 3. A bucket puts the distinct segments of each block into a shard with a suffix
-   array and its Burrows-Wheeler transform, and merges the shards: the
+   array of bounded order and its Burrows-Wheeler transform, and merges: the
    interleave starts with one shard after another and is refined by stable
    sorting on the transform's symbols, two bytes a round, until it is right for
    ``WINDOW`` bytes. Where neighbours first differ bounds their common prefix;
@@ -45,9 +45,11 @@ from keysieve.llm.common import press, settled, unpress
 
 WINDOW = 50
 GRAM = 25
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 BUCKET_BYTES = 8_000_000
 PIECE = 1_000_000
+#: Bytes by which shards are sorted before the merge.
+SHARD_ORDER = 16
 
 _U = np.uint64
 _FACTOR = 0x9E3779B97F4A7C15
@@ -79,7 +81,11 @@ class _Hashes:
     def __init__(self, data: np.ndarray) -> None:
         self.inverse = _power(pow(_FACTOR, -1, 1 << 64), len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum(data.astype(_U) * _power(_FACTOR, len(data)) + _power(_FACTOR, len(data)), out=self.sums[1:])
+        power = _power(_FACTOR, len(data))
+        for at in range(0, len(data), PIECE):
+            part = slice(at, at + PIECE)
+            np.cumsum((data[part].astype(_U) + _U(1)) * power[part], out=self.sums[1:][part])
+            self.sums[1:][part] += self.sums[at]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -98,24 +104,29 @@ def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and anchor place of every segment of a text."""
-    firsts, places = [], []
+def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, anchor place and anchor hash of every segment of a text."""
+    firsts, places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, _U)]
     width = WINDOW - GRAM + 1
+    edge = np.zeros(width - 1, dtype=np.uint32)
     for at in range(0, len(data) - WINDOW + 1, PIECE):
-        gram = _Hashes(data[at : at + PIECE + WINDOW - 1]).grams()
+        whole = _Hashes(data[at : at + PIECE + WINDOW - 1]).grams()
+        gram = (whole >> _U(32)).astype(np.uint32)
         least = _slide(gram, width, np.minimum)
-        edge = np.zeros(width - 1, dtype=_U)
-        anchors = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == gram)
-        own = np.searchsorted(anchors, np.arange(len(least)))
-        while (off := np.flatnonzero(gram[anchors[own]] != least)).size:
+        chosen = _slide(np.concatenate([edge, least, edge]), width, np.maximum) == gram
+        anchors = np.flatnonzero(chosen)
+        # The first anchor from each window's start on, and then the first of them with the least hash.
+        own = np.cumsum(chosen[: len(least)], dtype=np.int32) - chosen[: len(least)]
+        value = gram[anchors]
+        off = np.flatnonzero(value[own] != least)
+        while off.size:
             own[off] += 1
+            off = off[value[own[off]] != least[off]]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         firsts.append(at + first)
         places.append(at + anchors[own[first]])
-    if not firsts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(firsts), np.concatenate(places)
+        hashes.append(whole[places[-1] - at])
+    return np.concatenate(firsts), np.concatenate(places), np.concatenate(hashes)
 
 
 def _row(kind: str, block: int, bucket: int, *parts: bytes) -> dict:
@@ -133,8 +144,9 @@ def _flags(data: bytes, n: int) -> np.ndarray:
 class Block:
     """Distinct texts of a block, the documents that hold them, and their segments."""
 
-    def __init__(self, ids: np.ndarray, text_of: np.ndarray, sizes: np.ndarray, data: np.ndarray, first: np.ndarray, place: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, text_of: np.ndarray, sizes: np.ndarray, data: np.ndarray, first: np.ndarray, place: np.ndarray, gram: np.ndarray | None = None) -> None:
         self.ids, self.text_of, self.sizes, self.data, self.first, self.place = ids, text_of, sizes, data, first, place
+        self.gram = self.hashes.of(place, place + GRAM) if gram is None else gram
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         owner = np.searchsorted(self.starts, first, side="right") - 1
         # A segment ends where the next begins, or with the last window of its text.
@@ -150,15 +162,16 @@ class Block:
         numbers: dict[bytes, int] = {}
         text_of = np.array([numbers.setdefault(t, len(numbers)) for t in texts])
         sizes = np.array([len(t) for t in numbers], dtype=np.int64)
-        firsts, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        firsts, places, grams = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, _U)]
         at = 0
         for t in numbers:
-            first, place = segments(np.frombuffer(t, dtype=np.uint8))
+            first, place, gram = segments(np.frombuffer(t, dtype=np.uint8))
             firsts.append(first + at)
             places.append(place + at)
+            grams.append(gram)
             at += len(t)
         data = np.frombuffer(b"".join(numbers), dtype=np.uint8)
-        return cls(np.array(ids, dtype=np.int64), text_of, sizes, data, np.concatenate(firsts), np.concatenate(places))
+        return cls(np.array(ids, dtype=np.int64), text_of, sizes, data, np.concatenate(firsts), np.concatenate(places), np.concatenate(grams))
 
     def pack(self, block: int) -> dict:
         head = np.concatenate([[len(self.ids), len(self.sizes)], self.ids, self.text_of, self.sizes]).astype(np.int64)
@@ -175,7 +188,7 @@ class Block:
 
     def anchors(self, buckets: int):
         """Sent hashes by (bucket, hash), distinct; the edges of the buckets; the number of each segment's."""
-        sent = self.hashes.of(self.place, self.place + GRAM) >> (_U(64) - _SENT_BITS)
+        sent = self.gram >> (_U(64) - _SENT_BITS)
         distinct, of = np.unique(sent, return_inverse=True)
         bucket = (distinct % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
@@ -273,33 +286,35 @@ def _send_segments(buckets: int):
     return run
 
 
-def suffix_array(data: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Places by (shard, suffix), suffixes compared over ``WINDOW`` bytes or a few more."""
-    padded = np.concatenate([data, np.zeros(WINDOW + 8, np.uint8)])
-    word = np.zeros(len(data) + WINDOW, dtype=_U)
+def shard_arrays(data: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """Places by shard and, within it, by suffix; suffixes are compared over ``SHARD_ORDER`` bytes."""
+    padded = np.concatenate([data, np.zeros(SHARD_ORDER + 8, np.uint8)])
+    word = np.zeros(len(data) + SHARD_ORDER, dtype=_U)
     for k in range(8):
         word = (word << _U(8)) | padded[k : k + len(word)]
-    return np.lexsort([word[8 * k : 8 * k + len(data)] for k in range((WINDOW + 7) // 8 - 1, -1, -1)] + [shard])
+    keys = [word[k : k + len(data)] for k in range(SHARD_ORDER - 8, -1, -8)]
+    edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(data)]
+    return np.concatenate([a + np.lexsort([k[a:b] for k in keys]) for a, b in zip(edges[:-1], edges[1:], strict=True)]).astype(np.int32)
 
 
 def merge_transforms(data: np.ndarray, shard: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge the shards' transforms: window places in merged order, and the interval of equal windows each lies in.
 
-    ``data``: segments one after another; ``shard``: of every byte; segment k
-    begins at ``starts[k]`` and has ``windows[k]`` windows.
+    ``data``: segments one after another; ``shard``: of every byte, ascending;
+    segment k begins at ``starts[k]`` and has ``windows[k]`` windows.
     """
-    array = suffix_array(data, shard)
-    rank = np.empty(len(array), dtype=np.int64)
-    rank[array] = np.arange(len(array))
+    array = shard_arrays(data, shard)
+    rank = np.empty(len(array), dtype=np.int32)
+    rank[array] = np.arange(len(array), dtype=np.int32)
     # The transform in steps of two bytes: what stands before each suffix, and whose suffix that is.
-    back = np.where(array >= 2, array - 2, 0)
+    back = np.maximum(array - 2, 0)
     symbol = (data[back].astype(np.uint16) << 8) | data[back + 1]
     step = rank[back]
     # To how many bytes the order must be right for a suffix: those past the last window serve the ones before.
-    offset = np.arange(len(data)) - np.repeat(starts, windows + WINDOW - 1)
-    depth = (WINDOW - np.maximum(offset - np.repeat(windows, windows + WINDOW - 1) + 1, 0))[array]
-    reach = np.where(array >= 2, depth[step], -1)
-    order, interval = np.arange(len(array)), np.zeros(len(array), dtype=np.int64)
+    offset = np.arange(len(data)) - np.repeat(starts + windows - 1, windows + WINDOW - 1)
+    depth = (WINDOW - np.maximum(offset, 0)).astype(np.int8)[array]
+    reach = np.where(array >= 2, depth[step], np.int8(-1))
+    order, interval = np.arange(len(array), dtype=np.int32), np.zeros(len(array), dtype=np.int32)
     for right in range(2, WINDOW + 1, 2):
         alive = reach[order] >= right
         order, interval = order[alive], interval[alive]
@@ -307,7 +322,7 @@ def merge_transforms(data: np.ndarray, shard: np.ndarray, starts: np.ndarray, wi
         sort = np.argsort(key, kind="stable")
         order, interval, key = order[sort], interval[sort], key[sort]
         differs = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.concatenate([[0], np.cumsum(differs)]) if len(order) else interval
+        interval = np.concatenate([np.zeros(min(len(order), 1), np.int32), np.cumsum(differs, dtype=np.int32)])
         order = step[order]
     return array[order], interval
 
@@ -359,7 +374,7 @@ def _merge_segments(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ARROW)
 
 
-def _clean(buckets: int):
+def _clean(buckets: int, as_text: bool):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         block = Block.unpack(next(r for r in rows if r["kind"] == "texts"))
@@ -386,14 +401,19 @@ def _clean(buckets: int):
             found["n_bytes"].append(end - begin)
             found["n_removed"].append(sum(ends) - sum(begins))
             found["n_spans"].append(len(begins))
-            found["kept"].append(b"".join(whole[x:y] for x, y in zip([begin, *ends], [*begins, end], strict=True)))
-        return pa.table({"id": pa.array(block.ids), **{k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in found.items()}})
+            parts = [whole[x:y] for x, y in zip([begin, *ends], [*begins, end], strict=True)]
+            found["kept"].append("".join(p.decode(errors="ignore") for p in parts) if as_text else b"".join(parts))
+        kept = pa.string() if as_text else pa.binary()
+        return pa.table({"id": pa.array(block.ids), **{k: pa.array(v, kept if k == "kept" else pa.int64()) for k, v in found.items()}})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row its id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """Per row its id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes).
+
+    ``as_text``: ``kept`` is a string, without characters of which a part was removed.
+    """
     text_column = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(id_column).cast("long").alias("id"), text_column.alias("text"))
     size = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -403,8 +423,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     shared = settled(sent.filter("kind = 'anchors'").groupBy("bucket").applyInArrow(_answer_anchors, _SPEC), "suffix-anchors")
     segments_sent = texts.unionByName(shared).groupBy("block").applyInArrow(_send_segments(buckets), _SPEC)
     smallest = segments_sent.groupBy("bucket").applyInArrow(_merge_segments, _SPEC)
-    out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    cleaned = texts.unionByName(shared).unionByName(smallest).groupBy("block").applyInArrow(_clean(buckets), out)
+    out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if as_text else "binary")
+    cleaned = texts.unionByName(shared).unionByName(smallest).groupBy("block").applyInArrow(_clean(buckets, as_text), out)
     zero = F.lit(0).cast("long")
-    rest = read.filter("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    rest = read.filter("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("string" if as_text else "binary").alias("kept"))
     return cleaned.unionByName(rest).withColumnRenamed("id", id_column)
