@@ -45,11 +45,19 @@ def half_up(number: Column) -> Column:
 
 
 def redact(value: Column) -> Column:
-    """Fixed format: header mask, short mask, or first four + '...' + last two."""
+    """Fixed format: header mask, short mask, or first four + '...' + last two UTF-16 units.
+
+    A character that four or two units would cut in two is left out.
+    """
+    four, two = F.substring(value, 1, 4), F.right(value, F.lit(2))
+    head = F.when(units(four, True) == 4, four)
+    for n in (3, 2):
+        head = head.when(units(F.substring(value, 1, n), True) <= 4, F.substring(value, 1, n))
+    tail = F.when(units(two, True) == 2, two).when(units(F.right(value, F.lit(1)), True) <= 2, F.right(value, F.lit(1)))
     return (
         F.when(F.startswith(value, F.lit("-----BEGIN")), F.lit("-----BEGIN ***-----"))
-        .when(F.length(value) <= 6, F.concat(F.substring(value, 1, 1), F.lit("***")))
-        .otherwise(F.concat(F.substring(value, 1, 4), F.lit("..."), F.right(value, F.lit(2))))
+        .when(units(value, True) <= 6, F.concat(F.substring(value, 1, 1), F.lit("***")))
+        .otherwise(F.concat(head, F.lit("..."), tail))
     )
 
 

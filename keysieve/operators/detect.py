@@ -36,7 +36,8 @@ def _spans_of(order: Column, rows: Column) -> Column:
             order.alias("rule_order"),
             value.alias("value"),
         )
-        return {"pos": at + F.length(hit)}, F.array(span)
+        # A group that took no part in the match, or took nothing, is no finding.
+        return {"pos": at + F.length(hit)}, F.when(F.length(value) > 0, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     return fold_emit(rows, {"pos": F.lit(0)}, step, SPAN)
 
@@ -91,6 +92,11 @@ def _span_steps(catalog: Catalog) -> tuple[tuple[Column, ...], ...]:
         F.when(F.col(f"{_WORK}may") & rule.may_match(text), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).alias(f"{_WORK}m{i}")
         for i, rule in numbered
     )
+    # The same matcher over the whole text: a value keeps its context, such as lookarounds.
+    values = tuple(
+        F.when(F.size(f"{_WORK}m{i}") > 0, F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.value_group))).alias(f"{_WORK}v{i}")
+        for i, rule in numbered
+    )
     split = tuple(
         F.when(F.size(f"{_WORK}m{i}") > 0, F.split(text, rule.pattern, -1)).alias(f"{_WORK}g{i}")
         for i, rule in numbered
@@ -98,8 +104,7 @@ def _span_steps(catalog: Catalog) -> tuple[tuple[Column, ...], ...]:
 
     def rows_of(i: int, rule: Rule) -> Column:
         gaps, hits = F.col(f"{_WORK}g{i}"), F.col(f"{_WORK}m{i}")
-        values = F.transform(hits, lambda hit: F.regexp_extract(hit, rule.pattern, rule.value_group))
-        zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
+        zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.col(f"{_WORK}v{i}").alias("value"))
         return F.when(gaps.isNotNull(), F.slice(zipped, F.lit(1), F.size(hits)))
 
     matched = F.filter(
@@ -135,7 +140,7 @@ def _span_steps(catalog: Catalog) -> tuple[tuple[Column, ...], ...]:
     return (
         (candidate,),
         found,
-        (*[F.col(f"{_WORK}m{i}") for i, _ in numbered], *split),
+        (*[F.col(f"{_WORK}m{i}") for i, _ in numbered], *values, *split),
         (matched.alias(f"{_WORK}rows"),),
         (per_rule.alias(f"{_WORK}spans"),),
         (merged.alias(f"{_WORK}merged"), rest.alias(f"{_WORK}rest")),

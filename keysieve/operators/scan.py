@@ -11,31 +11,25 @@ from keysieve.catalog import Catalog, default_catalog
 from keysieve.operators.detect import annotate_places, annotate_spans
 from keysieve.operators.summary import score
 
-# Targets up to this many rows are broadcast to filter the texts; more than
-# that and the narrow spans travel to the targets instead.
-BROADCAST_ROWS = 200_000
-
-
 def scan_manifest(
     targets: DataFrame,
     files: DataFrame,
     keys: Sequence[str] = ("repo", "path"),
     catalog: Catalog | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Every target with ``readable`` (its text exists), ``spans`` and ``places``.
 
-    Texts are never shuffled. Few targets (counted first): they are broadcast
-    and only their texts are searched. Many targets: every text is searched
-    where it lies, and only the narrow result is joined.
+    Every text is searched where it lies, and only the narrow spans travel to
+    the targets. ``prefilter``: keep only the targets' texts first, by a semi
+    join that Spark plans from the sizes it knows; right where the targets are
+    few and the texts of others many.
     """
     catalog = catalog or default_catalog()
     keys = list(keys)
-    wanted = targets.select(*keys).distinct()
-    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
     texts = files.select(*keys, "text")
-    if few:
-        texts = texts.join(F.broadcast(wanted), keys, "left_semi")
+    if prefilter:
+        texts = texts.join(targets.select(*keys), keys, "left_semi")
     placed = annotate_places(annotate_spans(texts, catalog))
     narrow = placed.select(*keys, F.col("text").isNotNull().alias("readable"), "spans", "places")
     joined = targets.join(narrow, keys, "left")

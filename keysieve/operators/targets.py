@@ -144,8 +144,13 @@ def walk_sample_targets(tree: DataFrame, cap: int = MAX_FILES) -> DataFrame:
 
 
 def latest_commit_targets(changes: DataFrame) -> DataFrame:
-    """Files of the newest commit that still exist after it."""
-    tip = recent_commits(changes, 1).select("repo", "commit_id")
+    """Files of the newest commit that still exist after it.
+
+    A commit without one before it has nothing to differ from: a repository's
+    only commit gives no files.
+    """
+    newest = recent_commits(changes, 2).withColumn("commits", F.max("commit_rank").over(Window.partitionBy("repo")))
+    tip = newest.filter("commit_rank = 1 AND commits > 1").select("repo", "commit_id")
     kept = F.substring("status", 1, 1).isin(*KEPT_STATUSES)
     return (
         changes.filter(kept)
@@ -181,7 +186,7 @@ def confined_saves(saves: DataFrame, modified: DataFrame) -> DataFrame:
 
 def repo_registry(references: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ``references(input)`` into one row per owner and name, and the invalid inputs."""
-    parsed = references.withColumn("ref", repo_owner_and_name(F.col("input")))
+    parsed = references.withColumn("input", js_trim(F.col("input"))).withColumn("ref", repo_owner_and_name(F.col("input")))
     valid = (
         parsed.filter(F.col("ref").isNotNull())
         .groupBy(F.col("ref.owner").alias("owner"), F.col("ref.name").alias("name"))

@@ -30,15 +30,16 @@ def _named(names: str, body: str) -> str:
     return f"(?i)\\b(?:{names})\\b{_CLASS_SPACE}[:=]{_CLASS_SPACE}(?:{_quoted(body)})"
 
 
-# DuckDB regexes have neither back references nor lookaround: one alternative
-# per quote, and the "not sk-ant-" condition is applied to the value.
+# The rules' patterns, as far as DuckDB can spell them. DuckDB
+# regexes have neither back references nor lookaround: one alternative per
+# quote, and the "not sk-ant-" condition is applied to the value.
 _PATTERNS = (
     _quoted("sk-ant-[A-Za-z0-9_-]{16,}"),
     _quoted("sk-[A-Za-z0-9_-]{20,}"),
-    _quoted("gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{20,}"),
-    _quoted("A[KS]IA[0-9A-Z]{16}"),
+    _quoted("(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{20,}"),
+    _quoted("(?:AKIA|ASIA)[0-9A-Z]{16}"),
     _named("aws_secret_access_key|secret_access_key", "[A-Za-z0-9/+=]{40}"),
-    _quoted("[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    _quoted("(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}"),
     _quoted("xox[baprs]-[A-Za-z0-9-]{10,}"),
     _quoted("AIza[0-9A-Za-z_-]{35}"),
     "-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
@@ -203,16 +204,16 @@ def _cards(source: str, demo: bool, name: str = "cards") -> str:
     scan = "local" if demo else "web"
     name_of = "'source file'" if demo else "regexp_extract(coalesce(nullif(file_path, ''), 'source file'), '[^/]*$')"
     path_of = "coalesce(nullif(file_path, ''), nullif(file_name, ''), 'unknown')" if demo else "coalesce(nullif(file_path, ''), nm)"
-    fix = " with the editor''s quick fix." if demo else ", or take it from the platform''s secret store."
-    return f"""{name} AS (SELECT *, coalesce(nullif(message, ''), 'Hardcoded ' || st || ' found.') AS issue_found,
-        loc AS location, 'Get the hardcoded ' || st || ' out of the code before it is misused.' AS intent,
-        'The {scan} scan''s fixed rule for ' || st || ' matched in ' || nm || '. Anyone who can read the code or its history can take the value; that allows ' || reach || '.' AS reasoning,
-        technique AS mitre_tactic, st || ' in ' || nm || ', line ' || ln || '.' AS summary,
-        coalesce(nullif(explanation, ''), 'A leaked secret allows ' || reach || '.') AS impact,
+    fix = " (editor)" if demo else " (or a secret store)"
+    return f"""{name} AS (SELECT *, coalesce(nullif(message, ''), st || ' in a source text') AS issue_found,
+        loc AS location, 'remove: ' || st AS intent,
+        '{scan} scan: rule ''' || st || ''' in ' || nm || '; allows ' || reach AS reasoning,
+        technique AS mitre_tactic, nm || ':' || ln || ' ' || st AS summary,
+        coalesce(nullif(explanation, ''), 'allows ' || reach) AS impact,
         CASE WHEN lower(severity) IN ('critical', 'high') THEN 'High' WHEN lower(severity) = 'medium' THEN 'Medium' WHEN lower(severity) = 'low' THEN 'Low' ELSE 'High' END AS card_severity,
         94 AS confidence, 88 AS fluency_score,
         'file=' || loc || '|provider=' || coalesce(nullif(provider, ''), 'unknown') || '|severity=' || coalesce(nullif(severity, ''), 'unknown') || '|secretType=' || st || '|detector={scan}-scan' AS context_used,
-        'Check the hardcoded ' || st || ' at ' || nm || ':' || ln || '.|Read process.env.' || coalesce(nullif(env_var, ''), 'SECRET') || ' in its place{fix}|Revoke and reissue the credential, and look for it in the git history.' AS next_actions
+        'verify ' || nm || ':' || ln || '|set process.env.' || coalesce(nullif(env_var, ''), 'SECRET') || '{fix}|rotate' AS next_actions
       FROM (SELECT *, {path_of} || ':' || ln || ':' || coalesce(CAST(nullif("character", 0) AS VARCHAR), '?') AS loc FROM (
         SELECT *, coalesce(nullif(file_name, ''), {name_of}) AS nm, coalesce(nullif(secret_type, ''), 'secret') AS st,
           coalesce(CAST(nullif(line, 0) AS VARCHAR), '?') AS ln,
@@ -257,17 +258,15 @@ _ANSWERED = f"""answered AS (SELECT doc_id, ordinal, {_text_field('issue_found')
     FROM answers WHERE content <> '') x WHERE j IS NOT NULL)"""
 
 _FIXED_ALERT = {
-    "issue_found": "An insight report names a security finding.",
-    "location": "The insight report tells the source file.",
-    "intent": "Explain the open finding and name the safest next steps.",
-    "reasoning": "There was no structured finding to work from, only the report's text, which is weak evidence. "
-    "Scan again to tie the triage to an exact file and line.",
+    "issue_found": "alert without finding",
+    "location": "unknown",
+    "intent": "triage: text only",
+    "reasoning": "No finding is linked to this alert; its text is all there is.",
     "mitre_tactic": tri.UNSECURED,
-    "impact": "An open finding may mean an exposed secret that must be removed.",
+    "impact": "not known",
     "card_severity": "High",
     "context_used": "source=insights-summary|detector=unavailable",
-    "next_actions": "Scan the modified files again.|Open the reported file and look at the secret."
-    "|Move the value into process.env with the quick fix.",
+    "next_actions": "rescan|link a finding|triage again",
 }
 
 _CONFIG = """config AS (SELECT repo, coalesce(max(text) FILTER (path = '.env'), '') AS env_text,
@@ -390,8 +389,9 @@ def statements() -> dict[str, str]:
         """SELECT repo, path, status, mode, count(*) AS "rows" FROM options o
             WHERE rank = (SELECT min(rank) FROM options p WHERE p.repo = o.repo) GROUP BY 1, 2, 3, 4""",
         _CLEAN_MODIFIED, _KEPT_MODIFIED,
-        "used AS (SELECT * FROM changes WHERE starts_with(repo, 'n') OR committed_at > TIMESTAMP '1997-01-01')",
-        """tip AS (SELECT repo, commit_id FROM used QUALIFY row_number() OVER (PARTITION BY repo ORDER BY committed_at DESC, commit_id DESC) = 1)""",
+        "used AS (SELECT * FROM changes)",
+        """tip AS (SELECT repo, commit_id FROM used QUALIFY row_number() OVER (PARTITION BY repo ORDER BY committed_at DESC, commit_id DESC) = 1
+              AND min(commit_id) OVER (PARTITION BY repo) <> max(commit_id) OVER (PARTITION BY repo))""",
         f"""walk AS (SELECT repo, path FROM tree WHERE type = 'blob' AND {_SUPPORTED}
             AND NOT regexp_matches(path, '(^|/)(node_modules|\\.git|out|web)(/|\\z)')
             QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 100)""",
@@ -406,7 +406,7 @@ def statements() -> dict[str, str]:
             AND EXISTS (SELECT 1 FROM kept_modified k WHERE k.rename = 'new' AND k.repo = s.repo AND k.path = s.path)""",
         _CLEAN_MODIFIED, _KEPT_MODIFIED,
     )
-    parsed = f"""parsed AS (SELECT input, regexp_extract(v, '(?i)^(?:https?://github\\.com/|git@github\\.com:|)([^/]+)/([^/]+?)(?:\\.git)?/?$', 1) AS owner,
+    parsed = f"""parsed AS (SELECT trim(input, ' ' || {LF}) AS input, regexp_extract(v, '(?i)^(?:https?://github\\.com/|git@github\\.com:|)([^/]+)/([^/]+?)(?:\\.git)?/?$', 1) AS owner,
         regexp_replace(regexp_extract(v, '(?i)^(?:https?://github\\.com/|git@github\\.com:|)([^/]+)/([^/]+)/?$', 2), '(?i)\\.git$', '') AS name,
         regexp_matches(v, '(?i)^(?:https?://github\\.com/[^/]+/[^/]+/?|git@github\\.com:[^/]+/[^/]+|[^/]+/[^/]+)$') AS ok
       FROM (SELECT input, regexp_replace(trim(input, ' ' || {LF}), '(?i)\\.git$', '') AS v FROM repo_refs) r)"""

@@ -20,7 +20,7 @@ from keysieve.operators import triage as tri
 from keysieve.operators.detect import describe, detect, detect_located
 from keysieve.plans.corpus import table
 from keysieve.sources import snapshots as snap
-from keysieve.sources.files import decode_contents, spread_small
+from keysieve.sources.files import decode_contents
 from keysieve.sources.shared import shared_folder, written
 from keysieve.streaming import saves as live
 
@@ -30,7 +30,7 @@ UPDATED_AT = "2024-01-01T00:00:00.000Z"
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     """Planted texts with a supported path."""
-    return spread_small(table(spark, sf, "planted").filter(is_supported(F.col("path"))), "doc_id")
+    return table(spark, sf, "planted").filter(is_supported(F.col("path")))
 
 
 def _located(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +102,7 @@ def raw_text_scan(spark, sf):
     for name, column in sources.items():
         rows = table(spark, sf, name).select(F.lit(name).alias("repo"), F.col(column).alias("text"))
         union = rows if union is None else union.unionByName(rows)
-    return summ.scan_stats(spread_small(union, "text"))
+    return summ.scan_stats(union)
 
 
 def severity_zero_fill(spark, sf):
@@ -114,15 +114,15 @@ def provider_zero_fill(spark, sf):
 
 
 def scanned_manifest(spark, sf):
-    planted = spread_small(table(spark, sf, "planted"), "doc_id")
+    planted = table(spark, sf, "planted")
     manifest = scn.scan_manifest(table(spark, sf, "targets"), planted)
     return manifest.select("repo", "path", "status", "readable", F.size("spans").alias("findings"))
 
 
 def manifest_stats(spark, sf):
     """The route for many targets: spans travel, texts stay."""
-    planted = spread_small(table(spark, sf, "planted"), "doc_id")
-    return scn.manifest_stats(scn.scan_manifest(table(spark, sf, "targets"), planted, broadcast_rows=0))
+    planted = table(spark, sf, "planted")
+    return scn.manifest_stats(scn.scan_manifest(table(spark, sf, "targets"), planted))
 
 
 def changes_normalised(spark, sf):
@@ -154,7 +154,6 @@ def topup_targets_small_cap(spark, sf):
 
 def target_fallback(spark, sf):
     modified, changes, tree = (table(spark, sf, n) for n in ("modified", "changes", "tree"))
-    changes = changes.filter(F.startswith("repo", F.lit("n")) | (F.col("committed_at") > F.lit("1997-01-01")))
     rows = tgt.local_targets(modified, changes, tree)
     return rows.groupBy("repo", "path", "status", "mode").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -1,10 +1,10 @@
-"""Reading source files and fetched file contents into ``files(repo, path, text)``."""
+"""Reading source files and fetched file contents into ``files(path, text)``, with ``repo`` where the source names it."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,57 +15,68 @@ def load_directory(spark: SparkSession, root: str) -> DataFrame:
     Spark's file sources skip names that start with ``.`` or ``_``. Read those
     (``.env`` is a scanned path) through :func:`load_manifest`.
     """
-    prefix = root.rstrip("/").removeprefix("file://") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    behind = F.instr("path", F.lit(prefix)) + F.lit(len(prefix))
-    tail = F.substring("path", behind, F.length("path"))
+    # The file system resolves the root, as it does the files' own paths.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    tail = F.substring(F.col("path"), F.lit(len(whole.rstrip("/")) + 2), F.length("path"))
     return files.select(tail.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-# Inputs up to this size are spread over all cores by one cheap exchange.
-SPREAD_BYTES = 256 * 1024 * 1024
+# Rows are handed on after so many bytes of text.
+BATCH_BYTES = 16_000_000
 
 
-def spread_small(files: DataFrame, *keys: str, limit: int = SPREAD_BYTES) -> DataFrame:
-    """Repartition a small input whose few file splits would leave cores idle.
-
-    The size is the optimizer's estimate of the scan. Larger inputs have splits
-    enough and stay as they are: their texts are never shuffled.
-    """
-    size = files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > limit:
-        return files
-    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
-def _read_locations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_locations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
+    clients: dict[str, fs.FileSystem] = {}
+
+    def read(location: str) -> str:
+        if "://" in location:
+            # One client per scheme and host.
+            root = "/".join(location.split("/", 3)[:3])
+            if root not in clients:
+                clients[root] = fs.FileSystem.from_uri(location)[0]
+            source, name = clients[root], fs.FileSystem.from_uri(location)[1] if root == "file://" else location.split("://", 1)[1]
+        else:
+            source, name = clients.setdefault("", fs.LocalFileSystem()), location
+        with source.open_input_stream(name) as stream:
+            return stream.read().decode("utf-8", errors="replace")
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(c, pa.string()) for c in columns], names=["repo", "path", "text", "reason"])
+
+    rows: list[tuple] = []
+    size = 0
     for batch in batches:
-        # One file at a time: a batch of large files need not fit in memory.
-        for row in batch.itertuples(index=False):
-            location = row.location
+        for one in batch.to_pylist():
+            text, reason = None, None
             try:
-                if "://" in location:
-                    source, name = fs.FileSystem.from_uri(location)
-                else:
-                    source, name = fs.LocalFileSystem(), location
-                with source.open_input_stream(name) as stream:
-                    text = stream.read().decode("utf-8", errors="replace")
-            except FileNotFoundError:
-                text = None
-            yield pd.DataFrame({"repo": [row.repo], "path": [row.path], "text": pd.Series([text], dtype="object")})
-
-
-def load_manifest(manifest: DataFrame) -> DataFrame:
+                text = read(one["location"] or "")
+            except (OSError, pa.ArrowException) as error:
+                reason = type(error).__name__
+            rows.append((one["repo"], one["path"], text, reason))
+            size += len(text or "")
+            if size >= BATCH_BYTES:
+                yield batch_of(rows)
+                rows, size = [], 0
+    if rows:
+        yield batch_of(rows)
+
+
+def load_manifest(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
     """Read ``manifest(repo, path, location)`` file by file, dot names included.
 
-    Absent files keep their row with null text. Locations are URIs or paths
-    that every executor can reach.
+    Files that are absent, unreadable or no files keep their row with null text
+    and a ``reason``. Locations are URIs or paths that every executor can
+    reach. The rows are dealt out anew, so that a manifest in one split is not
+    read by one task.
     """
-    return manifest.select("repo", "path", "location").mapInPandas(
-        _read_locations, "repo string, path string, text string"
-    )
+    spread = manifest.select("repo", "path", F.col("location").cast("string"))
+    spread = spread.repartition(partitions) if partitions else spread.repartition(F.col("location"))
+    return spread.mapInArrow(_read_locations, "repo string, path string, text string, reason string")
 
 
 def _lenient_base64(content: Column) -> Column:

@@ -20,11 +20,16 @@ def _named_folder(spark: SparkSession) -> str | None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests, the application gets a folder of its own
-    (the setting itself cannot be changed in a running session).
+    Where it is unset and driver and executors are one local process, the
+    application gets a folder of its own (the setting itself cannot be changed
+    in a running session). On a cluster it must be set: other machines would
+    neither see nor keep a folder of the driver's.
     """
     folder = _named_folder(spark)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that all machines of the cluster share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = tempfile.mkdtemp(prefix="keysieve-")

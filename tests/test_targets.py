@@ -58,7 +58,7 @@ def test_local_fallback(spark):
         "repo string, status string, path string, old_path string",
     )
     changes = _changes(
-        spark, ("a", 1, "c", 1, "M", "c.py"), ("b", 1, "c", 1, "D", "gone.py"), ("b", 1, "c", 2, "R100", "kept.py"),
+        spark, ("a", 1, "c", 1, "M", "c.py"), ("b", 0, "c0", 1, "A", "early.py"), ("b", 1, "c", 1, "D", "gone.py"), ("b", 1, "c", 2, "R100", "kept.py"),
         ("c", 2, "c2", 1, "D", "gone.py"), ("c", 1, "c1", 1, "M", "older.py"),
     )
     tree = spark.createDataFrame(
@@ -87,8 +87,20 @@ def test_manifest_routes_agree(spark):
         [("r", "a.py", 'x\nk = "sk-' + "a" * 20 + '"'), ("s", "b.py", ""), ("s", "unlisted.py", "password='12345678'")],
         "repo string, path string, text string",
     )
-    for limit in (0, 100):
-        manifest = scan_manifest(targets, files, broadcast_rows=limit)
+    for prefilter in (False, True):
+        manifest = scan_manifest(targets, files, prefilter=prefilter)
         assert _rows(manifest, "path", "readable") == [("a.py", True), ("b.py", True), ("gone.py", False)]
         assert _rows(manifest_findings(manifest), "path", "status", "line", "character") == [("a.py", "M", 2, 6)]
         assert _rows(manifest_stats(manifest), "repo", "open", "scanned", "score") == [("r", 1, 2, 80), ("s", 0, 1, 100)]
+
+
+def test_manifest_reads_the_targets_once_and_in_many_tasks(spark):
+    targets = spark.createDataFrame([("r", "a.py")], "repo string, path string")
+    files = spark.createDataFrame([("r", "a.py", "x")], "repo string, path string, text string")
+    plan = scan_manifest(targets, files)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and plan.count("Scan ExistingRDD") == 2
+
+
+def test_an_only_commit_has_no_latest_files(spark):
+    changes = _changes(spark, ("r", 1, "c", 1, "M", "a.py"), ("s", 1, "c", 1, "M", "b.py"), ("s", 2, "d", 1, "M", "c.py"))
+    assert _rows(tgt.latest_commit_targets(changes), "repo", "path") == [("s", "c.py")]
