@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.catalog import Catalog, default_catalog
-from keysieve.functions.text import cut, js_trim, lines
-from keysieve.operators.detect import with_candidates
+from keysieve.functions.text import cut, js_trim, lines, redact
+from keysieve.operators.detect import annotate_spans, with_candidates
 from keysieve.operators.skew import join_groups
 
 # Config file names and the ignore entry.
@@ -207,6 +207,17 @@ def rewrite_sources(
     return rows.select(*keys, new_text.alias("text"))
 
 
+def redact_texts(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """``files`` with every found value masked in its ``text``. Map-only; keeps every row."""
+    columns = files.columns
+    found = annotate_spans(files, catalog)
+    cuts = F.flatten(F.transform("spans", lambda s: F.array(s.getField("start"), s.getField("end"))))
+    found = found.withColumns({"__cuts": cuts, "__new": F.transform("spans", lambda s: redact(s.getField("value")))})
+    found = found.withColumn("__pieces", cut(F.col("text"), F.col("__cuts")))
+    masked = replace_spans(F.col("text"), F.col("__cuts"), F.col("__pieces"), F.col("__new"))
+    return found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))).select(*columns)
+
+
 def _outside_quotes(text: Column, edit: Column) -> Column:
     start, end = edit.getField("start"), edit.getField("end")
     before, after = F.substring(text, start, F.lit(1)), F.substring(text, end + 1, F.lit(1))

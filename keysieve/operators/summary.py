@@ -16,17 +16,31 @@ def score(open_findings: Column) -> Column:
     return F.greatest(F.lit(0), F.lit(100) - F.lit(20) * open_findings).cast("bigint")
 
 
-def scan_stats(files: DataFrame, by: Sequence[str] = ("repo",), catalog: Catalog | None = None) -> DataFrame:
-    """``open, scanned, score`` per scan. Files without text count as scanned."""
-    return (
+def for_every_scan(stats: DataFrame, scans: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """``stats`` with a row for each of ``scans``, also for those in which no file was scanned."""
+    if scans is None:
+        return stats
+    counters = [c for c in stats.columns if c not in (*by, "score")]
+    joined = scans.select(*by).distinct().join(stats, list(by), "left")
+    return joined.fillna(0, counters).fillna(100, ["score"])
+
+
+def scan_stats(files: DataFrame, by: Sequence[str] = ("repo",), catalog: Catalog | None = None, scans: DataFrame | None = None) -> DataFrame:
+    """``open, scanned, score`` per scan. Files without text count as scanned.
+
+    ``scans`` names all scans; one without files gets 0, 0 and 100.
+    """
+    return for_every_scan(
         annotate_spans(files, catalog)
         .groupBy(*by)
         .agg(F.sum(F.size("spans")).cast("bigint").alias("open"), F.count(F.lit(1)).alias("scanned"))
-        .select(*by, "open", "scanned", score(F.col("open")).alias("score"))
+        .select(*by, "open", "scanned", score(F.col("open")).alias("score")),
+        scans,
+        by,
     )
 
 
-def scan_summary(files: DataFrame, by: Sequence[str] = ("repo",), catalog: Catalog | None = None) -> DataFrame:
+def scan_summary(files: DataFrame, by: Sequence[str] = ("repo",), catalog: Catalog | None = None, scans: DataFrame | None = None) -> DataFrame:
     """``scan_stats`` plus zero-filled counts per severity and provider, as wide columns."""
     catalog = catalog or default_catalog()
     rows = annotate_spans(files, catalog).select(*by, F.posexplode_outer("spans").alias("ordinal", "span"))
@@ -38,7 +52,7 @@ def scan_summary(files: DataFrame, by: Sequence[str] = ("repo",), catalog: Catal
         catalog.attribute("provider", order).alias("provider"),
     )
     # A file's findings share one file: count it at its first (or missing) finding.
-    return (
+    return for_every_scan(
         tagged.groupBy(*by)
         .agg(
             F.count("ordinal").alias("open"),
@@ -46,10 +60,22 @@ def scan_summary(files: DataFrame, by: Sequence[str] = ("repo",), catalog: Catal
             *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES],
             *[F.count_if(F.col("provider") == p).alias(p) for p in PROVIDERS],
         )
-        .withColumn("score", score(F.col("open")))
+        .withColumn("score", score(F.col("open"))),
+        scans,
+        by,
     )
 
 
+def finding_cube(described: DataFrame) -> DataFrame:
+    """Findings per repository, per provider and severity, and in all: one pass over described findings.
+
+    ``all`` stands for a column that a row does not divide by.
+    """
+    names = ("repo", "provider", "severity")
+    cube = described.groupingSets([["repo"], ["provider", "severity"], []], *names).agg(F.count(F.lit(1)).alias("findings"))
+    return cube.select(*[F.coalesce(n, F.lit("all")).alias(n) for n in names], "findings")
+
+
 def _unpivot(summary: DataFrame, by: Sequence[str], names: Sequence[str], label: str) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(n).alias(label), F.col(n).alias("findings")) for n in names])
     return summary.select(*by, F.inline(entries))

@@ -351,6 +351,24 @@ def statements() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path, s) = 1"""
     )
     out["scan_summary"] = _found(f"SELECT repo, CAST(open AS BIGINT) AS open, scanned, {_SCORE} AS score FROM counted", _COUNTED)
+    kind = "regexp_extract(path, '[^.]*$')"
+    out["scan_stats_all"] = _found(
+        f"""SELECT s.repo, s.kind, CAST(coalesce(open, 0) AS BIGINT) AS open, coalesce(scanned, 0) AS scanned, CAST(greatest(0, 100 - 20 * coalesce(open, 0)) AS BIGINT) AS score
+          FROM (SELECT DISTINCT repo, {kind} AS kind FROM planted) s LEFT JOIN (
+            SELECT repo, {kind} AS kind, count(*) AS scanned, sum(coalesce(n, 0)) AS open FROM files
+            LEFT JOIN (SELECT repo, path, count(*) AS n FROM found GROUP BY 1, 2) f USING (repo, path) GROUP BY 1, 2) c USING (repo, kind)"""
+    )
+    out["finding_cube"] = _located(
+        """SELECT coalesce(repo, 'all') AS repo, coalesce(provider, 'all') AS provider, coalesce(severity, 'all') AS severity, count(*) AS findings
+            FROM described GROUP BY GROUPING SETS ((repo), (provider, severity), ())"""
+    )
+    out["redacted_corpus"] = _located(
+        """SELECT doc_id, md5(coalesce(head || substring(text, last + 1), text)) AS text_md5 FROM files LEFT JOIN (
+            SELECT doc_id, max(e) AS last, string_agg(substring(text, prev + 1, s - prev) || shown, '' ORDER BY s) AS head FROM (
+              SELECT d.doc_id, s, e, text, regexp_extract(explanation, 'Detected value: (.*)$', 1) AS shown,
+                coalesce(lag(e) OVER (PARTITION BY d.doc_id ORDER BY s), 0) AS prev FROM described d JOIN files USING (repo, path)) x
+            GROUP BY 1) y USING (doc_id)"""
+    )
     any_rule = " OR ".join(f"regexp_matches(t, {text(rx)})" for rx in _PATTERNS)
     out["raw_text_scan"] = f"""SELECT repo, count(*) FILTER ({any_rule}) AS open, count(*) AS scanned,
         CAST(greatest(0, 100 - 20 * count(*) FILTER ({any_rule})) AS BIGINT) AS score

@@ -105,6 +105,21 @@ def raw_text_scan(spark, sf):
     return summ.scan_stats(union)
 
 
+def scan_stats_all(spark, sf):
+    """Scans per repository and kind of file; kinds that are not scanned give scans without files."""
+    kind = F.element_at(F.split("path", "[.]"), -1)
+    scans = table(spark, sf, "planted").withColumn("kind", kind)
+    return summ.scan_stats(_files(spark, sf).withColumn("kind", kind), ("repo", "kind"), scans=scans)
+
+
+def finding_cube(spark, sf):
+    return summ.finding_cube(describe(detect(_files(spark, sf))))
+
+
+def redacted_corpus(spark, sf):
+    return rem.redact_texts(_files(spark, sf)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def severity_zero_fill(spark, sf):
     return summ.by_severity(summ.scan_summary(_files(spark, sf)))
 
@@ -391,7 +406,7 @@ def stream_current_findings(spark, sf):
 
 REGISTERED: tuple[Query, ...] = (
     supported_paths, detect_spans, detect_by_rule, overlap_suppression, finding_positions, redacted_findings,
-    diagnostics, range_lookup, first_finding, scan_summary, raw_text_scan, severity_zero_fill, provider_zero_fill,
+    diagnostics, range_lookup, first_finding, scan_summary, scan_stats_all, finding_cube, redacted_corpus, raw_text_scan, severity_zero_fill, provider_zero_fill,
     scanned_manifest, manifest_stats, changes_normalised, recent_commit_targets, tree_sample_targets, topup_targets,
     topup_targets_small_cap, target_fallback, targeted_saves, repo_refs, repo_refs_invalid, history_running,
     history_latest, audit_trail, current_findings, workspace_totals, insight_report, dashboard_rollup, triage_cards,
