@@ -10,14 +10,15 @@ component of the signature, which keeps its earliest point: two texts agree in
 a component with the probability of their weighted Jaccard similarity. Points
 later than the time by which all components are surely hit are never made.
 
-Bands of components put texts into buckets. Within a bucket, leaders are
-compared with all members; texts not similar to any leader lead in the next
-round, four times as many as before, until every text has led or is similar to
-a leader. Then texts of different classes that share a bucket are compared
-unless the triangle inequality over a leader they were compared with rules
-similarity out. So no link between bucket members of different classes is
-missed, and a group of copies is never expanded into all its pairs.
-Similarity is computed from whole texts, exactly.
+Bands of components put texts into buckets. In every bucket one leader is
+compared with all members; what is similar joins its class. Texts of other
+classes than the bucket's largest lead in later rounds, eight times as many in
+each, and are compared with texts of other classes, unless their overlaps with
+the first leader and with further candidates bound their own too low. It ends when no text
+outside its bucket's largest class is left that has not led. So every pair of
+bucket members that end in different classes was compared or ruled out, and a
+group of copies is never expanded into all its pairs. Similarity is that of
+whole texts, as multisets of 64-bit shingle hashes.
 
 Defined cases
 -------------
@@ -33,13 +34,13 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysieve.llm.common import settled
@@ -48,9 +49,10 @@ WIDTH = 5
 THRESHOLD = 0.8
 #: At similarity 0.8, a pair misses all bands with a probability of about 2e-5.
 BANDS, ROWS = 36, 6
-GROWTH = 4
-BATCH_WORDS = 1_500_000
-CACHE_ENTRIES = 400_000
+GROWTH = 8
+BLOCK_TEXTS = 1000
+BATCH_WORDS = 500_000
+CACHE_ENTRIES = 200_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,53 +161,87 @@ def _signed(docs: DataFrame, id_column: str, text: str, bands: int, rows: int) -
                 keys = band_keys(signatures(*shingle_weights(words, hashes), len(words), bands * rows), bands, rows)
                 lists = [k.tolist() if w else None for k, w in zip(keys, words, strict=True)]
                 address = [None if t is None else hashlib.sha256(t.encode()).digest() for t in texts[start:end]]
+                sizes = [max(len(w) - WIDTH + 1, 1) for w in words]
                 yield pa.record_batch(
-                    [batch.column(0).slice(start, end - start), pa.array(address, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                    names=["id", "address", "keys"],
+                    [batch.column(0).slice(start, end - start), pa.array(address, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
+                    names=["id", "address", "size", "keys"],
                 )
                 start = end
 
-    return docs.select(id_column, text).mapInArrow(run, f"id {kind}, address binary, keys array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    return docs.select(id_column, text).mapInArrow(run, f"id {kind}, address binary, size bigint, keys array<bigint>").withColumn("row", F.monotonically_increasing_id())
 
 
-def shingles(text: str, width: int = WIDTH) -> Counter:
-    """The multiset of a text's shingles."""
-    words = text.encode().split()
-    if len(words) < width:
-        return Counter([tuple(words)] if words else [])
-    return Counter(zip(*[words[k:] for k in range(width)], strict=False))
+def shingle_items(words: list[list[bytes]], hashes: dict) -> list[np.ndarray]:
+    """Per text one 64-bit item for every occurrence of a shingle: the multiset as a set."""
+    text, shingle, weight = shingle_weights(words, hashes)
+    owner = np.repeat(np.arange(len(text)), weight)
+    nth = (np.arange(len(owner)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(np.uint64)
+    items = _mix(shingle[owner] + nth * _GOLDEN).view(np.int64)
+    return np.split(items, np.searchsorted(text[owner], np.arange(1, len(words))))
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard similarity of two multisets, 0 where both are empty."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    common = sum(min(n, large[s]) for s, n in small.items() if s in large)
-    union = a.total() + b.total() - common
-    return common / union if union else 0.0
-
-
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the similarity of their whole texts."""
+def _with_items(texts: DataFrame) -> DataFrame:
+    """``node`` and ``items`` of candidate texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
-            known: dict[int, Counter] = {}
-            out: list[float] = []
-            columns = [batch.column(n) for n in ("a", "b", "ta", "tb")]
-            for a, b, ta, tb in zip(*columns, strict=True):
-                sides = []
-                for node, text in ((a.as_py(), ta), (b.as_py(), tb)):
-                    if node not in known:
-                        if len(known) >= 64:
-                            known.clear()
-                        known[node] = shingles(text.as_py())
-                    sides.append(known[node])
-                out.append(similarity(*sides))
-            yield pa.record_batch([columns[0], columns[1], pa.array(out, pa.float64())], names=["a", "b", "sim"])
-
-    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").mapInArrow(run, "a bigint, b bigint, sim double")
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                items = shingle_items([t.as_py().encode().split() for t in part.column(1)], hashes)
+                yield pa.record_batch([part.column(0), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
+
+    return texts.mapInArrow(run, "node bigint, items array<bigint>")
+
+
+def similarities(items: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of the pairs (a[i], b[i]) of item sets."""
+    sizes = np.array([len(i) for i in items])
+    numbers = np.unique(np.concatenate(items), return_inverse=True)[1]
+    parts = np.split(numbers, np.cumsum(sizes)[:-1])
+    common = np.zeros(len(a), dtype=np.int64)
+    mark = np.zeros(len(numbers) + 1, dtype=bool)
+    order = np.argsort(a, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        left = parts[a[own[0]]]
+        mark[left] = True
+        # The partners of one text, some at a time.
+        for start in range(0, len(own), 256):
+            some = own[start : start + 256]
+            ends = np.cumsum(sizes[b[some]])
+            hits = np.concatenate([[0], np.cumsum(mark[np.concatenate([parts[i] for i in b[some]])])])
+            common[some] = hits[ends] - hits[ends - sizes[b[some]]]
+        mark[left] = False
+    union = sizes[a] + sizes[b] - common
+    return np.where(union > 0, common / np.maximum(union, 1), 0.0)
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """One pair of blocks: rows with items are its texts, rows with a partner its pairs."""
+    texts, pairs = table.filter(pc.is_valid(table["items"])), table.filter(pc.is_null(table["items"]))
+    nodes = texts["node"].to_numpy()
+    order = np.argsort(nodes)
+    items = [texts["items"][int(i)].values.to_numpy() for i in order]
+    a, b = pairs["node"].to_numpy(), pairs["partner"].to_numpy()
+    found = similarities(items, np.searchsorted(nodes[order], a), np.searchsorted(nodes[order], b))
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "sim": pa.array(found)})
+
+
+def _verify(pairs: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
+    """``pairs`` (a, b) with the similarity of their whole texts.
+
+    Texts are dealt into blocks of about ``BLOCK_TEXTS``; a pair belongs to a
+    pair of blocks, and a text goes once to each of those that need it, not
+    once to each of its pairs.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = pairs.select((block("a") * blocks + block("b")).alias("g"), "a", "b")
+    needed = placed.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
+    none = F.lit(None)
+    rows = needed.join(items, "node").select("g", "node", none.cast("long").alias("partner"), "items").unionByName(
+        placed.select("g", F.col("a").alias("node"), F.col("b").alias("partner"), none.cast("array<bigint>").alias("items"))
+    )
+    return rows.groupBy("g").applyInArrow(_compare, "a bigint, b bigint, sim double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,60 +262,108 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", "label")
 
 
-def _members(unique: DataFrame) -> DataFrame:
-    """``bucket`` and ``node`` of buckets with at least two texts; buckets with equal members count once."""
-    bands = unique.select("node", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"))
-    chosen = buckets.filter("n > 1").groupBy("n", "low", "high", "sum").agg(F.min("key").alias("key"))
-    return bands.join(chosen.select("key", "n"), "key").select(F.col("key").alias("bucket"), "node", "n")
+def _shared(places: DataFrame) -> DataFrame:
+    """``places`` in buckets of at least two texts, with their number ``n``; buckets with equal members count once."""
+    buckets = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"))
+    chosen = buckets.filter("n > 1").groupBy("n", "low", "high", "sum").agg(F.min("bucket").alias("bucket"))
+    return places.join(chosen.select("bucket", "n"), "bucket")
+
+
+def _members(bands: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Band buckets without the texts that cannot be similar to any other.
+
+    ``shared`` counts a text's items that any other candidate has as well: no
+    overlap is larger.
+    """
+    single = items.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    lone = single.filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    able = bands.join(lone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0)))
+    return _shared(able.filter(F.col("shared") >= threshold * F.col("size") - 1e-6).drop("lone"))
+
+
+def _either_way(sims: DataFrame) -> DataFrame:
+    """Similarities (leader, node, sim) with either text of a pair as the leader."""
+    return sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim").union(sims.select(F.col("b").alias("leader"), F.col("a").alias("node"), "sim"))
 
 
-def _links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """Verified links (a, b) between texts that share a bucket; None without any candidate."""
-    spark = members.sparkSession
-    tried: DataFrame | None = None
-    leaders: DataFrame | None = None
-    uncovered, take = members, 1
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+def _pairs(met: DataFrame, tried: DataFrame | None) -> DataFrame:
+    pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links: their classes are linked instead of their texts."""
+    if links.isEmpty():
+        return labels
+    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    ends = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(ends.filter("a <> b").distinct()).toDF("label", "into")
+    known = labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
+    fresh = merged.toDF("node", "label").join(labels, "node", "left_anti")
+    return settled(known.unionByName(fresh), "labels")
+
+
+def _links(members: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
+    """Classes (node, label) of linked texts; None without any candidate.
+
+    Round 0: in every bucket, the text with the most bucket places, which tends
+    to lie in the middle of its group, is compared with all others. Later
+    rounds: texts outside the bucket's largest class so far lead, and are
+    compared with the texts of other classes, unless what both share with the
+    first leader, and with others, leaves too small an overlap.
+    """
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"), F.collect_list("bucket").alias("buckets"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), F.xxhash64("node"), "node")
+
+    def leading(some: DataFrame, take: int) -> DataFrame:
+        """The first ``take`` of every bucket by ``nth``, and one more where there are more."""
+        return some.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= take + 1)
+
+    members = settled(members.join(weight, "node"), "weighted-members")
+    blocks = max(1, -(-items.count() // BLOCK_TEXTS))
+    def possible(most: Column) -> Column:
+        """Whether an overlap of ``most`` would make the texts similar."""
+        return most >= threshold * (F.col("size") + F.col("sl") - most) - 1e-6
+
+    near = possible(F.least("shared", "cl"))
+    first = settled(leading(members, 1).filter("nth = 1").select("bucket", F.col("node").alias("leader"), F.col("size").alias("sl"), F.col("shared").alias("cl")), "leaders")
+    if first.isEmpty():
+        return None
+    tried = settled(_verify(_pairs(first.join(members, "bucket").filter((F.col("leader") != F.col("node")) & near), None), items, blocks), "similarities")
+    from_first = first.join(members, "bucket").join(_either_way(tried), ["leader", "node"], "left")
+    # ``own``: what the first leader has as well; ``other``: what only further texts have.
+    overlap = F.round(F.col("sim") * (F.col("size") + F.col("sl")) / (1 + F.col("sim")))
+    own = F.when(F.col("leader") == F.col("node"), F.col("size")).otherwise(overlap).cast("long")
+    larger = settled(
+        from_first.filter("n > 2").withColumn("own", own).select("bucket", "node", "size", "shared", "weight", "buckets", "own", (F.col("shared") - F.col("own")).alias("other")),
+        "members-by-overlap",
+    )
+    labels = components(tried.filter(F.col("sim") >= threshold))
+    led = settled(first.select("bucket", F.col("leader").alias("node")), "led")
+    take = GROWTH
     while True:
-        chosen = settled(
-            uncovered.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= take).select("bucket", F.col("node").alias("leader")), "leaders"
-        )
+        tagged = larger.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        shares = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+        open_members = settled(tagged.join(mixed.select("bucket", "main"), "bucket"), "open-members")
+        waiting = open_members.filter("label <> main").join(led, ["bucket", "node"], "left_anti")
+        ranked = settled(leading(waiting, take).select("nth", "bucket", F.col("node").alias("leader"), F.col("label").alias("ll"), F.col("size").alias("sl"), F.col("shared").alias("cl"), F.col("own").alias("ol"), F.col("other").alias("rl"), F.col("buckets").alias("bl")), "leaders")
+        chosen = ranked.filter(F.col("nth") <= take).drop("nth")
         if chosen.isEmpty():
-            break
-        met = chosen.join(members, "bucket").filter("leader <> node")
-        pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        sims = settled(_verify(pairs, texts), "similarities")
-        tried = sims if tried is None else tried.unionByName(sims)
-        leaders = chosen if leaders is None else leaders.unionByName(chosen)
-        similar = tried.filter(F.col("sim") >= threshold)
-        near = similar.select(F.col("a").alias("leader"), F.col("b").alias("node")).union(similar.select(F.col("b").alias("leader"), F.col("a").alias("node")))
-        covered = chosen.join(near, "leader").select("bucket", "node").union(chosen.select("bucket", F.col("leader").alias("node")))
-        # A bucket of two is settled by its one pair.
-        uncovered = settled(uncovered.filter("n > 2").join(covered.distinct(), ["bucket", "node"], "left_anti"), "uncovered")
+            return labels
+        # A text ruled out for the first leader was not compared with it and has no overlap.
+        within = F.coalesce(possible(F.least("own", "ol") + F.least("other", "rl")), F.lit(True))
+        # A pair that shares several buckets meets in the least of them.
+        once = F.array_min(F.array_intersect("buckets", "bl")) == F.col("bucket")
+        met = chosen.join(open_members, "bucket").filter((F.col("ll") != F.col("label")) & near & within & once)
+        sims = settled(_verify(_pairs(met, tried), items, blocks), "similarities")
+        tried = tried.unionByName(sims)
+        led = led.unionByName(chosen.select("bucket", F.col("leader").alias("node")))
+        labels = _merged(labels, sims.filter(F.col("sim") >= threshold))
+        # A bucket whose waiting texts have all led is done.
+        more = ranked.filter(F.col("nth") > take).select("bucket")
+        larger = open_members.drop("label", "main").join(more, "bucket", "left_semi")
         take *= GROWTH
-    if tried is None:
-        return None
-    links = tried.filter(F.col("sim") >= threshold)
-    if members.filter("n > 2").isEmpty():
-        return links
-    labels = components(links)
-    both = tried.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim").union(tried.select(F.col("b").alias("leader"), F.col("a").alias("node"), "sim"))
-    away = (
-        leaders.join(members.filter("n > 2"), "bucket").join(both, ["leader", "node"])
-        .join(leaders.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
-        .join(labels, "node", "left").select("bucket", "leader", "node", (1 - F.col("sim")).alias("d"), F.coalesce("label", "node").alias("label"))
-    )
-    away = settled(away, "distances")
-    reach = 1 - threshold
-    inner = away.filter(F.col("d") <= reach + 1e-9).toDF("bucket", "leader", "x", "dx", "lx")
-    outer = away.filter(F.col("d") > reach - 1e-9).toDF("bucket", "leader", "y", "dy", "ly")
-    rest = inner.join(outer, ["bucket", "leader"]).filter((F.col("dy") - F.col("dx") <= reach + 1e-9) & (F.col("lx") != F.col("ly")))
-    pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = settled(_verify(pairs, texts), "similarities").filter(F.col("sim") >= threshold)
-    return links.unionByName(more)
 
 
 def near_duplicates(
@@ -288,16 +372,16 @@ def near_duplicates(
     """One row per row of ``docs``: its id, ``class_id`` and ``first`` (true for the one row that stands for its class)."""
     signed = settled(_signed(docs, id_column, text, bands, rows), "signatures")
     nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "nodes")
-    unique = signed.filter("keys is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "keys")
-    members = settled(_members(unique), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "address")
+    unique = signed.filter("keys is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "size", "keys")
+    bands = settled(_shared(unique.select("node", "size", F.explode("keys").alias("bucket"))).drop("n"), "band-members")
+    wanted = nodes.join(bands.select("node").distinct(), "node").select("node", "address")
     addressed = docs.select(F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("address"), F.col(text).alias("text"))
-    texts = settled(addressed.join(wanted, "address").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
-    links = _links(members, texts, threshold)
-    if links is None:
+    texts = addressed.join(wanted, "address").dropDuplicates(["node"]).select("node", "text")
+    items = settled(_with_items(texts), "candidate-items")
+    labels = _links(settled(_members(bands, items, threshold), "members"), items, threshold)
+    if labels is None:
         classes = nodes.select("address", "node", F.col("node").alias("label"), F.col("least_id").alias("class_id"))
     else:
-        labels = components(links)
         least = nodes.join(labels, "node").groupBy("label").agg(F.min("least_id").alias("class_id"))
         linked = labels.join(least, "label").select("node", "label", "class_id")
         classes = nodes.join(linked, "node", "left").select(
