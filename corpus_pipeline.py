@@ -29,7 +29,7 @@ def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and all rules of the table."""
-    return quality.judge(docs).filter("kept").select(*COLUMNS)
+    return quality.keep(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from keysieve.llm.common import settled
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 700_000
 BATCH = 500
 #: A sign that is a token of its own between spaces.
 DIVIDER = "\x01"
@@ -98,7 +98,7 @@ class WordEncoder:
 
     def _learn_all(self, words: set[str]) -> None:
         """Encode words not known yet."""
-        if len(self.known) + len(words) > CACHE_ENTRIES:
+        if len(self.known) + len(self.pieces) + len(words) > CACHE_ENTRIES:
             self.known.clear()
             self.pieces.clear()
         known, pieces, merge, signs, rest = self.known, self.pieces, self.merge, self.signs, []

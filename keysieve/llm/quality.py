@@ -164,6 +164,19 @@ def compile_rules(rules: Sequence[Rule]) -> dict[str, Column]:
     return compiled
 
 
+def keep(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns.
+
+    The filter also names a column of running numbers: without it, the optimizer
+    would move the filter below the projection and measure every text again for
+    each rule.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("__row", F.struct(*columns)).withColumn("__text", F.col(text)).select("__row", "__text")
+    judged = judge(marked, rules, "__text").select("__row", "kept", F.monotonically_increasing_id().alias("__once"))
+    return judged.filter(F.col("kept") & (F.col("__once") >= 0)).select("__row.*")
+
+
 def judge(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text: str = "text") -> DataFrame:
     """``measured`` plus ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``."""
     table = measured(docs.drop("base_failed", "failed_rules", "kept"), text)

@@ -45,16 +45,16 @@ from keysieve.llm.common import press, settled, unpress
 
 WINDOW = 50
 GRAM = 25
-BLOCK_BYTES = 8_000_000
-BUCKET_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
+BUCKET_BYTES = 6_000_000
 PIECE = 1_000_000
 #: Bytes by which shards are sorted before the merge.
 SHARD_ORDER = 16
 
 _U = np.uint64
 _FACTOR = 0x9E3779B97F4A7C15
-#: Anchor hashes travel with so many bits: they only say where to look.
-_SENT_BITS = _U(40)
+#: Anchor hashes travel with the bits of the input's size and so many more: they only say where to look.
+SPARE_BITS = 6
 _SPEC = "kind string, block bigint, bucket int, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in "abcd")])
 
@@ -186,9 +186,9 @@ class Block:
         data = np.frombuffer(zstandard.decompress(row["b"]), dtype=np.uint8)
         return cls(head[2 : 2 + n], head[2 + n : 2 + 2 * n], head[2 + 2 * n : 2 + 2 * n + m], data, first, first + unpress(row["d"]))
 
-    def anchors(self, buckets: int):
+    def anchors(self, buckets: int, bits: int):
         """Sent hashes by (bucket, hash), distinct; the edges of the buckets; the number of each segment's."""
-        sent = self.gram >> (_U(64) - _SENT_BITS)
+        sent = self.gram >> _U(64 - bits)
         distinct, of = np.unique(sent, return_inverse=True)
         bucket = (distinct % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
@@ -202,9 +202,9 @@ class Block:
             self._hashes = _Hashes(self.data)
         return self._hashes
 
-    def repeated(self, answers: list[dict], buckets: int):
+    def repeated(self, answers: list[dict], buckets: int, bits: int):
         """Segments at anchors that other documents have: their places, and the distinct ones in sending order."""
-        distinct, edges, of = self.anchors(buckets)
+        distinct, edges, of = self.anchors(buckets, bits)
         found = np.zeros(len(distinct), dtype=bool)
         for r in answers:
             own = slice(edges[r["bucket"]], edges[r["bucket"] + 1])
@@ -226,11 +226,11 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _first_job(buckets: int):
+def _first_job(buckets: int, bits: int):
     def send(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
         name, block = uuid.uuid4().int >> 65, Block.of(ids, texts)
         rows = [block.pack(name)]
-        distinct, edges, of = block.anchors(buckets)
+        distinct, edges, of = block.anchors(buckets, bits)
         # An anchor is shared within the block if documents with different ids have it.
         low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
         np.minimum.at(low, of, block.least[block.owner])
@@ -267,11 +267,11 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([_row("shared", r["block"], r["bucket"], _bits(shared[of[end - len(s) : end]])) for r, s, end in zip(rows, sent, ends, strict=True)], schema=_ARROW)
 
 
-def _send_segments(buckets: int):
+def _send_segments(buckets: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         block = Block.unpack(next(r for r in rows if r["kind"] == "texts"))
-        chosen, number, one, sent, edges = block.repeated([r for r in rows if r["kind"] == "shared"], buckets)
+        chosen, number, one, sent, edges = block.repeated([r for r in rows if r["kind"] == "shared"], buckets, bits)
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, number, block.least[block.owner[chosen]])
         windows = block.ends[one] - block.first[one]
@@ -374,11 +374,11 @@ def _merge_segments(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ARROW)
 
 
-def _clean(buckets: int, as_text: bool):
+def _clean(buckets: int, bits: int, as_text: bool):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         block = Block.unpack(next(r for r in rows if r["kind"] == "texts"))
-        chosen, number, one, _, edges = block.repeated([r for r in rows if r["kind"] == "shared"], buckets)
+        chosen, number, one, _, edges = block.repeated([r for r in rows if r["kind"] == "shared"], buckets, bits)
         windows = block.ends[one] - block.first[one]
         at = np.cumsum(windows) - windows
         smallest = np.empty(int(windows.sum()), dtype=np.int64)
@@ -417,14 +417,14 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     text_column = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(id_column).cast("long").alias("id"), text_column.alias("text"))
     size = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    sent = settled(read.filter("id is not null").mapInArrow(_first_job(buckets), _SPEC), "suffix-blocks")
+    buckets, bits = max(1, -(-size // BUCKET_BYTES)), min(64, int(size).bit_length() + SPARE_BITS)
+    sent = settled(read.filter("id is not null").mapInArrow(_first_job(buckets, bits), _SPEC), "suffix-blocks")
     texts = sent.filter("kind = 'texts'")
     shared = settled(sent.filter("kind = 'anchors'").groupBy("bucket").applyInArrow(_answer_anchors, _SPEC), "suffix-anchors")
-    segments_sent = texts.unionByName(shared).groupBy("block").applyInArrow(_send_segments(buckets), _SPEC)
+    segments_sent = texts.unionByName(shared).groupBy("block").applyInArrow(_send_segments(buckets, bits), _SPEC)
     smallest = segments_sent.groupBy("bucket").applyInArrow(_merge_segments, _SPEC)
     out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if as_text else "binary")
-    cleaned = texts.unionByName(shared).unionByName(smallest).groupBy("block").applyInArrow(_clean(buckets, as_text), out)
+    cleaned = texts.unionByName(shared).unionByName(smallest).groupBy("block").applyInArrow(_clean(buckets, bits, as_text), out)
     zero = F.lit(0).cast("long")
     rest = read.filter("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("string" if as_text else "binary").alias("kept"))
     return cleaned.unionByName(rest).withColumnRenamed("id", id_column)
