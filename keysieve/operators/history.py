@@ -35,6 +35,11 @@ def _chunk_key(chunk: Column | None) -> Column:
     return F.coalesce(key.cast("bigint"), F.lit(-(1 << 62)))
 
 
+def _wrapped(events: DataFrame, *names: str) -> DataFrame:
+    """Keys as structs of one field: never null themselves, so that joins keep rows with null keys."""
+    return events.withColumns({n: F.struct(F.col(n).alias("key")) for n in names})
+
+
 def _chunk_rows(events: DataFrame, chunk: Column | None) -> DataFrame:
     """Per-event values counted from the start of the event's chunk."""
     upto = (
@@ -97,7 +102,7 @@ def _resolve(fixed: Column, scan: Column, peak: Column) -> dict[str, Column]:
 
 def running_stats(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Each event with ``found, fixed, open`` as they stand after it."""
-    rows = _chunk_rows(events, chunk)
+    rows = _chunk_rows(_wrapped(events, "workspace"), chunk)
     carried = rows.join(_carry(_summarise(rows)), ["workspace", "chunk"])
     here = F.when(
         F.col("rel_scan").isNotNull(),
@@ -108,7 +113,8 @@ def running_stats(events: DataFrame, chunk: Column | None = None) -> DataFrame:
         F.coalesce(here, F.col("scan_before")),
         F.greatest("found_before", F.col("fixed_before") + F.col("rel_found")),
     )
-    return carried.select(*events.columns, *[c.alias(n) for n, c in values.items()])
+    own = [F.col("workspace.key").alias(c) if c == "workspace" else F.col(c) for c in events.columns]
+    return carried.select(*own, *[c.alias(n) for n, c in values.items()])
 
 
 def latest_stats(events: DataFrame, chunk: Column | None = None) -> DataFrame:
@@ -191,7 +197,7 @@ def workspace_scans(document_events: DataFrame, chunk: Column | None = None) ->
     Both the previous count and the running sum are carried between chunks.
     """
     count = F.when(F.col("kind") == "close", F.lit(0)).otherwise(F.col("n_open")).cast("bigint")
-    base = document_events.withColumns({"chunk": _chunk_key(chunk), "count": count})
+    base = _wrapped(document_events, "workspace", "path").withColumns({"chunk": _chunk_key(chunk), "count": count})
     order = F.struct("ts", "seq")
     document = ["workspace", "path"]
 
@@ -216,7 +222,7 @@ def workspace_scans(document_events: DataFrame, chunk: Column | None = None) ->
     totals = summed.groupBy("workspace", "chunk").agg(F.max_by("rel_open", order).alias("moved"))
     totals = totals.select("workspace", "chunk", F.coalesce(F.sum("moved").over(before), F.lit(0)).alias("open_before"))
     return summed.join(totals, ["workspace", "chunk"]).select(
-        "workspace",
+        F.col("workspace.key").alias("workspace"),
         "ts",
         "seq",
         F.lit("scan").alias("kind"),

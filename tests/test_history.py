@@ -93,3 +93,13 @@ def test_audit_trail(spark):
     assert got[1].summary == "2 open findings after scan" and got[2].summary == "1 open finding after scan"
     plan = hist.audit_trail(df)._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 20, Partial" in plan
+
+
+def test_null_keys_keep_their_events(spark):
+    ts = [f"2024-01-01 0{h}:00:00" for h in range(3)]
+    events = spark.createDataFrame([(None, ts[0], 1, "scan", 2), ("w", ts[0], 2, "scan", 1), (None, ts[1], 3, "fix", None)],
+                                   "workspace string, ts string, seq long, kind string, n_open long").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = sorted((r.workspace or "", r.found, r.fixed, r.open) for r in hist.running_stats(events).collect())
+    assert rows == [("", 2, 0, 2), ("", 2, 1, 1), ("w", 1, 0, 1)]
+    documents = events.filter("kind = 'scan'").withColumn("path", F.lit(None).cast("string"))
+    assert sorted((r.workspace or "", r.n_open) for r in hist.workspace_scans(documents).collect()) == [("", 2), ("w", 1)]
