@@ -1,9 +1,10 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 Every version of every path is addressed by the SHA-256 of its text. A ledger
-in a folder that all machines share holds one row per (blob, rule, version)
-that was ever scanned, with the spans found. A run scans only the pairs the
-ledger lacks, appends them, and joins the ledger's findings back to all paths.
+in a folder that all machines share names the (blob, rule, version) triples that
+were ever scanned, a row per blob and run, with the spans found. A run scans
+only what the ledger lacks, appends it, and joins the ledger's findings back to
+all paths.
 
 Defined cases
 -------------
@@ -63,29 +64,27 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-LEDGER = "blob string, rule string, starts array<bigint>, ends array<bigint>"
+LEDGER = "blob string, rules array<string>, spans array<struct<rule:string,start:bigint,end:bigint>>"
 
 
-def spans_of(rule: Rule, compiled: re.Pattern, text: str, lowered: str) -> tuple[list[int], list[int]]:
+def spans_of(rule: Rule, compiled: re.Pattern, text: str, lowered: str) -> list[tuple[int, int]]:
     if rule.hints and not any(h in lowered for h in rule.hints):
-        return [], []
-    found = [m.span() for m in compiled.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-    return [s for s, _ in found], [e for _, e in found]
+        return []
+    return [m.span() for m in compiled.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
 def _scanner(rules: Sequence[Rule]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_key = {r.key: (r, re.compile(r.pattern, re.ASCII)) for r in rules}
-        schema = pa.schema([("blob", pa.string()), ("rule", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+        span = pa.struct([("rule", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+        schema = pa.schema([("blob", pa.string()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(span))])
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for blob, text, todo in zip(batch.column("blob"), batch.column("text"), batch.column("todo"), strict=True):
-                blob, text = blob.as_py(), text.as_py()
+            found = []
+            for text, todo in zip(batch.column("text"), batch.column("todo"), strict=True):
+                text = text.as_py()
                 lowered = text.lower()
-                for key in todo.as_py():
-                    for column, value in zip(rows, (blob, key, *spans_of(*by_key[key], text, lowered)), strict=True):
-                        column.append(value)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+                found.append([{"rule": k, "start": s, "end": e} for k in todo.as_py() for s, e in spans_of(*by_key[k], text, lowered)])
+            yield pa.record_batch([batch.column("blob"), batch.column("todo"), pa.array(found, schema.field("spans").type)], schema=schema)
 
     return scan
 
@@ -106,7 +105,7 @@ def unseen(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES
     The blob's text comes from its first version; only narrow rows decide which
     that is, and only texts still to be scanned are kept.
     """
-    seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
     wanted = F.array(*[F.lit(r.key) for r in rules])
     todo = (
         versions.groupBy("blob").agg(F.min(id_column).alias("__first")).join(seen, "blob", "left")
@@ -144,19 +143,21 @@ ADDED = ("base_spans", "spans", "span_list")
 def findings_of_blobs(ledger: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE_RULES) -> DataFrame:
     """One row per blob: counts ``n_<kind>``, ``span_list`` and the joined strings ``base_spans`` and ``spans``.
 
-    Sorted by start, then by the rules' order; a blob has at most one row per rule.
+    Sorted by start, then by the rules' order.
     """
     order = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (r.key, n)])
     kind = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.kind)])
-    per_rule = (
-        ledger.filter(F.col("rule").isin([r.key for r in rules])).dropDuplicates(["blob", "rule"])
-        .select("blob", "rule", F.transform(
-            F.arrays_zip("starts", "ends"),
-            lambda z: F.struct(z["starts"].alias("start"), order[F.col("rule")].alias("place"), kind[F.col("rule")].alias("kind"), z["ends"].alias("end")),
-        ).alias("found"))
-    )
-    counts = [F.coalesce(F.sum(F.when(F.col("rule") == r.key, F.size("found"))), F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules]
-    per_blob = per_rule.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("span_list"), *counts)
+    # A blob has a row per run that scanned it, and equal rows if it was scanned twice.
+    found = F.array_distinct(F.flatten(F.collect_list("spans")))
+    per_blob = ledger.groupBy("blob").agg(found.alias("found"))
+    current = F.filter("found", lambda s: s["rule"].isin([r.key for r in rules]))
+    placed = F.transform(current, lambda s: F.struct(s["start"], order[s["rule"]].alias("place"), kind[s["rule"]].alias("kind"), s["end"]))
+    per_blob = per_blob.select("blob", F.sort_array(placed).alias("span_list"))
+
+    def count(kind_name: str) -> Column:
+        return F.size(F.filter("span_list", lambda s: s["kind"] == kind_name)).cast("long")
+
+    per_blob = per_blob.withColumns({f"n_{r.kind}": count(r.kind) for r in rules})
     in_base = F.filter("span_list", lambda s: s["place"] < len(base))
     return per_blob.withColumns({"base_spans": _joined(in_base), "spans": _joined(F.col("span_list"))})
 

@@ -103,7 +103,7 @@ def test_only_unseen_pairs_are_scanned(spark, ledger):
     rules = secrets.BASE_RULES
     secrets.scan(docs, ledger, rules).count()
     blobs = len({hashlib.sha256((t or "").encode()).hexdigest() for _, t in SECRET_DOCS})
-    assert secrets.ledger_rows(spark, ledger).count() == blobs * len(rules)
+    assert secrets.ledger_rows(spark, ledger).selectExpr("sum(size(rules))").first()[0] == blobs * len(rules)
     versions = secrets.addressed(docs)
     assert secrets.unseen(versions, secrets.ledger_rows(spark, ledger), rules).count() == 0
     newer = (*rules[:-1], secrets.Rule("hex", 2, r"[0-9a-f]{8,}", 0, 8))
@@ -112,7 +112,7 @@ def test_only_unseen_pairs_are_scanned(spark, ledger):
     more = docs.union(spark.createDataFrame([(9, "secret=abcdefghijklmnop")], docs.schema))
     found = {r.doc_id: r for r in secrets.scan(more, ledger, newer).collect()}
     assert found[9].n_assign == 1 and found[3].n_hex == 1
-    assert secrets.ledger_rows(spark, ledger).filter("rule = 'assign@1'").count() == blobs + 1
+    assert secrets.ledger_rows(spark, ledger).filter("array_contains(rules, 'assign@1')").count() == blobs + 1
 
 
 def test_redacted_texts_hold_no_secret(spark, ledger):
