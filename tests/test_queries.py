@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as contract
 from keysieve.plans import oracle, queries as plans
 
-WITHOUT_SQL = {"snapshot_roundtrip"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")
