@@ -352,7 +352,7 @@ def statements() -> dict[str, str]:
     )
     out["scan_summary"] = _found(f"SELECT repo, CAST(open AS BIGINT) AS open, scanned, {_SCORE} AS score FROM counted", _COUNTED)
     out["snapshot_roundtrip"] = _located(
-        """SELECT repo, path, CAST(CASE WHEN whole THEN n ELSE 0 END AS INT) AS open, CASE WHEN whole THEN '2024-01-01T00:00:00.000Z' ELSE '' END AS updated_at,
+        """SELECT repo, path, CAST(CASE WHEN whole THEN n ELSE 0 END AS BIGINT) AS open, CASE WHEN whole THEN '2024-01-01T00:00:00.000Z' ELSE '' END AS updated_at,
             CASE WHEN whole THEN provider ELSE '' END AS provider, CASE WHEN whole THEN CAST(line AS VARCHAR) ELSE '' END AS line,
             CASE WHEN whole THEN CAST("character" AS VARCHAR) ELSE '' END AS "character", CASE WHEN whole THEN env_var ELSE '' END AS "envVarName"
           FROM (SELECT *, doc_id % 5 <> 0 AS whole, count(*) OVER (PARTITION BY repo, path) AS n FROM described) d WHERE ordinal = 0"""
