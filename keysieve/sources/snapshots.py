@@ -91,15 +91,22 @@ def snapshot_findings(parsed: DataFrame, keys: Sequence[str] = ("repo", "path"))
     return parsed.select(*keys, F.inline("findings"))
 
 
-def write_snapshot(findings: DataFrame, path: str, updated_at: str, by: str = "repo") -> None:
-    """Write snapshot tables as JSON lines: ``findings`` rows and one ``totals`` row per workspace."""
+def write_snapshot(findings: DataFrame, path: str, updated_at: str, by: str = "repo", scans: DataFrame | None = None) -> None:
+    """Write snapshot tables as JSON lines: ``findings`` rows and one ``totals`` row per workspace.
+
+    ``scans`` names all workspaces (column ``by``); those without findings get
+    a row with ``open`` 0. Plain secret values (column ``value``) are left out.
+    """
+    findings = findings.drop("value")
     findings.write.mode("overwrite").json(f"{path}/findings")
     saved = findings.sparkSession.read.schema(findings.schema).json(f"{path}/findings")
     totals = saved.groupBy(by).agg(F.count(F.lit(1)).alias("open"))
+    if scans is not None:
+        totals = scans.select(by).distinct().join(totals, by, "left").fillna(0, ["open"])
     totals.withColumn("updated_at", F.lit(updated_at)).write.mode("overwrite").json(f"{path}/totals")
 
 
-def read_snapshot(spark: SparkSession, path: str, schema) -> tuple[DataFrame, DataFrame]:
-    """``(findings, totals)`` of a snapshot written by :func:`write_snapshot`."""
-    totals = spark.read.schema("repo string, open bigint, updated_at string").json(f"{path}/totals")
+def read_snapshot(spark: SparkSession, path: str, schema, by: str = "repo") -> tuple[DataFrame, DataFrame]:
+    """``(findings, totals)`` of a snapshot written by :func:`write_snapshot` with the same ``by``."""
+    totals = spark.read.schema(f"`{by}` string, open bigint, updated_at string").json(f"{path}/totals")
     return spark.read.schema(schema).json(f"{path}/findings"), totals

@@ -102,3 +102,12 @@ def test_a_cluster_needs_a_shared_folder():
     )
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session)
+
+
+def test_snapshot_tables_by_another_key(spark, tmp_path):
+    findings = spark.createDataFrame([("w1", "a.py", "hidden")], "workspace string, path string, value string")
+    scans = spark.createDataFrame([("w1",), ("w2",)], "workspace string")
+    snap.write_snapshot(findings, str(tmp_path / "s"), "now", by="workspace", scans=scans)
+    rows, totals = snap.read_snapshot(spark, str(tmp_path / "s"), "workspace string, path string, value string", by="workspace")
+    assert [tuple(r) for r in rows.collect()] == [("w1", "a.py", None)]
+    assert sorted((r.workspace, r.open, r.updated_at) for r in totals.collect()) == [("w1", 1, "now"), ("w2", 0, "now")]
