@@ -61,12 +61,19 @@ _ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.
 _powers: dict[int, np.ndarray] = {}
 
 
+def _computed(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, _U(base))
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1), modulo 2**64."""
+    """base**0 to base**(n-1), modulo 2**64; only what a piece needs stays in memory."""
+    kept = PIECE + 2 * WINDOW
+    if n > kept:
+        return _computed(base, n)
     if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, PIECE + 2 * WINDOW), _U(base))
-        steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
+        _powers[base] = _computed(base, kept)
     return _powers[base][:n]
 
 
