@@ -56,7 +56,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    # Workers outlive the stage: what they remember adds to the memory of the stages of a next run.
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, entries=300_000)
 
 
 STAGES = [

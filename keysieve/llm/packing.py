@@ -42,7 +42,8 @@ from keysieve.llm.common import settled
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE_ENTRIES = 700_000
+#: Words that a worker remembers; more save time, fewer memory.
+CACHE_ENTRIES = 1_500_000
 BATCH = 500
 #: A sign that is a token of its own between spaces.
 DIVIDER = "\x01"
@@ -65,7 +66,8 @@ class WordEncoder:
     many at a time, divided by a sign whose token is known.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
+        self.entries = entries
         # Tasks are the unit of parallel work here.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -98,7 +100,7 @@ class WordEncoder:
 
     def _learn_all(self, words: set[str]) -> None:
         """Encode words not known yet."""
-        if len(self.known) + len(self.pieces) + len(words) > CACHE_ENTRIES:
+        if len(self.known) + len(words) > self.entries:
             self.known.clear()
             self.pieces.clear()
         known, pieces, merge, signs, rest = self.known, self.pieces, self.merge, self.signs, []
@@ -136,18 +138,19 @@ class WordEncoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, entries: int) -> WordEncoder:
+    return WordEncoder(path, entries)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text", with_ids: bool = True,
+           entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: id, ``piece`` (from 0), ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``."""
     kind = docs.schema[id_column].dataType.simpleString()
     closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
     names = [id_column, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, entries)
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH):
                 part = batch.slice(first, BATCH)
@@ -256,6 +259,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id")
     return placed.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """Tokenise, cut and pack ``docs``."""
-    return pack(settled(pieces(docs, tokenizer, capacity, id_column, text, with_ids), "pieces"), capacity, id_column)
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text", with_ids: bool = True,
+           entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Tokenise, cut and pack ``docs``; ``entries``: how many words a worker remembers."""
+    return pack(settled(pieces(docs, tokenizer, capacity, id_column, text, with_ids, entries), "pieces"), capacity, id_column)
