@@ -310,6 +310,8 @@ def merge_transforms(data: np.ndarray, shard: np.ndarray, starts: np.ndarray, wi
     ``data``: segments one after another; ``shard``: of every byte, ascending;
     segment k begins at ``starts[k]`` and has ``windows[k]`` windows.
     """
+    # A window is reached from the byte after it: the last segment's last one needs a place past the end.
+    data, shard = np.append(data, np.uint8(0)), np.append(shard, shard[-1])
     array = shard_arrays(data, shard)
     rank = np.empty(len(array), dtype=np.int32)
     rank[array] = np.arange(len(array), dtype=np.int32)
@@ -318,7 +320,7 @@ def merge_transforms(data: np.ndarray, shard: np.ndarray, starts: np.ndarray, wi
     symbol = (data[back].astype(np.uint16) << 8) | data[back + 1]
     step = rank[back]
     # To how many bytes the order must be right for a suffix: those past the last window serve the ones before.
-    offset = np.arange(len(data)) - np.repeat(starts + windows - 1, windows + WINDOW - 1)
+    offset = np.append(np.arange(len(data) - 1) - np.repeat(starts + windows - 1, windows + WINDOW - 1), WINDOW)
     depth = (WINDOW - np.maximum(offset, 0)).astype(np.int8)[array]
     reach = np.where(array >= 2, depth[step], np.int8(-1))
     order, interval = np.arange(len(array), dtype=np.int32), np.zeros(len(array), dtype=np.int32)

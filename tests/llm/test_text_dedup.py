@@ -141,6 +141,29 @@ def test_removal_equals_brute_force(spark, monkeypatch, block_bytes):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain_removal(rows)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_merge_places_every_window(seed):
+    rng = np.random.default_rng(seed)
+    common = bytes(rng.integers(97, 99, 60, dtype=np.uint8))
+    parts = [bytes(rng.integers(97, 99, rng.integers(50, 90), dtype=np.uint8)) for _ in range(6)]
+    # The last segments of both shards end with equal windows.
+    parts = [*parts[:3], parts[3] + common, *parts[4:], common]
+    lengths = np.array([len(p) for p in parts])
+    shard = np.repeat([0, 0, 0, 0, 1, 1, 1], lengths)
+    starts = np.cumsum(lengths) - lengths
+    places, interval = suffix.merge_transforms(np.frombuffer(b"".join(parts), np.uint8), shard, starts, lengths - suffix.WINDOW + 1)
+    whole = b"".join(parts)
+    window = {int(s) + k: whole[s + k : s + k + suffix.WINDOW] for s, n in zip(starts, lengths) for k in range(n - suffix.WINDOW + 1)}
+    assert sorted(places.tolist()) == sorted(window)
+    groups = {}
+    for place, number in zip(places.tolist(), interval.tolist()):
+        groups.setdefault(number, set()).add(place)
+    expected = {}
+    for place, text in window.items():
+        expected.setdefault(text, set()).add(place)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_rows_without_id_stay_whole_and_texts_stay_readable(spark):
     text = "ü" + "y" * 70
     rows = [(None, text), (1, text), (2, "é" + text[1:]), (3, "ü" * 80)]
