@@ -84,26 +84,24 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _divided(self, words: list[str]) -> None:
+    def _divided(self, words: list[str], learnt: dict[str, bytes]) -> None:
         for start in range(0, len(words), 500):
             part = words[start : start + 500]
             joined = f" {DIVIDER} ".join(part)
             if joined.count(DIVIDER) >= len(part):
-                self.known.update((w, pack_ids(self._ids(w))) for w in part)
+                learnt.update((w, pack_ids(self._ids(w))) for w in part)
                 continue
             ids = np.array(self._ids(joined), dtype="<u4")
             ends = np.flatnonzero(ids == self.divider)
             data, at = ids.tobytes(), 0
             for word, end in zip(part, [*(4 * ends).tolist(), len(data)], strict=True):
-                self.known[word] = data[at:end]
+                learnt[word] = data[at:end]
                 at = end + 4
 
-    def _learn_all(self, words: set[str]) -> None:
-        """Encode words not known yet."""
-        if len(self.known) + len(words) > self.entries:
-            self.known.clear()
-            self.pieces.clear()
-        known, pieces, merge, signs, rest = self.known, self.pieces, self.merge, self.signs, []
+    def _learnt(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words not known yet."""
+        learnt: dict[str, bytes] = {}
+        pieces, merge, signs, rest = self.pieces, self.merge, self.signs, []
         for word in words:
             core = word.rstrip(".,")
             if not core.isalpha() or not (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
@@ -119,8 +117,9 @@ class WordEncoder:
                 if tail not in pieces:
                     pieces[tail] = pack_ids(self._ids(tail))
                 ids += pieces[tail]
-            known[word] = ids
-        self._divided(rest)
+            learnt[word] = ids
+        self._divided(rest, learnt)
+        return learnt
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if not _SEPARATORS.search(t) else [w for w in _WHITE.split(t) if w] for t in texts]
@@ -128,12 +127,15 @@ class WordEncoder:
         found = [list(map(get, words)) for words in split]
         lacking = [n for n, ids in enumerate(found) if None in ids]
         if lacking:
-            self._learn_all({w for n in lacking for w, ids in zip(split[n], found[n], strict=True) if ids is None})
+            learnt = self._learnt({w for n in lacking for w, ids in zip(split[n], found[n], strict=True) if ids is None})
             for n in lacking:
-                if None in (ids := list(map(get, split[n]))):  # forgotten just now, to stay within the bound
-                    self._learn_all({w for w, i in zip(split[n], ids, strict=True) if i is None})
-                    ids = [get(w) for w in split[n]]
-                found[n] = ids
+                found[n] = [learnt[w] if ids is None else ids for w, ids in zip(split[n], found[n], strict=True)]
+            # The bound holds between batches: a batch has all of its own words, however many.
+            if len(self.known) + len(learnt) > self.entries:
+                self.known.clear()
+                self.pieces.clear()
+            if len(learnt) <= self.entries:
+                self.known.update(learnt)
         return [b"".join(ids) for ids in found]
 
 

@@ -81,6 +81,16 @@ def test_pieces_equal_the_library(spark):
     check_sequences(rows, 512)
 
 
+@pytest.mark.parametrize("entries", [1, 7, 1000])
+def test_more_words_in_a_text_than_are_remembered(entries):
+    encode, plain = packing.WordEncoder(WORDS, entries), Tokenizer.from_file(WORDS)
+    texts = [" ".join(f"{s}{k:x}, word{chr(97 + k % 26)}" for k in range(40)) for s in ("id", "ź", "id")]
+    # The second text has words of the first and words of its own.
+    for some in (texts[:1], texts[1:], texts):
+        assert encode(some) == [packing.pack_ids(plain.encode(t, add_special_tokens=False).ids) for t in some]
+    assert len(encode.known) <= entries
+
+
 def check_sequences(rows, capacity):
     places = {}
     for r in rows:
