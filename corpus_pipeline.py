@@ -3,27 +3,42 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame. All but the last return the columns of ``documents``.
 
-A document is known by its id. Rows that repeat an id, and rows without one,
-leave at the near-duplicate stage, so that later stages can join by id. A null
-text fails the quality rules. Other columns than those of ``documents`` do not
-pass the first stage.
+A document is a row. Stages join by its id and the SHA-256 of its text, so that
+rows that repeat an id and rows without one stay; equal rows are near-duplicates
+of each other. To the suffix-array stage rows with one id are one document, none
+of whose rows is earlier than another, and a row without an id stays whole. A
+null text fails the quality rules. Other columns than those of ``documents`` do
+not pass the first stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.llm import neardup, packing, quality, secrets, suffix
-from keysieve.llm.common import new_folder, settled, table
+from keysieve.llm.common import new_folder, settled, table, whole_text
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+KEY = ("__missing", "__id", "__address")
+
+
+def _keyed(rows: DataFrame, address: Column) -> DataFrame:
+    """``rows`` with columns that are never null for their id and the address of their text."""
+    return rows.withColumns({"__missing": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__address": address})
+
+
+def _address() -> Column:
+    return F.unhex(F.sha2(whole_text().cast("binary"), 256))
+
+
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``docs`` with the texts of another table, by id."""
-    found = docs.drop("text", "n_chars").join(texts, "doc_id")
+    """``docs`` with the texts that another table has for their ids and texts."""
+    changed = _keyed(texts, F.col("address")).select(*KEY, F.col("kept").alias("text")).dropDuplicates([*KEY])
+    found = _keyed(docs, _address()).drop("text", "n_chars").join(changed, [*KEY])
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -33,10 +48,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every class."""
-    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
-    kept = classes.filter(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """The document with the smallest id of every class, one without an id if no other is in it; null texts are classes of their own."""
+    keepers = _keyed(neardup.keepers(docs.select("doc_id", "text")), F.col("address")).select(*KEY)
+    # Rows with one id and one text are copies; the first of them met stays.
+    distinct = _keyed(docs.filter("text is not null"), _address()).dropDuplicates([*KEY])
+    return distinct.join(keepers, [*KEY]).select(*COLUMNS).unionByName(docs.filter("text is null").select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +61,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Bytes of a character that was cut in two go with it.
     """
     kept = suffix.remove_repeats(docs.select("doc_id", "text"), as_text=True)
-    return _with_text(docs, kept.select("doc_id", F.col("kept").alias("text")))
+    return _with_text(docs, kept)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -366,10 +366,10 @@ def _links(members: DataFrame, items: DataFrame, threshold: float) -> DataFrame
         take *= GROWTH
 
 
-def near_duplicates(
+def classified(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per row of ``docs``: its id, ``class_id`` and ``first`` (true for the one row that stands for its class)."""
+    """One row per row of ``docs``: ``id``, ``row`` (a number of its own), ``address`` (SHA-256 of the text), ``label`` (the row that its class is named by) and ``class_id``; the last three are null for a null text."""
     signed = settled(_signed(docs, id_column, text, bands, rows), "signatures")
     nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "nodes")
     unique = signed.filter("keys is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "size", "keys")
@@ -387,10 +387,24 @@ def near_duplicates(
         classes = nodes.join(linked, "node", "left").select(
             "address", "node", F.coalesce("label", "node").alias("label"), F.coalesce("class_id", "least_id").alias("class_id")
         )
-    placed = signed.select("id", "row", "address").join(classes, "address", "left")
+    return signed.select("id", "row", "address").join(classes.drop("node"), "address", "left").select("id", "row", "address", "label", "class_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row per row of ``docs``: its id, ``class_id`` and ``first`` (true for the one row that stands for its class)."""
+    placed = classified(docs, id_column, text, threshold, bands, rows)
     # The row that stands for a class is the one its label names.
     return placed.select(
         F.col("id").alias(id_column),
         F.coalesce("class_id", "id").alias("class_id"),
         (F.col("row") == F.coalesce("label", "row")).alias("first"),
     )
+
+
+def keepers(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per class of texts that are not null: id and ``address`` of its row with the smallest id; null only if all its ids are."""
+    placed = classified(docs, id_column, text).filter("address is not null")
+    least = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "address")).alias("least")
+    return placed.groupBy("label").agg(least).select(F.col("least.id").alias(id_column), "least.address")

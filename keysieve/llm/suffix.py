@@ -32,6 +32,7 @@ Defined cases
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -400,20 +401,23 @@ def _clean(buckets: int, bits: int, as_text: bool):
         place, low = _ranges(block.first[chosen], lengths), smallest[_ranges(at[number], lengths)]
         edges = np.searchsorted(place, block.starts)
         whole = block.data.tobytes()
-        found: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept")}
+        found: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept", "address")}
         for doc, text in zip(block.ids.tolist(), block.text_of.tolist(), strict=True):
             a, b = edges[text], edges[text + 1]
             hit = place[a:b][low[a:b] < doc]
             begin, end = int(block.starts[text]), int(block.starts[text + 1])
             cut = np.flatnonzero(np.diff(hit) > WINDOW)
             begins, ends = hit[np.r_[0, cut + 1]].tolist() if len(hit) else [], (hit[np.r_[cut, len(hit) - 1]] + WINDOW).tolist() if len(hit) else []
+            found["address"].append(hashlib.sha256(whole[begin:end]).digest() if as_text else None)
             found["n_bytes"].append(end - begin)
             found["n_removed"].append(sum(ends) - sum(begins))
             found["n_spans"].append(len(begins))
             parts = [whole[x:y] for x, y in zip([begin, *ends], [*begins, end], strict=True)]
             found["kept"].append("".join(p.decode(errors="ignore") for p in parts) if as_text else b"".join(parts))
-        kept = pa.string() if as_text else pa.binary()
-        return pa.table({"id": pa.array(block.ids), **{k: pa.array(v, kept if k == "kept" else pa.int64()) for k, v in found.items()}})
+        kinds = {"kept": pa.string() if as_text else pa.binary(), "address": pa.binary()}
+        if not as_text:
+            del found["address"]
+        return pa.table({"id": pa.array(block.ids), **{k: pa.array(v, kinds.get(k, pa.int64())) for k, v in found.items()}})
 
     return run
 
@@ -421,7 +425,8 @@ def _clean(buckets: int, bits: int, as_text: bool):
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """Per row its id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes).
 
-    ``as_text``: ``kept`` is a string, without characters of which a part was removed.
+    ``as_text``: ``kept`` is a string, without characters of which a part was removed,
+    and ``address`` is the SHA-256 of the whole text, which tells rows with one id apart.
     """
     text_column = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(id_column).cast("long").alias("id"), text_column.alias("text"))
@@ -432,8 +437,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     shared = settled(sent.filter("kind = 'anchors'").groupBy("bucket").applyInArrow(_answer_anchors, _SPEC), "suffix-anchors")
     segments_sent = texts.unionByName(shared).groupBy("block").applyInArrow(_send_segments(buckets, bits), _SPEC)
     smallest = segments_sent.groupBy("bucket").applyInArrow(_merge_segments, _SPEC)
-    out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if as_text else "binary")
+    out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string, address binary" if as_text else "binary")
     cleaned = texts.unionByName(shared).unionByName(smallest).groupBy("block").applyInArrow(_clean(buckets, bits, as_text), out)
     zero = F.lit(0).cast("long")
-    rest = read.filter("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("string" if as_text else "binary").alias("kept"))
+    rest = read.filter("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("string" if as_text else "binary").alias("kept"), *[F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("address")] * as_text)
     return cleaned.unionByName(rest).withColumnRenamed("id", id_column)

@@ -95,6 +95,28 @@ def test_stages_take_effect(spark, tmp_path):
     assert found == expected
 
 
+def test_rows_with_null_or_repeated_ids_stay(spark, tmp_path):
+    rng = random.Random(5)
+    texts = {n: words(rng, 80) for n in ("alone", "copied", "near", "one", "two", "later")}
+    edited = texts["near"].split()
+    edited[40] = "changed"
+    ids = [(None, "alone"), (None, "copied"), (None, "copied"), (7, "one"), (7, "two"), (7, "two"), (8, "two"), (9, "later"), (None, "later")]
+    rows = [(i, texts[n]) for i, n in ids] + [(None, texts["near"]), (None, " ".join(edited))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    kept = docs.collect()
+    expected = [(None, "alone"), (None, "copied"), (7, "one"), (7, "two"), (9, "later")]
+    found = [(r.doc_id, r.text) for r in kept]
+    near = [f for f in found if f in {(None, texts["near"]), (None, " ".join(edited))}]
+    assert len(near) == 1
+    assert sorted(map(repr, found)) == sorted(map(repr, [(i, texts[n]) for i, n in expected] + near))
+    for stage in (corpus_pipeline.suffix_dedup, corpus_pipeline.secret_scans):
+        docs = stage(spark, docs, str(tmp_path))
+        assert sorted(map(repr, docs.collect())) == sorted(map(repr, kept))
+    pieces = corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path)).collect()
+    assert sorted(repr(r.doc_id) for r in pieces) == sorted(repr(r.doc_id) for r in kept)
+
+
 def test_stages_take_empty_tables(spark, sf_dir, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
