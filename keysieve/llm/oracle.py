@@ -122,5 +122,48 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op11_phrase_collocations() -> str:
+    # Cutting signs, lengths, least count, share and number of rows of the task.
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+      FROM g, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(ws) GROUP BY ALL),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * k.a * k.a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ')
+             JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, a FROM c, (SELECT unnest([1, 2]) AS i) WHERE m = 3) GROUP BY ALL),
+o AS (SELECT b.*, t.n FROM b JOIN t USING (lang) LEFT JOIN x USING (lang, phrase) WHERE x.longer IS NULL OR 100 * x.longer < 50 * b.a),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
+SELECT * FROM r WHERE rank <= 2000
+"""
+
+
+def op13_ngram_jaccard_join() -> str:
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS shingle
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+z AS (SELECT s.doc_id, s.shingle, n.n FROM s JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS both FROM z a JOIN z b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+      WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * both >= 90 * (an + bn - both)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {f.__name__: f() for f in (op1_quality_rules, op4_secret_scans, op7_url_filters, op10_exact_top_k)}
+    return {f.__name__: f() for f in (op1_quality_rules, op4_secret_scans, op7_url_filters, op10_exact_top_k, op11_phrase_collocations, op13_ngram_jaccard_join)}

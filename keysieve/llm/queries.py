@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import bpe, lm, neardup, packing, quality, search, secrets, suffix, urls, warc
-from keysieve.llm.common import new_folder, table, whole_text
+from keysieve.llm import bpe, jaccard, lm, neardup, packing, periods, phrases, quality, search, secrets, suffix, urls, warc
+from keysieve.llm.common import WHITE_CLASS, new_folder, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,6 +113,39 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """``docs`` with a periodic tail in each text whose id has a checksum that 10 divides."""
+    check = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(whole_text(), f"{WHITE_CLASS}+"), lambda w: w != "")
+    known = docs.withColumns({"__g": F.floor(check / 10), "__words": F.when(check % 10 == 0, words)}).withColumn("__n", F.size("__words"))
+    start = known.withColumn("__a", F.when(F.col("__n") > 0, F.col("__g") % F.col("__n")))
+    period = 1 + F.floor((F.col("__n") - F.col("__a")) / (3 + F.col("__g") % 8))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__n") - F.col("__a") - 1), lambda j: F.get("__words", (F.col("__a") + j % F.col("__p")).cast("int")))
+    turned = F.concat(F.slice("__words", F.lit(1), F.col("__a").cast("int")), tail)
+    text = F.when(F.col("__a").isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text"))
+    return start.withColumn("__p", period).withColumn("text", text).select("doc_id", "text")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = periods.longest_run()
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def registered() -> dict[str, Query]:
-    ops = (op1_quality_rules, op2_lm_scores, op3_minhash_near_dedup, op4_secret_scans, op5_byte_bpe, op6_suffix_array_dedup, op7_url_filters, op8_warc_derivatives, op9_best_fit_packing, op10_exact_top_k)
+    ops = (op1_quality_rules, op2_lm_scores, op3_minhash_near_dedup, op4_secret_scans, op5_byte_bpe, op6_suffix_array_dedup, op7_url_filters, op8_warc_derivatives, op9_best_fit_packing, op10_exact_top_k,
+           op11_phrase_collocations, op12_periodic_runs, op13_ngram_jaccard_join)
     return {f.__name__: f for f in ops}

@@ -23,6 +23,9 @@ COLUMNS = {
     "op6_suffix_array_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op9_best_fit_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op10_exact_top_k": {"query_id", "rank", "vec_id", "score"},
+    "op11_phrase_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
+    "op12_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op13_ngram_jaccard_join": {"doc_id", "n_shingles", "component_id"},
 }
 
 
