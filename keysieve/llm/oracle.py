@@ -155,9 +155,9 @@ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS shingle
       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 z AS (SELECT s.doc_id, s.shingle, n.n FROM s JOIN n USING (doc_id)),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS both FROM z a JOIN z b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS shared FROM z a JOIN z b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
       WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
-e AS (SELECT a, b FROM p WHERE 100 * both >= 90 * (an + bn - both)),
+e AS (SELECT a, b FROM p WHERE 100 * shared >= 90 * (an + bn - shared)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a),
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a)

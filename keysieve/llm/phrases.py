@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -46,8 +47,8 @@ UNIT = 1_000_000
 INSIDE_PERCENT = 50
 NO_LANGUAGE = "und"
 #: Words a task holds before it counts them; bytes of text per bucket of windows.
-CHUNK_WORDS = 1_500_000
-BUCKET_BYTES = 12 << 20
+CHUNK_WORDS = 1_000_000
+BUCKET_BYTES = 8 << 20
 SLICE_BYTES = 4 << 20
 
 #: No UTF-8 text holds this byte: it stands for the end of a piece.
@@ -99,7 +100,7 @@ def words_of(text: str) -> Iterator[list[bytes]]:
 
 def summed(keys: list[np.ndarray], size: int, *counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct rows of the columns ``keys`` (numbers below ``size``), in order, and their sums of each of ``counts``, or numbers."""
-    levels, place = [], keys[0]
+    levels, place = [], keys[0].astype(np.int64)
     for column in keys[1:]:
         values, place = np.unique(place, return_inverse=True)
         levels.append(values)
@@ -119,6 +120,7 @@ def summed(keys: list[np.ndarray], size: int, *counts: np.ndarray) -> tuple[list
 
 def _blocks(keys: list[np.ndarray], counts: list[np.ndarray], words: list[bytes], hashes: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows of ``_BLOCK``: the keys of every bucket with the words they use."""
+    vocabulary = pa.array(words, pa.binary())
     mixed = np.zeros(len(keys[0]), dtype=np.uint64)
     for column in keys:
         mixed = _mix(mixed * _GOLDEN + hashes[column])
@@ -131,8 +133,9 @@ def _blocks(keys: list[np.ndarray], counts: list[np.ndarray], words: list[bytes]
         for column in keys:
             used[column[own]] = True
         number = np.cumsum(used) - 1
-        text = b" ".join(words[i] for i in np.flatnonzero(used))
-        yield int(b), zstandard.ZstdCompressor(level=3).compress(text), [press(number[c[own]]) for c in keys], [press(c[own]) for c in counts]
+        own_words = vocabulary.take(pa.array(np.flatnonzero(used)))
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(own_words)], own_words), b" ")[0].as_py()
+        yield int(b), zstandard.ZstdCompressor(level=1).compress(text), [press(number[c[own]]) for c in keys], [press(c[own]) for c in counts]
 
 
 def _batch(blocks: list[tuple], phrases: list[tuple] = ()) -> pa.RecordBatch:
@@ -162,7 +165,7 @@ def _windows(docs: DataFrame, max_words: int, buckets: int) -> DataFrame:
             columns, lead = [lang[starts], flat[starts]], flat
             for k in range(1, max_words):
                 # A window that has met its piece's end stays padded.
-                lead = np.where(lead[: len(flat)] != 0, np.append(flat[k:], np.zeros(k, np.int64))[: len(flat)], 0)
+                lead = np.where(lead[: len(flat)] != 0, np.append(flat[k:], np.zeros(k, np.int32))[: len(flat)], 0)
                 columns.append(lead[starts])
             keys, counts = summed(columns, len(numbers.words))
             for block in _blocks(keys, counts, numbers.words, numbers.hashes(), buckets):
@@ -176,11 +179,11 @@ def _windows(docs: DataFrame, max_words: int, buckets: int) -> DataFrame:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 named = numbers[b"\xff" + lang.as_py().encode().hex().encode()]
                 for words in words_of(text.as_py() or ""):
-                    codes.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
-                    langs.append(np.full(len(words), named, dtype=np.int64))
+                    codes.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+                    langs.append(np.full(len(words), named, dtype=np.int32))
                     held += len(words)
-                codes.append(np.zeros(1, dtype=np.int64))
-                langs.append(np.zeros(1, dtype=np.int64))
+                codes.append(np.zeros(1, dtype=np.int32))
+                langs.append(np.zeros(1, dtype=np.int32))
                 if held >= CHUNK_WORDS:
                     yield from flush()
         if held:
@@ -203,7 +206,7 @@ def _merge(parts: DataFrame, order: int, min_count: int, buckets: int) -> DataFr
         for words, keys, n in zip(table["words"], table["keys"], table["counts"], strict=True):
             # Splitting keeps the padding, which is an empty word.
             own = zstandard.ZstdDecompressor().decompress(words.as_py()).split(b" ")
-            lookup = np.fromiter(map(numbers.__getitem__, own), dtype=np.int64, count=len(own))
+            lookup = np.fromiter(map(numbers.__getitem__, own), dtype=np.int32, count=len(own))
             for column, key in zip(columns, keys.as_py(), strict=True):
                 column.append(lookup[unpress(key)])
             # Windows of full length have one count, which is both.
@@ -233,7 +236,7 @@ def prefix_sums(docs: DataFrame, text: str = "text", lang: str = "lang", max_wor
     named = docs.select(F.col(text).alias("text"), F.coalesce(lang, F.lit(NO_LANGUAGE)).alias("lang"))
     size = named.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    parts = settled(_windows(named, max_words, buckets), "windows")
+    parts = _windows(named, max_words, buckets)
     found = None
     for order in range(max_words, 0, -1):
         parts = settled(_merge(parts, order, min_count, buckets), f"phrases-{order}")
