@@ -228,7 +228,7 @@ def _merge(parts: DataFrame, order: int, min_count: int, buckets: int) -> DataFr
             blocks = list(_blocks(shorter, [total, left], words, numbers.hashes(), buckets))
         return pa.Table.from_batches([_batch(blocks, phrases)])
 
-    return parts.filter("bucket is not null").select("bucket", "words", "keys", "counts").groupBy("bucket").applyInArrow(run, _PARTS)
+    return parts.filter("bucket is not null").select("bucket", "words", "keys", "counts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, _PARTS)
 
 
 def prefix_sums(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
