@@ -12,11 +12,13 @@ all members of each are of one class or have been pivots. A group of copies
 is compared with its pivots, not expanded into its pairs.
 
 Unrelated texts are all at distance 1, where no pivot tells them apart. So the
-first regions are cells: ordered by how common they are, the first shingles of
-linked sets (a share ``radius`` of each, and one more) have one in common, and
-a cell holds the texts with one such shingle. The order rests on a table of
-counts of fixed size; counts that run into each other there change it, but
-whatever it is, all texts use the same one and no pair is lost.
+first regions are cells of texts that may be near: the hash values are cut into
+more parts than linked sets of a size can have differences, so that linked sets
+agree in all shingles of one part at least. A cell holds the texts with equal
+shingles in a part. Parts are cut by size class; a text that may have a smaller
+partner in the class below is in the cells of both. Agreement in a part of no
+or few shingles says little: as there are more parts than needed, a text leaves
+such parts out where enough others remain.
 
 Only classes are found, not all links: texts that are in one class already are
 not compared again. Sets are those of 64-bit hashes of the shingles, equal sets
@@ -42,19 +44,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import press, settled, unpress
+from keysieve.llm.common import settled
 from keysieve.llm.neardup import components
 
 WIDTH = 3
 PERCENT = 90
 #: Members farther than this from all pivots stay together.
 FAR = 0.3
+#: A region is divided if its parts have at most so many times its members.
+OVERLAP = 1.2
 GROWTH = 4
-#: The table of counts: 2^20 of them, in parts.
-SLOT_BITS, SLOT_PARTS = 20, 64
+#: Sizes of a class lie this far apart at least; a part in so many is spare; parts of fewer shingles are left out.
+CLASS_WIDTH, SPARE, FEW = 1.25, 6, 3
 BATCH_WORDS = 400_000
 BLOCK_TEXTS = 500
 SEEN = 200_000
@@ -118,45 +122,43 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[lis
             first, texts, held = i + 1, [], 0
 
 
-def _slots(value: np.ndarray) -> np.ndarray:
-    return (value >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def size_classes(largest: int, percent: int) -> np.ndarray:
+    """Lower bounds of the size classes up to ``largest``, each at least as wide as linked sizes lie apart."""
+    bounds = [1]
+    while bounds[-1] <= largest:
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // percent), int(bounds[-1] * CLASS_WIDTH)))
+    return np.array(bounds, dtype=np.int64)
 
 
-def common_slots(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """How common shingles are by slot: 2^20 bytes, however many there are (four steps per doubling)."""
-    part_size = (1 << SLOT_BITS) // SLOT_PARTS
+def part_keys(shingles: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
+    """Keys of the parts of a set (its sorted shingles) in its own size class and, if need be, in the one below.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = _Hashes(), np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        for batch in batches:
-            for _, texts in _batches(batch, 0):
-                counts += np.bincount(_slots(shingle_sets(texts, hashes, width)[0]), minlength=1 << SLOT_BITS)
-        parts = [press(p) for p in counts.reshape(SLOT_PARTS, part_size)] if counts.any() else []
-        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # All tasks' counts of a part stream by; one sum per part is held.
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[part] = sums.get(part, 0) + unpress(counts.as_py())
-        steps = [np.minimum(np.round(4 * np.log2(s + 1.0)), 255).astype(np.uint8).tobytes() for s in sums.values()]
-        yield pa.record_batch([pa.array(sums, pa.int32()), pa.array(steps, pa.binary())], names=["part", "steps"])
-
-    parts = docs.select("text").mapInArrow(counted, "part int, counts binary").repartition(SLOT_PARTS, "part")
-    out = np.zeros((SLOT_PARTS, part_size), dtype=np.uint8)
-    for row in parts.mapInArrow(added, "part int, steps binary").collect():
-        out[row["part"]] = np.frombuffer(row["steps"], dtype=np.uint8)
-    return out.reshape(-1)
-
-
-def _prefix(size: int, percent: int) -> int:
-    """How many first shingles of a set of ``size`` a linked set must share one of."""
-    return size - -(-percent * size // 100) + 1
-
-
-def _signed(docs: DataFrame, common: np.ndarray, percent: int, width: int) -> DataFrame:
-    """``id, n, address`` (of the set) and ``cells`` (its first shingles); null address without words."""
+    Sets of sizes n <= m that are linked differ in (n + m) * (1 - p) / (1 + p)
+    shingles at most, p being the share, and m is n / p at most: n * (1 - p) / p.
+    """
+    n = len(shingles)
+    own = int(np.searchsorted(bounds, n, side="right")) - 1
+    low = own - 1 if own and -(-percent * n // 100) < bounds[own] else own
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(shingles))])
+    out = []
+    for c in range(low, own + 1):
+        differ = int(bounds[c + 1] - 1) * (100 - percent) // percent
+        spare = 1 + differ // SPARE
+        parts = differ + 1 + spare
+        edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+        cuts = np.concatenate([[0], np.searchsorted(shingles, edges), [n]])
+        held = np.diff(cuts)
+        # A part left out must be so for both sets: equal parts are equally large.
+        least = next((w for w in range(FEW, 0, -1) if np.count_nonzero(held < w) <= spare), 0)
+        own_parts = np.flatnonzero(held >= least)
+        content = sums[cuts[1:]] - sums[cuts[:-1]] + held.astype(np.uint64) * _GOLDEN
+        name = _mix(np.arange(parts, dtype=np.uint64) + np.uint64((c + 1) << 32))
+        out.append(_mix(_mix(name) ^ content)[own_parts])
+    return np.concatenate(out)
+
+
+def _signed(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """``id, n, address`` (of the set) and ``cells`` (keys of its parts); null address without words."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +166,13 @@ def _signed(docs: DataFrame, common: np.ndarray, percent: int, width: int) -> Da
         for batch in batches:
             for first, texts in _batches(batch, 1):
                 value, bounds = shingle_sets(texts, hashes, width)
-                owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-                # Within a text the shingles are in order, which a stable sort keeps.
-                rare = value[np.lexsort((common[_slots(value)], owner))].view(np.int64)
                 sizes = np.diff(bounds)
+                classes = size_classes(int(sizes.max(initial=0)), percent)
                 address, cells = [], []
                 for at, n in zip(bounds.tolist(), sizes.tolist(), strict=False):
-                    address.append(xxhash.xxh3_128_digest(value[at : at + n].tobytes()) if n else None)
-                    cells.append(rare[at : at + _prefix(n, percent)] if n else None)
+                    own = value[at : at + n]
+                    address.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
+                    cells.append(part_keys(own, percent, classes).view(np.int64) if n else None)
                 yield pa.record_batch(
                     [batch.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(address, pa.binary()), pa.array(cells, pa.list_(pa.int64()))],
                     names=["id", "n", "address", "cells"],
@@ -303,19 +304,28 @@ def _regions(open_members: DataFrame, near: DataFrame, ranked: DataFrame, tried:
     nearest = placed.groupBy("region", "node").agg(F.min("d").alias("nearest"))
     own = ["node", "n", "weight"]
     shape = open_members.select(*own).distinct()
-    # Voronoi regions of the pivots: with all that could be linked across a border.
+    # Voronoi regions of the pivots: with all that could be linked across a border. Cells
+    # of one group share their first pivot and become one region by it.
     window = placed.join(nearest, ["region", "node"]).filter(F.col("d") <= F.least("nearest", F.lit(FAR)) + radius + _EPS)
-    voronoi = window.select(F.xxhash64(F.lit(turn), "pivot").alias("region"), "node").distinct().join(shape, "node")
+    inside = F.xxhash64(F.lit(turn), "pivot") if turn == 0 else F.xxhash64("region", "pivot")
+    voronoi = window.select("region", inside.alias("inner"), "node")
     used = ranked.filter(F.col("nth") <= take).select("region", F.col("pivot").alias("node"))
     rest = open_members.select("region", *own).join(more, "region", "left_semi").join(used, ["region", "node"], "left_anti")
-    far = rest.join(nearest, ["region", "node"], "left").filter(F.coalesce(F.col("nearest") > FAR, F.lit(True)))
-    return voronoi.select("region", *own).unionByName(far.select("region", *own))
+    far = rest.join(nearest, ["region", "node"], "left").filter(F.coalesce(F.col("nearest") > FAR, F.lit(True))).drop("nearest")
+    if turn == 0:
+        return voronoi.select(F.col("inner").alias("region"), "node").distinct().join(shape, "node").select("region", *own).unionByName(far)
+    # Where regions overlap so much that dividing gains nothing, members stay together without the pivots.
+    parts = settled(voronoi.unionByName(far.select("region", F.col("region").alias("inner"), "node")), "regions")
+    gain = parts.groupBy("region").agg(F.count(F.lit(1)).alias("parts")).join(rest.groupBy("region").agg(F.count(F.lit(1)).alias("whole")), "region")
+    divided = gain.filter(F.col("parts") <= OVERLAP * F.col("whole")).select("region")
+    inner = parts.join(divided, "region", "left_semi").select(F.col("inner").alias("region"), "node").distinct().join(shape, "node")
+    return inner.select("region", *own).unionByName(rest.join(divided, "region", "left_anti").select("region", *own))
 
 
 def classified(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles`` and ``component_id``."""
     docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    signed = settled(_signed(docs, common_slots(docs, width), percent, width), "sets")
+    signed = settled(_signed(docs, percent, width), "sets")
     nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "nodes")
     unique = signed.filter("cells is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "cells")
     members = settled(_cells(unique), "cell-members")

@@ -258,8 +258,8 @@ def test_join_equals_brute_force(spark):
 
 
 def test_join_needs_many_rounds(spark, monkeypatch):
-    """Texts of one cell that differ more than the threshold lets through: all of them become pivots."""
-    monkeypatch.setattr(jaccard, "common_slots", lambda docs, width: np.zeros(1 << jaccard.SLOT_BITS, dtype=np.uint8))
+    """With one key for all, texts that differ more than the threshold lets through all become pivots."""
+    monkeypatch.setattr(jaccard, "part_keys", lambda shingles, percent, bounds: np.array([7], dtype=np.uint64))
     rng = random.Random(9)
     passage = [f"p{i}" for i in range(50)]
     rows = [(i, " ".join(passage + [f"w{rng.randrange(40)}" for _ in range(10)])) for i in range(120)]
@@ -267,6 +267,22 @@ def test_join_needs_many_rounds(spark, monkeypatch):
     assert shown(tuple(r) for r in jaccard.classified(docs).collect()) == shown(plain_join(rows))
 
 
+def test_linked_sets_share_a_part():
+    rng = np.random.default_rng(2)
+    bounds = jaccard.size_classes(5000, 90)
+    met = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 400)) if rng.random() < 0.9 else int(rng.integers(400, 4000))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        gone, new = (int(rng.integers(0, 1 + max(1, n // 18))) for _ in range(2))
+        y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if both and 100 * both >= 90 * (len(x) + len(y) - both):
+            met += 1
+            assert set(jaccard.part_keys(x, 90, bounds).tolist()) & set(jaccard.part_keys(y, 90, bounds).tolist())
+    assert met > 1000
+
+
 def test_join_of_nothing(spark):
     assert jaccard.classified(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
     rows = [(1, None), (2, ""), (None, " ")]
