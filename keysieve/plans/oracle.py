@@ -594,6 +594,17 @@ def statements() -> dict[str, str]:
           || CASE WHEN doc_id % 3 = 0 THEN 'token = ' || chr(34) || 'ghp_' || md5(CAST(doc_id AS VARCHAR)) || chr(34) ELSE '' END AS t
         FROM documents QUALIFY row_number() OVER (PARTITION BY source, doc_id % 8 ORDER BY doc_id DESC) = 1) d
       WHERE doc_id % 9 <> 8"""
+    out["stream_stats_late"] = out["stream_stats"]
+    newest_saves = f"""SELECT source AS workspace, 'src/s' || (doc_id % 8) || '.ts' AS path, doc_id AS seq, doc_id % 9 <> 8 AS is_open,
+        CASE WHEN doc_id % 9 <> 8 THEN len(regexp_extract_all(text || chr(10)
+          || CASE WHEN doc_id % 3 = 0 THEN 'token = ' || chr(34) || 'ghp_' || md5(CAST(doc_id AS VARCHAR)) || chr(34) ELSE '' END, {text(_PATTERNS[2])})) ELSE 0 END AS n
+      FROM documents QUALIFY row_number() OVER (PARTITION BY source, doc_id % 8 ORDER BY doc_id DESC) = 1"""
+    out["stream_published_snapshots"] = f"""SELECT workspace, path, seq, '2024-01-01T00:00:00.000Z' AS updated_at, n AS open, n AS findings,
+        CASE WHEN n > 0 THEN 'github' ELSE '' END AS provider FROM ({newest_saves}) s WHERE is_open"""
+    out["stream_workspace_totals"] = f"""SELECT workspace, CAST(sum(n) AS BIGINT) AS open, count(*) FILTER (is_open) AS documents
+      FROM ({newest_saves}) s GROUP BY workspace"""
+    out["stream_targeted_scans"] = f"""SELECT * FROM ({out["stream_scan_on_save"]}) s WHERE path IN ('src/s0.ts', 'src/s1.ts', 'src/s2.ts')
+      AND EXISTS (SELECT 1 FROM documents d WHERE d.source = s.workspace AND s.path = 'src/s' || (d.doc_id % 3) || '.ts')"""
     return out
 
 

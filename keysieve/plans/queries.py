@@ -350,28 +350,50 @@ def _stream_of(spark, sf, name):
     return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}[.]parquet")
 
 
-def stream_stats(spark, sf):
-    """Running stats kept over micro-batches, state after the last one."""
-    events = _stream_of(spark, sf, "events").select(
+def _dealt_stream(spark, rows, name, key, parts=5):
+    """Rows dealt into files by a hash of their key, read a few files at a time: micro-batches in no order of time."""
+    folder = _stream_folder(spark, name)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    dealt.repartition(parts, "part").write.partitionBy("part").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(f"{folder}/part=*")
+
+
+def _stat_events(events):
+    return events.select(
         F.col("user_id").alias("workspace"),
         "ts",
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "purchase", F.lit("fix")).otherwise(F.lit("scan")).alias("kind"),
         F.when(F.col("event_type") != "purchase", F.regexp_replace("props", "[^0-9]", "").cast("bigint") % 5).alias("n_open"),
     )
+
+
+def stream_stats(spark, sf):
+    """Running stats kept over micro-batches, state after the last one."""
+    events = _stat_events(_stream_of(spark, sf, "events"))
     stats = live.RunningStats(spark, _stream_folder(spark, "stats"))
     query = stats.start(events, _stream_folder(spark, "stats-ckpt"))
     query.awaitTermination()
     return stats.state(query.lastProgress["batchId"])
 
 
-def _save_stream(spark, sf):
+def stream_stats_late(spark, sf):
+    """The same over several micro-batches that hold events of all times each."""
+    events = _stat_events(_dealt_stream(spark, table(spark, sf, "events"), "late", "event_id"))
+    stats = live.RunningStats(spark, _stream_folder(spark, "late-stats"))
+    query = stats.start(events, _stream_folder(spark, "late-ckpt"))
+    query.awaitTermination()
+    return stats.state(query.lastProgress["batchId"])
+
+
+def _saves(documents):
     """Documents as saves of eight paths per source, newest id last; every ninth is a close."""
     doc_id, h = F.col("doc_id"), F.md5(F.col("doc_id").cast("string"))
     secret = F.concat(F.lit('token = "ghp_'), h, F.lit('"'))
     text = F.concat("text", F.lit("\n"), F.when(doc_id % 3 == 0, secret).otherwise(F.lit("")))
     closing = doc_id % 9 == 8
-    return _stream_of(spark, sf, "documents").select(
+    return documents.select(
         F.col("source").alias("workspace"),
         F.concat(F.lit("src/s"), doc_id % 8, F.lit(".ts")).alias("path"),
         F.timestamp_seconds(doc_id).alias("ts"),
@@ -381,6 +403,50 @@ def _save_stream(spark, sf):
     )
 
 
+def _save_stream(spark, sf):
+    return _saves(_stream_of(spark, sf, "documents"))
+
+
+def stream_published_snapshots(spark, sf):
+    """What readers see after saves and closes in no order: one document per open file, without findings too."""
+    saves = _saves(_dealt_stream(spark, table(spark, sf, "documents"), "published", "doc_id"))
+    state = live.CurrentSnapshots(spark, _stream_folder(spark, "snapshots"), lambda _: UPDATED_AT, fold_every=2)
+    state.start(saves, _stream_folder(spark, "snapshots-ckpt")).awaitTermination()
+    parsed = snap.parse_snapshots(state.documents())
+    first = F.get("findings", F.lit(0))
+    return parsed.select(
+        "workspace", "path", "seq", "updated_at", "open", F.size("findings").cast("bigint").alias("findings"),
+        F.coalesce(first["provider"], F.lit("")).alias("provider"),
+    )
+
+
+def stream_workspace_totals(spark, sf):
+    """Published totals per workspace."""
+    saves = _saves(_dealt_stream(spark, table(spark, sf, "documents"), "totals", "doc_id"))
+    state = live.CurrentSnapshots(spark, _stream_folder(spark, "totals"), lambda _: UPDATED_AT)
+    state.start(saves, _stream_folder(spark, "totals-ckpt")).awaitTermination()
+    return state.totals()
+
+
+def stream_targeted_scans(spark, sf):
+    """Scans of saved files that are in the modified set."""
+    documents = table(spark, sf, "documents")
+    sets = live.ModifiedSets(spark, _stream_folder(spark, "sets"))
+    status = F.element_at(F.array(F.lit(" M"), F.lit("??"), F.lit("A ")), (F.col("doc_id") % 3 + 1).cast("int"))
+    listed = documents.select(
+        F.col("source").alias("repo"), status.alias("status"),
+        F.concat(F.lit("src\\s"), F.col("doc_id") % 3, F.lit(".ts")).alias("path"), F.lit(None).cast("string").alias("old_path"),
+    )
+    # The first set is out of date by the time the stream begins.
+    sets.replace(listed.withColumn("path", F.lit("src/s7.ts")))
+    sets.replace(listed)
+    folder = _stream_folder(spark, "targeted")
+    saves = _saves(_dealt_stream(spark, documents, "targeted-saves", "doc_id"))
+    sets.start(saves, folder, _stream_folder(spark, "targeted-ckpt")).awaitTermination()
+    schema = "workspace string, path string, seq bigint, ordinal int, rule_order int, line int, character int"
+    return spark.read.schema(schema).json(f"{folder}/batch=*")
+
+
 def stream_scan_on_save(spark, sf):
     folder = _stream_folder(spark, "scan")
     query = live.publish_snapshots(live.scan_saves(_save_stream(spark, sf)), folder, _stream_folder(spark, "scan-ckpt"))
@@ -412,7 +478,8 @@ REGISTERED: tuple[Query, ...] = (
     history_latest, audit_trail, current_findings, workspace_totals, insight_report, dashboard_rollup, triage_cards,
     triage_demo_cards, triage_merge, triage_requests, alert_cards, remediation_plan, repo_plan_conflicts, env_append,
     rewrite_sources, rewrite_sources_unquoted, decoded_contents, undecodable_contents, snapshot_roundtrip,
-    stream_stats, stream_scan_on_save, stream_current_findings,
+    stream_stats, stream_scan_on_save, stream_current_findings, stream_stats_late, stream_published_snapshots,
+    stream_workspace_totals, stream_targeted_scans,
 )
 
 

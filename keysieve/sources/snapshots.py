@@ -24,11 +24,11 @@ FINDING_FIELDS = (
 
 
 def snapshot_documents(
-    files: DataFrame, updated_at: str, keys: Sequence[str] = ("repo", "path"), catalog: Catalog | None = None
+    files: DataFrame, updated_at: str, keys: Sequence[str] = ("repo", "path"), catalog: Catalog | None = None, empty: bool = False
 ) -> DataFrame:
-    """One JSON document per file with findings. Map-only: no shuffle."""
+    """One JSON document per file with findings; with ``empty`` one per file. Map-only: no shuffle."""
     catalog = catalog or default_catalog()
-    placed = annotate_places(annotate_spans(with_candidates(files, catalog), catalog))
+    placed = annotate_places(annotate_spans(files if empty else with_candidates(files, catalog), catalog))
 
     def finding(item):
         span, place = item.getField("spans"), item.getField("places")
@@ -53,6 +53,8 @@ def snapshot_documents(
             F.transform(F.arrays_zip("spans", "places"), finding).alias("findings"),
         )
     )
+    if empty:
+        return placed.select(*keys, document.alias("document"))
     # Exploding zero or one document, not filtering: a filter would be pushed
     # below the projections and find the spans a second time.
     return placed.select(*keys, F.explode(F.when(F.size("spans") > 0, F.array(document))).alias("document"))
