@@ -78,6 +78,35 @@ def finding_at(
     )
 
 
+def stored_finding_at(
+    findings: DataFrame, selections: DataFrame, keys: Sequence[str] = ("repo", "path"), bin_size: int = 4096
+) -> DataFrame:
+    """:func:`finding_at` from a table of findings (``ordinal, rule_order, start, end``), without any text.
+
+    Ranges are cut into bins of positions, so that a file with very many
+    findings or selections spreads over its bins. Of the findings that meet a
+    selection in a bin the first is kept before bins are brought together:
+    selections meet findings of their own bins only, and each gives one answer.
+    """
+    bins = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / bin_size), F.floor(F.greatest(low, high) / bin_size))).alias("__bin")
+    answer = F.struct("ordinal", "rule_order", "start", "end")
+    asked = selections.select(*keys, "sel_start", "sel_end").distinct()
+    spans = findings.select(*keys, answer.alias("hit"), bins("start", "end"))
+    met = asked.select("*", bins("sel_start", "sel_end")).join(spans, [*keys, "__bin"])
+    touching = met.filter((F.col("hit.start") <= F.col("sel_end")) & (F.col("hit.end") >= F.col("sel_start")))
+    hits = touching.groupBy(*keys, "sel_start", "sel_end").agg(F.min("hit").alias("hit"))
+    first = findings.groupBy(*keys).agg(F.min(answer).alias("first"))
+    picked = selections.join(hits, [*keys, "sel_start", "sel_end"], "left").join(first, list(keys), "left")
+    chosen = F.coalesce("hit", "first")
+    return picked.select(
+        *selections.columns,
+        F.when(F.col("first").isNotNull(), F.col("hit").isNotNull()).alias("touches"),
+        chosen["rule_order"].alias("rule_order"),
+        chosen["start"].alias("start"),
+        chosen["end"].alias("end"),
+    )
+
+
 def first_findings(located: DataFrame, by: Sequence[str] = ("repo",)) -> DataFrame:
     """Each group's first finding in (path, start) order."""
     rest = [c for c in located.columns if c not in by]

@@ -4,10 +4,12 @@
 ``n_open`` findings) or ``fix``; order is ``(ts, seq)``.
 
 Running values depend on order, but one workspace may own a large share of all
-events, so no window spans a whole workspace. Each workspace is cut into time
-chunks; windows run inside a chunk, one summary row per chunk is carried along
-the workspace, and the carry is joined back. Rows of a chunk share a task, rows
-of a workspace do not.
+events, even in one second, so no window spans a workspace or a stretch of
+time. Events are range-partitioned by workspace, time and number, and the part
+of a workspace in one range is a chunk: windows run inside a chunk, one summary
+row per chunk is carried along the workspace, and the carry is joined back.
+Ranges are as many as Spark's shuffle partitions and equally full, whatever the
+events look like.
 """
 
 from __future__ import annotations
@@ -16,23 +18,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysieve.functions.text import base_name
+from keysieve.sources.shared import written
 
 AUDIT_ROWS = 20  # fixed value: audit rows kept per workspace
 
 
 def hour_chunk(ts: Column) -> Column:
-    """Default chunk: one hour. Never decreases as ``ts`` grows."""
+    """One hour as a chunk: never decreases as ``ts`` grows."""
     return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
 
 
-def _chunk_key(chunk: Column | None) -> Column:
+def _ranged(events: DataFrame, chunk: Column | None) -> tuple[DataFrame, Column]:
+    """``events`` and the chunk of each: by default the number of its range.
+
+    The ranges are written, so that all uses see the same ones.
+    """
+    if chunk is not None:
+        return events, chunk
+    ranged = events.repartitionByRange("workspace", "ts", "seq").withColumn("__range", F.spark_partition_id())
+    return written(ranged, "event-ranges"), F.col("__range")
+
+
+def _chunk_key(chunk: Column) -> Column:
     """The chunk as a number that is never null.
 
     A nullable join key would get a not-null filter on one side of the join
     only, and the two sides could no longer share one shuffle.
     """
-    key = hour_chunk(F.col("ts")) if chunk is None else chunk
-    return F.coalesce(key.cast("bigint"), F.lit(-(1 << 62)))
+    return F.coalesce(chunk.cast("bigint"), F.lit(-(1 << 62)))
 
 
 def _wrapped(events: DataFrame, *names: str) -> DataFrame:
@@ -40,7 +53,7 @@ def _wrapped(events: DataFrame, *names: str) -> DataFrame:
     return events.withColumns({n: F.struct(F.col(n).alias("key")) for n in names})
 
 
-def _chunk_rows(events: DataFrame, chunk: Column | None) -> DataFrame:
+def _chunk_rows(events: DataFrame, chunk: Column) -> DataFrame:
     """Per-event values counted from the start of the event's chunk."""
     upto = (
         Window.partitionBy("workspace", "chunk")
@@ -61,6 +74,7 @@ def _chunk_rows(events: DataFrame, chunk: Column | None) -> DataFrame:
 
 def chunk_summaries(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """One row per workspace and chunk: its fixes, its last scan, its peak of fixed + open."""
+    events, chunk = _ranged(events, chunk)
     return _summarise(_chunk_rows(events, chunk))
 
 
@@ -102,6 +116,8 @@ def _resolve(fixed: Column, scan: Column, peak: Column) -> dict[str, Column]:
 
 def running_stats(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Each event with ``found, fixed, open`` as they stand after it."""
+    columns = events.columns
+    events, chunk = _ranged(events, chunk)
     rows = _chunk_rows(_wrapped(events, "workspace"), chunk)
     carried = rows.join(_carry(_summarise(rows)), ["workspace", "chunk"])
     here = F.when(
@@ -113,7 +129,7 @@ def running_stats(events: DataFrame, chunk: Column | None = None) -> DataFrame:
         F.coalesce(here, F.col("scan_before")),
         F.greatest("found_before", F.col("fixed_before") + F.col("rel_found")),
     )
-    own = [F.col("workspace.key").alias(c) if c == "workspace" else F.col(c) for c in events.columns]
+    own = [F.col("workspace.key").alias(c) if c == "workspace" else F.col(c) for c in columns]
     return carried.select(*own, *[c.alias(n) for n, c in values.items()])
 
 
@@ -196,6 +212,7 @@ def workspace_scans(document_events: DataFrame, chunk: Column | None = None) ->
     it: the running sum of every document's change against its previous count.
     Both the previous count and the running sum are carried between chunks.
     """
+    document_events, chunk = _ranged(document_events, chunk)
     count = F.when(F.col("kind") == "close", F.lit(0)).otherwise(F.col("n_open")).cast("bigint")
     base = _wrapped(document_events, "workspace", "path").withColumns({"chunk": _chunk_key(chunk), "count": count})
     order = F.struct("ts", "seq")

@@ -69,11 +69,15 @@ def scan_summary(files: DataFrame, by: Sequence[str] = ("repo",), catalog: Catal
 def finding_cube(described: DataFrame) -> DataFrame:
     """Findings per repository, per provider and severity, and in all: one pass over described findings.
 
-    ``all`` stands for a column that a row does not divide by.
+    ``all`` stands for a column that a row does not divide by, and ``grouped_by``
+    names those it does; null stays the key of findings without a value.
     """
     names = ("repo", "provider", "severity")
-    cube = described.groupingSets([["repo"], ["provider", "severity"], []], *names).agg(F.count(F.lit(1)).alias("findings"))
-    return cube.select(*[F.coalesce(n, F.lit("all")).alias(n) for n in names], "findings")
+    flags = [F.grouping(n).alias(f"__{n}") for n in names]
+    cube = described.groupingSets([["repo"], ["provider", "severity"], []], *names).agg(F.count(F.lit(1)).alias("findings"), *flags)
+    shown = [F.when(F.col(f"__{n}") == 1, F.lit("all")).otherwise(F.col(n)).alias(n) for n in names]
+    by = F.concat_ws(",", *[F.when(F.col(f"__{n}") == 0, F.lit(n)) for n in names])
+    return cube.select(*shown, by.alias("grouped_by"), "findings")
 
 
 def _unpivot(summary: DataFrame, by: Sequence[str], names: Sequence[str], label: str) -> DataFrame:
@@ -91,12 +95,16 @@ def by_provider(summary: DataFrame, by: Sequence[str] = ("repo",)) -> DataFrame:
     return _unpivot(summary, by, PROVIDERS, "provider")
 
 
+NOTHING_OPEN = "Nothing is open, so there is no finding to show."
+
+
 def insight_report(
-    files: DataFrame, history: DataFrame, by: Sequence[str] = ("repo",), catalog: Catalog | None = None
+    files: DataFrame, history: DataFrame, by: Sequence[str] = ("repo",), catalog: Catalog | None = None, scans: DataFrame | None = None
 ) -> DataFrame:
     """Counters of the latest scan beside the history's totals and the first finding.
 
-    ``history`` has one row per group with ``found`` and ``fixed``.
+    ``history`` has one row per group with ``found`` and ``fixed``. ``scans``
+    names groups (columns ``by``) that have a report even without files.
     """
     catalog = catalog or default_catalog()
     placed = annotate_places(annotate_spans(files, catalog))
@@ -126,6 +134,8 @@ def insight_report(
         .select(*by, "scanned", "open", "first.*")
     )
     described = describe(counted, catalog)
+    if scans is not None:
+        described = scans.select(*by).distinct().join(described, list(by), "left").fillna(0, ["scanned", "open"])
     none = F.lit("none")
     return described.join(history, list(by), "left").select(
         *by,
@@ -134,6 +144,7 @@ def insight_report(
         F.coalesce("found", F.lit(0)).cast("bigint").alias("found"),
         F.coalesce("fixed", F.lit(0)).cast("bigint").alias("fixed"),
         score(F.col("open")).alias("score"),
+        F.coalesce("message", F.lit(NOTHING_OPEN)).alias("first_issue"),
         F.coalesce(
             F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("character").cast("string")), none
         ).alias("first_location"),

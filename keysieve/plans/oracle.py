@@ -365,7 +365,8 @@ def statements() -> dict[str, str]:
             LEFT JOIN (SELECT repo, path, count(*) AS n FROM found GROUP BY 1, 2) f USING (repo, path) GROUP BY 1, 2) c USING (repo, kind)"""
     )
     out["finding_cube"] = _located(
-        """SELECT coalesce(repo, 'all') AS repo, coalesce(provider, 'all') AS provider, coalesce(severity, 'all') AS severity, count(*) AS findings
+        """SELECT coalesce(repo, 'all') AS repo, coalesce(provider, 'all') AS provider, coalesce(severity, 'all') AS severity,
+              CASE WHEN grouping(repo) = 0 THEN 'repo' WHEN grouping(provider) = 0 THEN 'provider,severity' ELSE '' END AS grouped_by, count(*) AS findings
             FROM described GROUP BY GROUPING SETS ((repo), (provider, severity), ())"""
     )
     out["redacted_corpus"] = _located(
@@ -478,6 +479,7 @@ def statements() -> dict[str, str]:
     )
     out["insight_report"] = _located(
         f"""SELECT c.repo, scanned, CAST(open AS BIGINT) AS open, coalesce(h.found, 0) AS found, coalesce(h.fixed, 0) AS fixed, {_SCORE.replace('open', 'c.open')} AS score,
+            coalesce(f.message, 'Nothing is open, so there is no finding to show.') AS first_issue,
             coalesce(f.path || ':' || f.line || ':' || f."character", 'none') AS first_location,
             coalesce(f.secret_type || ' (' || f.severity || ')', 'none') AS first_type
           FROM counted c LEFT JOIN (SELECT workspace AS repo, found, fixed FROM repo_history) h USING (repo)
@@ -595,6 +597,12 @@ def statements() -> dict[str, str]:
         FROM documents QUALIFY row_number() OVER (PARTITION BY source, doc_id % 8 ORDER BY doc_id DESC) = 1) d
       WHERE doc_id % 9 <> 8"""
     out["stream_stats_late"] = out["stream_stats"]
+    out["range_lookup_stored"] = out["range_lookup"]
+    out["history_burst"] = _derived(
+        ("history",), "SELECT workspace, seq, kind, found, fixed, open FROM running",
+        "burst AS (SELECT * REPLACE ('all' AS workspace, TIMESTAMP '1970-01-01' AS ts) FROM history)",
+        _running("burst", "workspace, seq, kind"),
+    )
     newest_saves = f"""SELECT source AS workspace, 'src/s' || (doc_id % 8) || '.ts' AS path, doc_id AS seq, doc_id % 9 <> 8 AS is_open,
         CASE WHEN doc_id % 9 <> 8 THEN len(regexp_extract_all(text || chr(10)
           || CASE WHEN doc_id % 3 = 0 THEN 'token = ' || chr(34) || 'ghp_' || md5(CAST(doc_id AS VARCHAR)) || chr(34) ELSE '' END, {text(_PATTERNS[2])})) ELSE 0 END AS n

@@ -86,6 +86,21 @@ def range_lookup(spark, sf):
     )
 
 
+def range_lookup_stored(spark, sf):
+    """The same lookups in a written table of findings."""
+    found = written(detect(_files(spark, sf)).select("repo", "path", "ordinal", "rule_order", "start", "end"), "finding-places")
+    return fnd.stored_finding_at(found, table(spark, sf, "selections")).select(
+        "repo", "path", "sel", F.coalesce("touches", F.lit(False)).alias("touches"),
+        *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("rule_order", "start", "end")],
+    )
+
+
+def history_burst(spark, sf):
+    """All events of one workspace at one time, in the order of their numbers."""
+    events = table(spark, sf, "history").withColumns({"workspace": F.lit("all"), "ts": F.timestamp_seconds(F.lit(0))})
+    return hist.running_stats(events).select("workspace", "seq", "kind", "found", "fixed", "open")
+
+
 def first_finding(spark, sf):
     rows = fnd.first_findings(_located(spark, sf).select("repo", "path", "start", "rule_order", "line", "character"))
     return rows.select("repo", "path", "start", "rule_order", "line", "character")
@@ -336,7 +351,7 @@ def snapshot_roundtrip(spark, sf):
     parsed = snap.parse_snapshots(documents.withColumn("document", cut))
     first = F.get("findings", F.lit(0))
     return parsed.select(
-        "repo", "path", "open", F.coalesce("updated_at", F.lit("")).alias("updated_at"),
+        "repo", "path", F.col("open").cast("bigint").alias("open"), F.coalesce("updated_at", F.lit("")).alias("updated_at"),
         *[F.coalesce(first[f].cast("string"), F.lit("")).alias(f) for f in ("provider", "line", "character", "envVarName")],
     )
 
@@ -415,7 +430,7 @@ def stream_published_snapshots(spark, sf):
     parsed = snap.parse_snapshots(state.documents())
     first = F.get("findings", F.lit(0))
     return parsed.select(
-        "workspace", "path", "seq", "updated_at", "open", F.size("findings").cast("bigint").alias("findings"),
+        "workspace", "path", "seq", "updated_at", F.col("open").cast("bigint").alias("open"), F.size("findings").cast("bigint").alias("findings"),
         F.coalesce(first["provider"], F.lit("")).alias("provider"),
     )
 
@@ -479,7 +494,7 @@ REGISTERED: tuple[Query, ...] = (
     triage_demo_cards, triage_merge, triage_requests, alert_cards, remediation_plan, repo_plan_conflicts, env_append,
     rewrite_sources, rewrite_sources_unquoted, decoded_contents, undecodable_contents, snapshot_roundtrip,
     stream_stats, stream_scan_on_save, stream_current_findings, stream_stats_late, stream_published_snapshots,
-    stream_workspace_totals, stream_targeted_scans,
+    stream_workspace_totals, stream_targeted_scans, range_lookup_stored, history_burst,
 )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.catalog import Catalog, default_catalog
@@ -63,27 +63,32 @@ def snapshot_documents(
 def parse_snapshots(documents: DataFrame) -> DataFrame:
     """Add ``updated_at, open, findings`` to rows with a ``document`` text.
 
-    Missing or malformed documents read as no findings. ``open`` falls back to
-    the number of findings.
+    Missing or malformed documents read as no findings. ``open`` is any finite
+    number, whole or not, and falls back to the number of findings; an
+    ``updatedAt`` that is a number other than zero reads as its digits.
     """
     typed = F.from_json("document", f"struct<findings:array<struct<{_typed(FINDING_FIELDS)}>>>")["findings"]
     rows = documents.withColumns({"__parsed": F.try_parse_json("document"), "__typed": typed})
     parsed = F.col("__parsed")
     read = rows.withColumns(
         {
-            "updated_at": F.nullif(text_at(parsed, "updatedAt"), F.lit("")),
-            "__open": number_at(parsed, "open").cast("bigint"),
+            "updated_at": F.coalesce(F.nullif(text_at(parsed, "updatedAt"), F.lit("")), _number_text(parsed, "updatedAt")),
+            "__open": number_at(parsed, "open").cast("double"),
             "findings": F.coalesce(F.when(is_list_at(parsed, "findings"), F.col("__typed")), F.array()),
         }
     )
     return read.select(
         *documents.columns,
         "updated_at",
-        F.coalesce("__open", F.size("findings").cast("bigint")).alias("open"),
+        F.coalesce("__open", F.size("findings").cast("double")).alias("open"),
         "findings",
     )
 
 
+def _number_text(parsed: Column, name: str) -> Column:
+    return F.when(number_at(parsed, name) != 0, F.try_variant_get(parsed, f"$.{name}", "string"))
+
+
 def _typed(ddl: str) -> str:
     return ", ".join(":".join(field.split()) for field in ddl.split(", "))
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from keysieve import detect_located
+from keysieve import detect, detect_located
 from keysieve.operators import findings as fnd
 from keysieve.operators import summary as summ
 
@@ -60,3 +60,37 @@ def test_spans_are_found_once(spark, sf_dir):
     plan = detect_located(documents)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_extract_all") == 20
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
+
+
+def test_cube_keeps_null_keys_apart_from_totals(spark):
+    rows = [("a", "aws", "high"), (None, "aws", "high"), ("all", None, None)]
+    got = {tuple(r) for r in summ.finding_cube(spark.createDataFrame(rows, "repo string, provider string, severity string")).collect()}
+    assert got == {
+        ("a", "all", "all", "repo", 1), (None, "all", "all", "repo", 1), ("all", "all", "all", "repo", 1),
+        ("all", "aws", "high", "provider,severity", 2), ("all", None, None, "provider,severity", 1), ("all", "all", "all", "", 3),
+    }
+
+
+def test_insight_report_of_scans_without_files_or_findings(spark):
+    files = spark.createDataFrame([("x", "b.ts", "let k = 1"), ("y", "a.ts", "t = 'ghp_" + "a1" * 18 + "'")], "repo string, path string, text string")
+    history = spark.createDataFrame([("y", 4, 3)], "repo string, found long, fixed long")
+    scans = spark.createDataFrame([("x",), ("y",), ("z",), ("z",)], "repo string")
+    x, y, z = summ.insight_report(files, history, scans=scans).orderBy("repo").collect()
+    assert (x.scanned, x.open, x.first_issue, x.first_location) == (1, 0, summ.NOTHING_OPEN, "none")
+    assert (y.scanned, y.open, y.found, y.fixed, y.first_location) == (1, 1, 4, 3, "a.ts:1:6") and "GITHUB" in y.first_issue
+    assert (z.scanned, z.open, z.score, z.first_issue) == (0, 0, 100, summ.NOTHING_OPEN)
+
+
+def test_lookup_in_stored_findings_equals_detection(spark):
+    text = "a = '" + KEY + "'; " * 40 + "\n" + "x" * 300 + "\nb = '" + KEY + "'\n" + "pwd = '" + "p" * 700 + "'"
+    files = spark.createDataFrame([("r", "a.js", text), ("r", "b.js", "nothing"), (None, "a.js", text)], "repo string, path string, text string")
+    cursors = [(a, b) for a in (0, 5, 28, 29, 200, 460, 900, 5000) for b in (a, a + 3, a + 600)]
+    rows = [(r, p, i, a, b) for r, p in (("r", "a.js"), ("r", "b.js"), ("q", "a.js"), (None, "a.js")) for i, (a, b) in enumerate(cursors)]
+    selections = spark.createDataFrame(rows, "repo string, path string, sel int, sel_start int, sel_end int")
+    found = detect(files).select("repo", "path", "ordinal", "rule_order", "start", "end")
+    known = selections.filter("repo is not null")
+    expected = sorted(map(str, fnd.finding_at(files, known).collect()))
+    for size in (7, 128, 4096):
+        got = fnd.stored_finding_at(found, known, bin_size=size)
+        assert sorted(map(str, got.collect())) == expected
+    assert fnd.stored_finding_at(found, selections).count() == len(rows)

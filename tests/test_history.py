@@ -103,3 +103,23 @@ def test_null_keys_keep_their_events(spark):
     assert rows == [("", 2, 0, 2), ("", 2, 1, 1), ("w", 1, 0, 1)]
     documents = events.filter("kind = 'scan'").withColumn("path", F.lit(None).cast("string"))
     assert sorted((r.workspace or "", r.n_open) for r in hist.workspace_scans(documents).collect()) == [("", 2), ("w", 1)]
+
+
+def test_a_burst_spreads_over_all_tasks(spark):
+    rng = random.Random(31)
+    now = dt.datetime(2024, 5, 5)
+    events = [("w", now, i, *(("fix", None) if rng.random() < 0.5 else ("scan", rng.randint(0, 6)))) for i in range(2000)]
+    table = spark.createDataFrame(rng.sample(events, len(events)), SCHEMA).repartition(4)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with_coalescing_off = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged, chunk = hist._ranged(table, None)
+        sizes = [r["count"] for r in ranged.groupBy(chunk.alias("chunk")).count().collect()]
+        assert len(sizes) == partitions and max(sizes) < 2 * len(events) / partitions
+        state, steps = fold(events)
+        got = {r.seq: (r.found, r.fixed, r.open) for r in hist.running_stats(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_coalescing_off)
+    assert got == steps
+    assert {r.workspace: (r.found, r.fixed, r.open) for r in hist.latest_stats(table).collect()} == state

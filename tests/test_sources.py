@@ -111,3 +111,10 @@ def test_snapshot_tables_by_another_key(spark, tmp_path):
     rows, totals = snap.read_snapshot(spark, str(tmp_path / "s"), "workspace string, path string, value string", by="workspace")
     assert [tuple(r) for r in rows.collect()] == [("w1", "a.py", None)]
     assert sorted((r.workspace, r.open, r.updated_at) for r in totals.collect()) == [("w1", 1, "now"), ("w2", 0, "now")]
+
+
+def test_snapshot_numbers_stay_as_they_are(spark):
+    texts = ['{"open": 2.7, "updatedAt": 1700000000000}', '{"open": "3", "updatedAt": 0, "findings": [{"line": 1}]}', '{"open": 0, "updatedAt": "", "findings": [{"line": 1}]}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, document string")
+    got = [(r.open, r.updated_at, len(r.findings)) for r in snap.parse_snapshots(rows).orderBy("id").collect()]
+    assert got == [(2.7, "1700000000000", 0), (1.0, None, 1), (0.0, None, 1)]
