@@ -121,8 +121,11 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_text
                 where = low[active] + (point & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * length[active]
                 counts = (where < top[active]) & (t <= limit[own])
                 np.minimum.at(signature, own[counts] * size + component[counts], t[counts])
-                j = j + np.uint64(1)
-                t = t + -np.log1p(-(_mix(s + (np.uint64(2) * j + np.uint64(1)) * _GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53) / r
+                # A process past its text's limit waits at its first point there: a later, wider limit counts it.
+                going = t <= limit[own]
+                j = j + going.astype(np.uint64)
+                later = t + -np.log1p(-(_mix(s + (np.uint64(2) * j + np.uint64(1)) * _GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53) / r
+                t = np.where(going, later, t)
                 alive = t <= limit[own]
                 if not alive.any():
                     break

@@ -120,7 +120,11 @@ def responses(pages: DataFrame, id_column: str = "page_id", url: str = "url", bo
         for batch in batches:
             yield from _batches(response(k.as_py() or "", u.as_py(), d.as_py(), (b.as_py() or "").encode()) for k, u, d, b in zip(*batch.columns, strict=True))
 
-    date = F.date_format(F.coalesce(F.col(fetched), F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # Dates are UTC whatever zone the session is in, so they come from the seconds since 1970.
+    seconds = F.floor(F.coalesce(F.unix_micros(fetched), F.lit(0)) / 1_000_000)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")).cast("string")
+    clock = [F.lpad(F.floor(F.pmod(seconds, F.lit(whole)) / part).cast("string"), 2, "0") for whole, part in ((86_400, 3600), (3600, 60), (60, 1))]
+    date = F.concat(day, F.lit("T"), F.concat_ws(":", *clock), F.lit("Z"))
     return pages.select(F.col(id_column).cast("string"), F.col(url), date, F.col(body)).toDF("k", "u", "d", "b").mapInArrow(run, SCHEMA)
 
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import datetime
 import html.parser
 import random
@@ -152,3 +153,18 @@ def test_large_components_are_exact(spark):
 def test_nothing_to_find(spark, rows):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert search.top_k(table, F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_dates_are_utc_in_any_session_zone(spark):
+    seconds = [1704082638, 0, -1, 1711846800, 1711843200, 4102444799, None]
+    pages = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "page_id long, s long").selectExpr(
+        "page_id", "'http://a.org/' AS url", "'<p>x' AS html", "timestamp_seconds(s) AS fetched_at"
+    )
+    expected = [dt.datetime.fromtimestamp(s or 0, dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ") for s in seconds]
+    for zone in ("UTC", "America/New_York", "Europe/Berlin"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            records = warc.responses(pages).select(warc.header("WARC-Date").alias("d"), warc.header("WARC-Target-URI").alias("u"))
+            assert sorted(r.d for r in records.collect()) == sorted(expected)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
