@@ -9,7 +9,9 @@ are no more than that beyond its nearest one, and a pair always shares the
 region of whichever member lies closer to its pivot. Members far from all
 pivots stay together without them. Regions join again with more pivots, until
 all members of each are of one class or have been pivots. A group of copies
-is compared with its pivots, not expanded into its pairs.
+is compared with its pivots, not expanded into its pairs. In the region of a first
+pivot the members join again by their differences to it: sets that lie close to
+one pivot but are linked with each other differ from it in the same shingles.
 
 Unrelated texts are all at distance 1, where no pivot tells them apart. So the
 first regions are cells of texts that may be near: the hash values are cut into
@@ -203,7 +205,9 @@ def _pressed_texts(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "address binary, words binary")
 
 
-def _compare(width: int):
+def _compare(width: int, percent: int, split: bool):
+    least = percent / 100 - FAR
+
     def run(table: pa.Table) -> pa.Table:
         """One block: rows with words are its texts, the others its pairs."""
         held, pairs = table.filter(pc.is_valid(table["words"])), table.filter(pc.is_null(table["words"]))
@@ -212,13 +216,38 @@ def _compare(width: int):
         a, b = pairs["node"].to_pylist(), pairs["pivot"].to_pylist()
         both = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
         either = [len(sets[x]) + len(sets[y]) - c for x, y, c in zip(a, b, both, strict=True)]
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["node", "pivot", "both", "either"])
+        cells = [difference_keys(sets[x], sets[y], y, percent) if split and c >= least * u - 1 else None for x, y, c, u in zip(a, b, both, either, strict=True)]
+        arrays = [pa.array(v, pa.int64()) for v in (a, b, both, either)] + [pa.array(cells, pa.list_(pa.int64()))]
+        return pa.table(arrays, names=["node", "pivot", "both", "either", "cells"])
 
     return run
 
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``node, pivot, both, either`` of pairs: sizes of intersection and union.
+def difference_keys(own: np.ndarray, pivot: np.ndarray, name: int, percent: int) -> np.ndarray:
+    """Keys of the cells, inside a pivot's region, of a set by its differences to the pivot.
+
+    Two sets differ from each other where their differences to the pivot do.
+    Let those be a and b in number and sets that are linked differ in k shingles
+    at most: then both have (a + b - k) / 2 differences in common. Of two linked
+    sets that are in different classes so far, one at least is not linked to the
+    pivot, so that its differences are about k or more; so each set shares one of
+    its first differences, those that the pivot lacks before those it alone has.
+    """
+    n, share = len(own), 100 - percent
+    new, gone = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
+    a = len(new) + len(gone)
+    # By how much k of the two can exceed what keeps the other apart from the pivot.
+    slack = max(0, n - len(pivot)) * share // (100 + percent) + 1
+    common = max(1, -(-(a - slack) // 2))
+    if 100 * (n - len(new)) < percent * (n + len(gone)):
+        # Not linked to the pivot: a partner may be, and then has a - k differences or more.
+        common = max(1, min(common, a - n * share // percent))
+    first = np.concatenate([new, gone])[: a - common + 1]
+    return _mix(first ^ _mix(np.array([name], dtype=np.int64).view(np.uint64))).view(np.int64)
+
+
+def _overlaps(pairs: DataFrame, texts: DataFrame, width: int, percent: int, split: bool) -> DataFrame:
+    """``node, pivot, both, either`` of pairs: sizes of intersection and union; with ``split`` also ``cells`` of near ones.
 
     A node is sent to the block of its first pivot, a pivot to the blocks that
     need it; a pivot with very many nodes has several blocks.
@@ -235,12 +264,11 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     rows = needed.join(texts, "node").select("g", "node", none.cast("long").alias("pivot"), "words").unionByName(
         dealt.select("g", "node", "pivot", none.cast("binary").alias("words"))
     )
-    return rows.groupBy("g").applyInArrow(_compare(width), "node bigint, pivot bigint, both bigint, either bigint")
+    return rows.groupBy("g").applyInArrow(_compare(width, percent, split), "node bigint, pivot bigint, both bigint, either bigint, cells array<bigint>")
 
 
-def _cells(unique: DataFrame) -> DataFrame:
+def _cells(places: DataFrame) -> DataFrame:
     """``region, node, n`` of cells with at least two nodes; of cells with equal members one."""
-    places = unique.select(F.explode("cells").alias("region"), "node", "n")
     shared = places.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("region")
     members = settled(places.join(shared, "region"), "cells")
     looks = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"))
@@ -284,18 +312,20 @@ def _linked(members: DataFrame, texts: DataFrame, percent: int, width: int) -> D
         least = F.least("n", "m") / F.greatest("n", "m")
         near = met.filter(least >= 1 - FAR - radius - _EPS)
         pair = [F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")]
-        pairs = near.select(*pair).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("node", "pivot"), ["node", "pivot"], "left_anti")
-        found = settled(_overlaps(pairs, texts, width), "overlaps")
-        tried = found if tried is None else tried.unionByName(found)
+        if turn == 0:
+            pairs = near.select("node", "pivot").distinct()
+        else:
+            pairs = near.select(*pair).distinct().join(tried.select("node", "pivot"), ["node", "pivot"], "left_anti")
+        found = settled(_overlaps(pairs, texts, width, percent, turn == 0), "overlaps")
+        known = found.select(*pair, "both", "either")
+        tried = known.distinct() if turn == 0 else tried.unionByName(known)
         linked = found.filter(100 * F.col("both") >= percent * F.col("either"))
         labels = _classes(labels, linked.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        members = settled(_regions(open_members, near, ranked, tried, take, turn, radius), "members")
+        members = settled(_regions(open_members, near, ranked, tried, take, found if turn == 0 else None, radius), "members")
         take, turn = take * GROWTH, turn + 1
 
 
-def _regions(open_members: DataFrame, near: DataFrame, ranked: DataFrame, tried: DataFrame, take: int, turn: int, radius: float) -> DataFrame:
+def _regions(open_members: DataFrame, near: DataFrame, ranked: DataFrame, tried: DataFrame, take: int, first: DataFrame | None, radius: float) -> DataFrame:
     """The regions that follow from those whose waiting members have not all been pivots."""
     more = ranked.filter(F.col("nth") > take).select("region")
     distance = (1 - F.col("both") / F.col("either")).alias("d")
@@ -304,16 +334,17 @@ def _regions(open_members: DataFrame, near: DataFrame, ranked: DataFrame, tried:
     nearest = placed.groupBy("region", "node").agg(F.min("d").alias("nearest"))
     own = ["node", "n", "weight"]
     shape = open_members.select(*own).distinct()
-    # Voronoi regions of the pivots: with all that could be linked across a border. Cells
-    # of one group share their first pivot and become one region by it.
+    # Voronoi regions of the pivots: with all that could be linked across a border.
     window = placed.join(nearest, ["region", "node"]).filter(F.col("d") <= F.least("nearest", F.lit(FAR)) + radius + _EPS)
-    inside = F.xxhash64(F.lit(turn), "pivot") if turn == 0 else F.xxhash64("region", "pivot")
-    voronoi = window.select("region", inside.alias("inner"), "node")
+    voronoi = window.select("region", F.xxhash64("region", "pivot").alias("inner"), "node")
     used = ranked.filter(F.col("nth") <= take).select("region", F.col("pivot").alias("node"))
     rest = open_members.select("region", *own).join(more, "region", "left_semi").join(used, ["region", "node"], "left_anti")
     far = rest.join(nearest, ["region", "node"], "left").filter(F.coalesce(F.col("nearest") > FAR, F.lit(True))).drop("nearest")
-    if turn == 0:
-        return voronoi.select(F.col("inner").alias("region"), "node").distinct().join(shape, "node").select("region", *own).unionByName(far)
+    if first is not None:
+        # Within a region all are alike; what they differ in from the pivot tells them apart.
+        told = window.select("node", "pivot").distinct().join(first.select("node", "pivot", F.explode("cells").alias("region")), ["node", "pivot"])
+        cells = _cells(told.select("region", "node").distinct().join(open_members.select("node", "n").distinct(), "node").select("region", "node", "n"))
+        return cells.join(shape.select("node", "weight"), "node").select("region", *own).unionByName(far.select("region", *own))
     # Where regions overlap so much that dividing gains nothing, members stay together without the pivots.
     parts = settled(voronoi.unionByName(far.select("region", F.col("region").alias("inner"), "node")), "regions")
     gain = parts.groupBy("region").agg(F.count(F.lit(1)).alias("parts")).join(rest.groupBy("region").agg(F.count(F.lit(1)).alias("whole")), "region")
@@ -328,7 +359,7 @@ def classified(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
     signed = settled(_signed(docs, percent, width), "sets")
     nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "nodes")
     unique = signed.filter("cells is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "cells")
-    members = settled(_cells(unique), "cell-members")
+    members = settled(_cells(unique.select(F.explode("cells").alias("region"), "node", "n")), "cell-members")
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "address")
     texts = settled(_pressed_texts(docs, width).join(wanted, "address").dropDuplicates(["node"]).select("node", "words"), "candidate-texts")
     labels = _linked(members, texts, percent, width)
