@@ -11,14 +11,18 @@ a component with the probability of their weighted Jaccard similarity. Points
 later than the time by which all components are surely hit are never made.
 
 Bands of components put texts into buckets. In every bucket one leader is
-compared with all members; what is similar joins its class. Texts of other
-classes than the bucket's largest lead in later rounds, eight times as many in
-each, and are compared with texts of other classes, unless their overlaps with
-the first leader and with further candidates bound their own too low. It ends when no text
-outside its bucket's largest class is left that has not led. So every pair of
-bucket members that end in different classes was compared or ruled out, and a
-group of copies is never expanded into all its pairs. Similarity is that of
-whole texts, as multisets of 64-bit shingle hashes.
+compared with all members; what is similar joins its class. Where members of
+several classes are left, they meet again in cells, by single items in which
+they differ from the leader: similar texts that the leader leaves in two
+classes have at least one of their first differences in common. Members far
+from the leader stay in their bucket without it. Within cells and such buckets, texts of
+other classes than the largest lead in rounds, eight times as many in each,
+and are compared with texts of other classes, unless their overlaps with the
+first leader and with further candidates bound their own too low. It ends when
+no text outside its cell's largest class is left that has not led. So every
+pair of bucket members that end in different classes was compared or ruled
+out, and a group of copies is never expanded into all its pairs. Similarity is
+that of whole texts, as multisets of 64-bit shingle hashes.
 
 Defined cases
 -------------
@@ -34,6 +38,7 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +55,8 @@ THRESHOLD = 0.8
 #: At similarity 0.8, a pair misses all bands with a probability of about 2e-5.
 BANDS, ROWS = 36, 6
 GROWTH = 8
+#: Members of a bucket that are farther than this from its leader stay together.
+FAR = 0.6
 BLOCK_TEXTS = 1000
 BATCH_WORDS = 500_000
 CACHE_ENTRIES = 200_000
@@ -219,32 +226,61 @@ def similarities(items: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return np.where(union > 0, common / np.maximum(union, 1), 0.0)
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """One pair of blocks: rows with items are its texts, rows with a partner its pairs."""
-    texts, pairs = table.filter(pc.is_valid(table["items"])), table.filter(pc.is_null(table["items"]))
-    nodes = texts["node"].to_numpy()
-    order = np.argsort(nodes)
-    items = [texts["items"][int(i)].values.to_numpy() for i in order]
-    a, b = pairs["node"].to_numpy(), pairs["partner"].to_numpy()
-    found = similarities(items, np.searchsorted(nodes[order], a), np.searchsorted(nodes[order], b))
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "sim": pa.array(found)})
+def difference_keys(own: np.ndarray, leader: np.ndarray, name: int, threshold: float) -> np.ndarray:
+    """Keys of the cells of an item set by its differences to a leader; both sets in order.
 
-
-def _verify(pairs: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
-    """``pairs`` (a, b) with the similarity of their whole texts.
+    Sets x and y of sizes n and m that are similar differ in at most
+    k = (n + m) * s items, s being (1 - t) / (1 + t) for the threshold t. Let a
+    and b be how many items they differ in from the leader: they have at least
+    (a + b - k) / 2 of these in common. One of the two is not similar to the
+    leader, or they were one class. If y is not, b exceeds (m + size of the
+    leader) * s; if x is not, b is at least a - k, and m at most n / t. So two
+    such sets have one of their first differences in common, in an order that
+    the leader defines: items that it lacks before those that it alone has.
+    """
+    n = len(own)
+    new, gone = np.setdiff1d(own, leader, assume_unique=True), np.setdiff1d(leader, own, assume_unique=True)
+    a = len(new) + len(gone)
+    common = (a + (len(leader) - n) * (1 - threshold) / (1 + threshold)) / 2
+    if n - len(new) < threshold * (n + len(gone)) + 1e-6:
+        common = min(common, a - n * (1 - threshold) / threshold)
+    first = np.concatenate([new, gone])[: a - max(1, math.ceil(common - 1e-6)) + 1]
+    return _mix(first.view(np.uint64) ^ _mix(np.array([name], dtype=np.int64).view(np.uint64))).view(np.int64)
+
+
+def _compare(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """One pair of blocks: rows with items are its texts, rows with a partner its pairs."""
+        texts, pairs = table.filter(pc.is_valid(table["items"])), table.filter(pc.is_null(table["items"]))
+        nodes = texts["node"].to_numpy()
+        order = np.argsort(nodes)
+        items = [texts["items"][int(i)].values.to_numpy() for i in order]
+        a, b, keyed = pairs["node"].to_numpy(), pairs["partner"].to_numpy(), pairs["keyed"].to_pylist()
+        left, right = np.searchsorted(nodes[order], a), np.searchsorted(nodes[order], b)
+        found = similarities(items, left, right)
+        keys: list[np.ndarray | None] = [None] * len(a)
+        for i in np.flatnonzero(np.array(keyed, dtype=bool) & (found >= threshold - FAR - 1e-6)).tolist():
+            keys[i] = difference_keys(np.sort(items[right[i]]), np.sort(items[left[i]]), int(a[i]), threshold)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "sim": pa.array(found), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _verify(pairs: DataFrame, items: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """``pairs`` (a, b, keyed) with the similarity of their whole texts and, if ``keyed``, ``keys`` of the cells of b by its differences to a.
 
     Texts are dealt into blocks of about ``BLOCK_TEXTS``; a pair belongs to a
     pair of blocks, and a text goes once to each of those that need it, not
     once to each of its pairs.
     """
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    placed = pairs.select((block("a") * blocks + block("b")).alias("g"), "a", "b")
+    placed = pairs.select((block("a") * blocks + block("b")).alias("g"), "a", "b", "keyed")
     needed = placed.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
     none = F.lit(None)
-    rows = needed.join(items, "node").select("g", "node", none.cast("long").alias("partner"), "items").unionByName(
-        placed.select("g", F.col("a").alias("node"), F.col("b").alias("partner"), none.cast("array<bigint>").alias("items"))
+    rows = needed.join(items, "node").select("g", "node", none.cast("long").alias("partner"), none.cast("boolean").alias("keyed"), "items").unionByName(
+        placed.select("g", F.col("a").alias("node"), F.col("b").alias("partner"), "keyed", none.cast("array<bigint>").alias("items"))
     )
-    return rows.groupBy("g").applyInArrow(_compare, "a bigint, b bigint, sim double")
+    return rows.groupBy("g").applyInArrow(_compare(threshold), "a bigint, b bigint, sim double, keys array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,14 +320,9 @@ def _members(bands: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     return _shared(able.filter(F.col("shared") >= threshold * F.col("size") - 1e-6).drop("lone"))
 
 
-def _either_way(sims: DataFrame) -> DataFrame:
-    """Similarities (leader, node, sim) with either text of a pair as the leader."""
-    return sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim").union(sims.select(F.col("b").alias("leader"), F.col("a").alias("node"), "sim"))
-
-
-def _pairs(met: DataFrame, tried: DataFrame | None) -> DataFrame:
+def _pairs(met: DataFrame, tried: DataFrame) -> DataFrame:
     pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.join(tried, ["a", "b"], "left_anti").withColumn("keyed", F.lit(False))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -306,69 +337,92 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return settled(known.unionByName(fresh), "labels")
 
 
+def _hopeful(members: DataFrame, threshold: float) -> DataFrame:
+    """``members`` (bucket, node, size, shared) that may be similar to a text as small as the smallest there."""
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
+    # No partner shares more than ``shared`` items, nor has fewer than ``least``.
+    union = F.col("size") + F.greatest("least", "shared") - F.col("shared")
+    return members.join(least, "bucket").filter(F.col("shared") >= threshold * union - 1e-6).drop("least")
+
+
 def _links(members: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
     """Classes (node, label) of linked texts; None without any candidate.
 
     Round 0: in every bucket, the text with the most bucket places, which tends
-    to lie in the middle of its group, is compared with all others. Later
-    rounds: texts outside the bucket's largest class so far lead, and are
-    compared with the texts of other classes, unless what both share with the
-    first leader, and with others, leaves too small an overlap.
+    to lie in the middle of its group, is compared with all others. Members of
+    several classes then go to cells by their differences to it. Later rounds:
+    texts outside the cell's largest class so far lead, and are compared with
+    the texts of other classes, unless what both share with the first leader,
+    and with others, leaves too small an overlap.
     """
-    weight = members.groupBy("node").agg(F.sum("n").alias("weight"), F.collect_list("bucket").alias("buckets"))
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     order = Window.partitionBy("bucket").orderBy(F.desc("weight"), F.xxhash64("node"), "node")
 
     def leading(some: DataFrame, take: int) -> DataFrame:
         """The first ``take`` of every bucket by ``nth``, and one more where there are more."""
         return some.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= take + 1)
 
-    members = settled(members.join(weight, "node"), "weighted-members")
-    blocks = max(1, -(-items.count() // BLOCK_TEXTS))
-    def possible(most: Column) -> Column:
+    def possible(most: Column, least: float = threshold) -> Column:
         """Whether an overlap of ``most`` would make the texts similar."""
-        return most >= threshold * (F.col("size") + F.col("sl") - most) - 1e-6
+        return most >= least * (F.col("size") + F.col("sl") - most) - 1e-6
 
-    near = possible(F.least("shared", "cl"))
+    members = settled(members.join(weight, "node"), "weighted-members")
+    blocks = max(1, -(-items.count() // BLOCK_TEXTS))
+    most = F.least("shared", "cl")
     first = settled(leading(members, 1).filter("nth = 1").select("bucket", F.col("node").alias("leader"), F.col("size").alias("sl"), F.col("shared").alias("cl")), "leaders")
     if first.isEmpty():
         return None
-    tried = settled(_verify(_pairs(first.join(members, "bucket").filter((F.col("leader") != F.col("node")) & near), None), items, blocks), "similarities")
-    from_first = first.join(members, "bucket").join(_either_way(tried), ["leader", "node"], "left")
-    # ``own``: what the first leader has as well; ``other``: what only further texts have.
-    overlap = F.round(F.col("sim") * (F.col("size") + F.col("sl")) / (1 + F.col("sim")))
-    own = F.when(F.col("leader") == F.col("node"), F.col("size")).otherwise(overlap).cast("long")
-    larger = settled(
-        from_first.filter("n > 2").withColumn("own", own).select("bucket", "node", "size", "shared", "weight", "buckets", "own", (F.col("shared") - F.col("own")).alias("other")),
-        "members-by-overlap",
-    )
-    labels = components(tried.filter(F.col("sim") >= threshold))
-    led = settled(first.select("bucket", F.col("leader").alias("node")), "led")
-    take = GROWTH
+    # The order of leaders is one for all buckets: of two texts always the same one leads.
+    met = first.join(members, "bucket").filter("leader <> node")
+    pairs = met.filter(possible(most, threshold - FAR)).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max(F.col("n") > 2).alias("keyed"))
+    sims = settled(_verify(pairs, items, blocks, threshold), "similarities")
+    tried = sims.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    labels = components(sims.filter(F.col("sim") >= threshold))
+    led = first.select("bucket", F.col("leader").alias("node"))
+    larger = settled(_cells(met.filter("n > 2"), sims, labels, threshold), "cell-members")
+    take = 1
     while True:
         tagged = larger.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         shares = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
         open_members = settled(tagged.join(mixed.select("bucket", "main"), "bucket"), "open-members")
         waiting = open_members.filter("label <> main").join(led, ["bucket", "node"], "left_anti")
-        ranked = settled(leading(waiting, take).select("nth", "bucket", F.col("node").alias("leader"), F.col("label").alias("ll"), F.col("size").alias("sl"), F.col("shared").alias("cl"), F.col("own").alias("ol"), F.col("other").alias("rl"), F.col("buckets").alias("bl")), "leaders")
+        ranked = settled(leading(waiting, take).select("nth", "bucket", F.col("node").alias("leader"), F.col("label").alias("ll"), F.col("size").alias("sl"), F.col("shared").alias("cl"), F.col("own").alias("ol"), F.col("other").alias("rl")), "leaders")
         chosen = ranked.filter(F.col("nth") <= take).drop("nth")
         if chosen.isEmpty():
             return labels
         # A text ruled out for the first leader was not compared with it and has no overlap.
         within = F.coalesce(possible(F.least("own", "ol") + F.least("other", "rl")), F.lit(True))
-        # A pair that shares several buckets meets in the least of them.
-        once = F.array_min(F.array_intersect("buckets", "bl")) == F.col("bucket")
-        met = chosen.join(open_members, "bucket").filter((F.col("ll") != F.col("label")) & near & within & once)
-        sims = settled(_verify(_pairs(met, tried), items, blocks), "similarities")
-        tried = tried.unionByName(sims)
+        rivals = chosen.join(open_members, "bucket").filter((F.col("ll") != F.col("label")) & possible(most) & within)
+        found = settled(_verify(_pairs(rivals, tried), items, blocks, threshold).drop("keys"), "similarities")
+        tried = tried.unionByName(found.select("a", "b"))
         led = led.unionByName(chosen.select("bucket", F.col("leader").alias("node")))
-        labels = _merged(labels, sims.filter(F.col("sim") >= threshold))
+        labels = _merged(labels, found.filter(F.col("sim") >= threshold))
         # A bucket whose waiting texts have all led is done.
         more = ranked.filter(F.col("nth") > take).select("bucket")
         larger = open_members.drop("label", "main").join(more, "bucket", "left_semi")
         take *= GROWTH
 
 
+def _cells(met: DataFrame, sims: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``bucket, node, size, shared, weight, own, other``: where members of buckets that still have several classes meet again.
+
+    ``own``: how many items the first leader has as well; ``other``: what only
+    further texts have; null if the leader was not compared.
+    """
+    known = sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim")
+    placed = met.join(labels, "node", "left").join(known, ["leader", "node"], "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    overlap = F.round(F.col("sim") * (F.col("size") + F.col("sl")) / (1 + F.col("sim"))).cast("long")
+    shape = ["node", "size", "shared", "weight", "own", "other"]
+    still = settled(placed.join(mixed, "bucket").withColumn("own", overlap).withColumn("other", F.col("shared") - overlap).select("bucket", "leader", "sim", *shape), "members-by-leader")
+    far = _hopeful(still.filter("sim is null").unionByName(still.filter(F.col("sim") < 1 - FAR + 1e-6)).select("bucket", *shape), threshold)
+    near = still.filter("sim is not null").select("leader", *shape).distinct()
+    told = near.join(sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.explode("keys").alias("bucket")), ["leader", "node"]).select("bucket", *shape)
+    cells = _shared(_hopeful(_shared(told).drop("n"), threshold)).drop("n")
+    return cells.select("bucket", *shape).unionByName(far)
+
+
 def classified(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
