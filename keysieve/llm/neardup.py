@@ -418,9 +418,9 @@ def _cells(met: DataFrame, sims: DataFrame, labels: DataFrame, threshold: float)
     still = settled(placed.join(mixed, "bucket").withColumn("own", overlap).withColumn("other", F.col("shared") - overlap).select("bucket", "leader", "sim", *shape), "members-by-leader")
     far = _hopeful(still.filter("sim is null").unionByName(still.filter(F.col("sim") < 1 - FAR + 1e-6)).select("bucket", *shape), threshold)
     near = still.filter("sim is not null").select("leader", *shape).distinct()
-    told = near.join(sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.explode("keys").alias("bucket")), ["leader", "node"]).select("bucket", *shape)
-    cells = _shared(_hopeful(_shared(told).drop("n"), threshold)).drop("n")
-    return cells.select("bucket", *shape).unionByName(far)
+    told = near.join(sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.explode("keys").alias("bucket")), ["leader", "node"])
+    cells = settled(_shared(settled(told.select("bucket", *shape), "differences")).select("bucket", *shape), "cells")
+    return _hopeful(cells, threshold).select("bucket", *shape).unionByName(far.select("bucket", *shape))
 
 
 def classified(

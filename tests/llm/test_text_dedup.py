@@ -226,3 +226,45 @@ def test_probabilities_after_any_history_add_up(spark):
 
 def test_empty_tables_have_no_scores(spark):
     assert lm.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_texts_of_two_classes_share_a_cell():
+    rng = random.Random(31)
+    apart = 0
+    for _ in range(3000):
+        base = rng.sample(range(10**9), rng.randrange(8, 60))
+        fresh = iter(range(2 * 10**9, 3 * 10**9))
+        spare = [next(fresh) for _ in range(8)]
+
+        def near(k):
+            own = [x for x in base if rng.random() > k] + [x for x in spare if rng.random() < k]
+            return np.array(sorted(set(own)) or [1], dtype=np.int64)
+
+        leader, x, y = near(0.05), near(rng.random() / 3), near(rng.random() / 3)
+        alike = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in ((x, y), (x, leader), (y, leader))]
+        if alike[0] >= 0.8 and min(alike[1:]) < 0.8:
+            apart += 1
+            assert np.intersect1d(neardup.difference_keys(x, leader, 7, 0.8), neardup.difference_keys(y, leader, 7, 0.8)).size
+    assert apart > 50
+
+
+def test_comparisons_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    counted = []
+    verify = neardup._verify
+
+    def counting(pairs, *rest):
+        counted.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_verify", counting)
+    totals = []
+    for size in (150, 300):
+        rng = random.Random(8)
+        base = words(rng, 150, 10**6)
+        rows = [(k, edited(rng, base, rng.randrange(10))) for k in range(size)]
+        counted.clear()
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.class_id) for r in got) == plain_classes(rows)
+        totals.append(sum(counted))
+    # All pairs would be four times as many.
+    assert totals[1] <= 2.5 * totals[0], totals
