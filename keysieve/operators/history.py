@@ -155,6 +155,11 @@ def fold_chunks(chunks: DataFrame) -> DataFrame:
     return ended.select("workspace", *[c.alias(n) for n, c in values.items()])
 
 
+def audit_events(events: DataFrame) -> DataFrame:
+    """Events that leave an audit row: fixes, and scans with findings."""
+    return events.filter((F.col("kind") == "fix") | ((F.col("kind") == "scan") & (F.col("n_open") > 0)))
+
+
 def audit_trail(events: DataFrame, keep: int = AUDIT_ROWS) -> DataFrame:
     """Newest audit rows per workspace, ``audit_rank`` 1 being the newest.
 
@@ -167,7 +172,7 @@ def audit_trail(events: DataFrame, keep: int = AUDIT_ROWS) -> DataFrame:
     name = F.coalesce(F.nullif(base_name(F.col("path")), F.lit("")), F.lit("source file"))
     newest = Window.partitionBy("workspace").orderBy(F.desc("ts"), F.desc("seq"))
     return (
-        events.filter(is_fix | ((F.col("kind") == "scan") & (n > 0)))
+        audit_events(events)
         .withColumn("audit_rank", F.row_number().over(newest))
         .filter(F.col("audit_rank") <= keep)
         .select(

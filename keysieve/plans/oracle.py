@@ -613,6 +613,19 @@ def statements() -> dict[str, str]:
       FROM ({newest_saves}) s GROUP BY workspace"""
     out["stream_targeted_scans"] = f"""SELECT * FROM ({out["stream_scan_on_save"]}) s WHERE path IN ('src/s0.ts', 'src/s1.ts', 'src/s2.ts')
       AND EXISTS (SELECT 1 FROM documents d WHERE d.source = s.workspace AND s.path = 'src/s' || (d.doc_id % 3) || '.ts')"""
+    counts = ", ".join(
+        f"count(rule_order) FILTER ({column} = '{name}') AS {name}" for column, names in (("severity", SEVERITIES), ("provider", PROVIDERS)) for name in names
+    )
+    out["stream_running_totals"] = _found(
+        f"""SELECT workspace, count(DISTINCT n.doc_id) FILTER (is_open) AS documents, count(rule_order) AS open,
+            CAST(greatest(0, 100 - 20 * count(rule_order)) AS BIGINT) AS score, {counts}
+          FROM (SELECT repo AS workspace, doc_id, doc_id % 9 <> 8 AS is_open FROM files
+            QUALIFY row_number() OVER (PARTITION BY repo, doc_id % 8 ORDER BY doc_id DESC) = 1) n
+          LEFT JOIN (SELECT doc_id, rule_order, provider, severity FROM found JOIN rules USING (rule_order)) f ON f.doc_id = n.doc_id AND is_open
+          GROUP BY workspace""",
+        _RULES,
+    )
+    out["stream_audit_trail"] = f"SELECT * REPLACE (CAST(workspace AS VARCHAR) AS workspace) FROM ({out['audit_trail']}) a"
     return out
 
 

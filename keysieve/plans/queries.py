@@ -23,6 +23,7 @@ from keysieve.sources import snapshots as snap
 from keysieve.sources.files import decode_contents
 from keysieve.sources.shared import shared_folder, written
 from keysieve.streaming import saves as live
+from keysieve.streaming import totals as kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 UPDATED_AT = "2024-01-01T00:00:00.000Z"
@@ -209,14 +210,17 @@ def history_latest(spark, sf):
     return hist.latest_stats(table(spark, sf, "history"))
 
 
-def audit_trail(spark, sf):
-    rows = hist.audit_trail(table(spark, sf, "history"))
-    return rows.select(
+def _audit_rows(trail):
+    return trail.select(
         "workspace", "audit_rank", "seq", "action", "summary",
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("provider", "severity")],
     )
 
 
+def audit_trail(spark, sf):
+    return _audit_rows(hist.audit_trail(table(spark, sf, "history")))
+
+
 def current_findings(spark, sf):
     """Findings (``n_open`` per scan) of each open document's newest scan."""
     events = table(spark, sf, "document_events")
@@ -443,6 +447,30 @@ def stream_workspace_totals(spark, sf):
     return state.totals()
 
 
+def stream_running_totals(spark, sf):
+    """Totals per workspace kept up to date by retraction: eight paths per repository, saved and closed in no order."""
+    doc_id = F.col("doc_id")
+    saves = _dealt_stream(spark, _files(spark, sf), "running-totals", "doc_id").select(
+        F.col("repo").alias("workspace"),
+        F.concat(F.lit("src/s"), doc_id % 8, F.lit(".ts")).alias("path"),
+        F.timestamp_seconds(doc_id).alias("ts"),
+        doc_id.alias("seq"),
+        F.when(doc_id % 9 == 8, F.lit("close")).otherwise(F.lit("save")).alias("kind"),
+        "text",
+    )
+    state = kept.RunningTotals(spark, _stream_folder(spark, "totals-kept"), fold_every=2)
+    state.start(saves, _stream_folder(spark, "totals-kept-ckpt")).awaitTermination()
+    return state.totals()
+
+
+def stream_audit_trail(spark, sf):
+    """Newest audit rows kept over several micro-batches that hold events of all times each."""
+    events = _dealt_stream(spark, table(spark, sf, "history"), "audit", "seq")
+    state = kept.RunningAudit(spark, _stream_folder(spark, "audit-kept"), fold_every=2)
+    state.start(events, _stream_folder(spark, "audit-ckpt")).awaitTermination()
+    return _audit_rows(state.trail())
+
+
 def stream_targeted_scans(spark, sf):
     """Scans of saved files that are in the modified set."""
     documents = table(spark, sf, "documents")
@@ -495,6 +523,7 @@ REGISTERED: tuple[Query, ...] = (
     rewrite_sources, rewrite_sources_unquoted, decoded_contents, undecodable_contents, snapshot_roundtrip,
     stream_stats, stream_scan_on_save, stream_current_findings, stream_stats_late, stream_published_snapshots,
     stream_workspace_totals, stream_targeted_scans, range_lookup_stored, history_burst,
+    stream_running_totals, stream_audit_trail,
 )
 
 

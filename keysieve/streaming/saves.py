@@ -117,6 +117,15 @@ class RunningStats:
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def newest_saves(saves: DataFrame) -> DataFrame:
+    """``workspace, path, is_open, text, ts, seq`` of each supported, confined file's newest event in a batch."""
+    path = F.col("path")
+    usable = saves.filter(is_confined(path) & is_supported(path))
+    is_open = F.coalesce(F.col("kind") != "close", F.lit(True)).alias("is_open")
+    last = F.max_by(F.struct(is_open, F.coalesce("text", F.lit("")).alias("text"), "ts", "seq"), F.struct("ts", "seq"))
+    return usable.groupBy("workspace", "path").agg(last.alias("last")).select("workspace", "path", "last.*")
+
+
 class CurrentSnapshots:
     """The state that readers see: a snapshot document of every open file, without findings too.
 
@@ -139,11 +148,7 @@ class CurrentSnapshots:
 
     def update(self, saves: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` function."""
-        path = F.col("path")
-        usable = saves.filter(is_confined(path) & is_supported(path))
-        is_open = F.coalesce(F.col("kind") != "close", F.lit(True)).alias("is_open")
-        last = F.max_by(F.struct(is_open, F.coalesce("text", F.lit("")).alias("text"), "ts", "seq"), F.struct("ts", "seq"))
-        newest = usable.groupBy("workspace", "path").agg(last.alias("last")).select("workspace", "path", "last.*")
+        newest = newest_saves(saves)
         keys = ("workspace", "path", "ts", "seq", "is_open")
         emptied = newest.withColumn("text", F.when(F.col("is_open"), F.col("text")).otherwise(F.lit("")))
         self._changes.write(snapshot_documents(emptied, self._updated_at(batch_id), keys, self._catalog, empty=True), batch_id)
