@@ -21,6 +21,7 @@ from keysieve.operators.detect import describe, detect, detect_located
 from keysieve.plans.corpus import table
 from keysieve.sources import snapshots as snap
 from keysieve.sources.files import decode_contents
+from keysieve.sources.folder import register_folders, write_folder
 from keysieve.sources.shared import shared_folder, written
 from keysieve.streaming import saves as live
 from keysieve.streaming import totals as kept
@@ -347,6 +348,17 @@ def undecodable_contents(spark, sf):
     return decode_contents(table(spark, sf, "fetched"))[1].select("doc_id", "encoding")
 
 
+def folder_files(spark, sf):
+    """All texts written as files, dot names among them, and read again as a folder."""
+    doc_id = F.col("doc_id")
+    name = F.when(doc_id % 4 == 0, F.lit("/.env")).when(doc_id % 4 == 1, F.lit("/_main.py")).otherwise(F.lit("/a b.ts"))
+    files = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), doc_id, name).alias("path"), "text")
+    folder = f"{shared_folder(spark)}/keysieve/folder-{uuid.uuid4().hex}"
+    write_folder(files.repartition("path"), folder)
+    register_folders(spark)
+    return spark.read.format("source_files").load(folder).select("path", "size", F.md5("text").alias("text_md5"))
+
+
 def snapshot_roundtrip(spark, sf):
     documents = snap.snapshot_documents(_files(spark, sf), UPDATED_AT)
     # Every fifth document arrives damaged and reads as having no findings.
@@ -523,7 +535,7 @@ REGISTERED: tuple[Query, ...] = (
     rewrite_sources, rewrite_sources_unquoted, decoded_contents, undecodable_contents, snapshot_roundtrip,
     stream_stats, stream_scan_on_save, stream_current_findings, stream_stats_late, stream_published_snapshots,
     stream_workspace_totals, stream_targeted_scans, range_lookup_stored, history_burst,
-    stream_running_totals, stream_audit_trail,
+    stream_running_totals, stream_audit_trail, folder_files,
 )
 
 

@@ -1,7 +1,10 @@
 import base64
 import json
 
+import pytest
+
 from keysieve.sources import files as src
+from keysieve.sources import folder as fld
 from keysieve.sources import shared
 from keysieve.sources import snapshots as snap
 from keysieve.sources.shared import shared_folder, written
@@ -118,3 +121,38 @@ def test_snapshot_numbers_stay_as_they_are(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, document string")
     got = [(r.open, r.updated_at, len(r.findings)) for r in snap.parse_snapshots(rows).orderBy("id").collect()]
     assert got == [(2.7, "1700000000000", 0), (1.0, None, 1), (0.0, None, 1)]
+
+
+def test_folder_source(spark, tmp_path):
+    root = tmp_path / "in %41"
+    rows = [(".env", "A=1"), ("src/_x.py", "\u00e9\U0001f600\r\n"), ("a/b c.ts", ""), ("none.md", None), ("a/big.js", "x" * 300_000)]
+    assert fld.write_folder(spark.createDataFrame(rows, "path string, text string"), str(root)) == 5
+    (root / "bad.ts").write_bytes(b"a\xffb")
+    fld.register_folders(spark)
+    for limit in (1, 100_000, 1 << 30):
+        found = spark.read.format("source_files").option("taskBytes", limit).load(str(root))
+        got = {r.path: (r.size, r.text, r.reason) for r in found.collect()}
+        assert got == {p: (len((t or "").encode()), t or "", None) for p, t in rows} | {"bad.ts": (3, "a\ufffdb", None)}
+    one_each = spark.read.format("source_files").option("taskBytes", 1).load(str(root))
+    assert one_each.rdd.getNumPartitions() == 6
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("source_files").load(str(tmp_path / "empty")).isEmpty()
+
+
+def test_files_are_grouped_by_bytes():
+    files = [("a", 10), ("b", 10**9), ("c", 20), ("d", 0)]
+    groups = [[n for n, _ in g.files] for g in fld.grouped(files, 10**6)]
+    assert sorted(groups) == [["a", "c", "d"], ["b"]]
+    # Empty files cost something too.
+    assert len(fld.grouped([(str(i), 0) for i in range(100)], 10 * fld.OPEN_BYTES)) == 10
+
+
+def test_a_file_that_is_gone_keeps_its_row(tmp_path):
+    reader = fld._FolderReader(str(tmp_path), 1 << 20)
+    (tmp_path / "x").write_text("1")
+    (group,) = reader.partitions()
+    (tmp_path / "x").unlink()
+    (batch,) = reader.read(group)
+    assert batch.to_pylist() == [{"path": "x", "size": 1, "text": None, "reason": "FileNotFoundError"}]
+    with pytest.raises(ValueError):
+        fld.SourceFiles({}).reader(None)
