@@ -628,6 +628,7 @@ def statements() -> dict[str, str]:
     out["stream_audit_trail"] = f"SELECT * REPLACE (CAST(workspace AS VARCHAR) AS workspace) FROM ({out['audit_trail']}) a"
     out["folder_files"] = """SELECT source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '/.env' WHEN 1 THEN '/_main.py' ELSE '/a b.ts' END AS path,
         octet_length(encode(coalesce(text, ''))) AS size, md5(coalesce(text, '')) AS text_md5 FROM documents"""
+    out["stream_keyed_findings"] = out["stream_current_findings"]
     return out
 
 

@@ -23,6 +23,7 @@ from keysieve.sources import snapshots as snap
 from keysieve.sources.files import decode_contents
 from keysieve.sources.folder import register_folders, write_folder
 from keysieve.sources.shared import shared_folder, written
+from keysieve.streaming import current as keyed
 from keysieve.streaming import saves as live
 from keysieve.streaming import totals as kept
 
@@ -525,6 +526,23 @@ def stream_current_findings(spark, sf):
     return newest.filter("last.is_open").select("workspace", "path", "last.seq", "last.findings")
 
 
+def stream_keyed_findings(spark, sf):
+    """Newest state per document out of keyed state, over several micro-batches in no order of time."""
+    folder = _stream_folder(spark, "keyed")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id:012d}")
+
+    saves = _saves(_dealt_stream(spark, table(spark, sf, "documents"), "keyed-saves", "doc_id"))
+    # No event comes so late.
+    writer = keyed.current_findings(saves, "36500 days").writeStream.outputMode("update").foreachBatch(keep)
+    writer.option("checkpointLocation", _stream_folder(spark, "keyed-ckpt")).trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.parquet(f"{folder}/batch=*")
+    rest = F.struct("seq", "is_open", F.size("findings").alias("findings"))
+    newest = changed.groupBy("workspace", "path").agg(F.max_by(rest, F.struct("ts", "seq")).alias("last"))
+    return newest.filter("last.is_open").select("workspace", "path", "last.seq", "last.findings")
+
+
 REGISTERED: tuple[Query, ...] = (
     supported_paths, detect_spans, detect_by_rule, overlap_suppression, finding_positions, redacted_findings,
     diagnostics, range_lookup, first_finding, scan_summary, scan_stats_all, finding_cube, redacted_corpus, raw_text_scan, severity_zero_fill, provider_zero_fill,
@@ -535,7 +553,7 @@ REGISTERED: tuple[Query, ...] = (
     rewrite_sources, rewrite_sources_unquoted, decoded_contents, undecodable_contents, snapshot_roundtrip,
     stream_stats, stream_scan_on_save, stream_current_findings, stream_stats_late, stream_published_snapshots,
     stream_workspace_totals, stream_targeted_scans, range_lookup_stored, history_burst,
-    stream_running_totals, stream_audit_trail, folder_files,
+    stream_running_totals, stream_audit_trail, folder_files, stream_keyed_findings,
 )
 
 

@@ -7,6 +7,7 @@ from test_streaming import _saves
 
 from keysieve.operators.history import audit_trail
 from keysieve.sources.versions import MergedTable
+from keysieve.streaming import current as keyed
 from keysieve.streaming import saves as live
 from keysieve.streaming import totals as kept
 
@@ -97,3 +98,40 @@ def test_merged_table_folds(spark, tmp_path):
     for batch in range(4):
         shutil.rmtree(tmp_path / "t" / "changes" / "rows" / f"version={batch:012d}")
     assert sorted(map(tuple, table.state().collect())) == before
+
+
+def test_keyed_state_loses_closed_files(spark, tmp_path):
+    text = "k = 'sk-" + "1" * 20 + "'"
+
+    def at(minute):
+        return START + dt.timedelta(minutes=minute)
+
+    batches = [
+        [("u", f"f{i}.ts", at(i), i, "save", text) for i in range(6)] + [(None, "n.ts", at(1), 50, "save", text)],
+        # Four files are closed; a save from before its file's close comes after it.
+        [("u", f"f{i}.ts", at(10 + i), 10 + i, "close", None) for i in range(4)],
+        [("u", "f0.ts", at(9), 9, "save", text), ("u", "f5.ts", at(300), 20, "save", "")],
+        # The watermark has passed the closes, so their state goes.
+        [("u", "f5.ts", at(301), 21, "save", text + "\n" + text)],
+        [("u", "f5.ts", at(302), 22, "save", text)],
+    ]
+    folder = str(tmp_path / "in")
+    seen, sizes = {}, []
+
+    def keep(batch, _):
+        for r in batch.collect():
+            assert all(f.redacted == "sk-1...11" for f in r.findings)
+            seen[r.workspace, r.path] = (r.seq, r.is_open, len(r.findings))
+
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, live.SAVE_SCHEMA).coalesce(1).write.parquet(f"{folder}/part={number}")
+        stream = live.read_saves(spark, f"{folder}/part=*")
+        writer = keyed.current_findings(stream, "30 minutes").writeStream.outputMode("update").foreachBatch(keep)
+        query = writer.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert seen == {
+        ("u", "f0.ts"): (10, False, 0), ("u", "f1.ts"): (11, False, 0), ("u", "f2.ts"): (12, False, 0), ("u", "f3.ts"): (13, False, 0),
+        ("u", "f4.ts"): (4, True, 1), ("u", "f5.ts"): (22, True, 1), (None, "n.ts"): (50, True, 1),
+    }
+    assert sizes[1] == 7 and sizes[-1] == 3
