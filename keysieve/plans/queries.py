@@ -383,10 +383,13 @@ def _stream_of(spark, sf, name):
 
 
 def _dealt_stream(spark, rows, name, key, parts=5):
-    """Rows dealt into files by a hash of their key, read a few files at a time: micro-batches in no order of time."""
+    """Rows dealt into files by a hash of their key, read a few files at a time: micro-batches in no order of time.
+
+    A part has one file or, where it is large, several of a bounded size, each of them written by a task.
+    """
     folder = _stream_folder(spark, name)
     dealt = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
-    dealt.repartition(parts, "part").write.partitionBy("part").parquet(folder)
+    dealt.hint("rebalance", "part").write.partitionBy("part").parquet(folder)
     files = len(spark.read.parquet(folder).inputFiles())
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(f"{folder}/part=*")
 
