@@ -8,7 +8,9 @@ Tables::
 A repository may hold a large share of all rows, so nothing here gathers one
 repository's rows before they are cut to the cap: first occurrences are plain
 aggregates (combined before the shuffle) and ``row_number() <= cap`` filters
-run as group limits on both sides of the shuffle.
+run as group limits on both sides of the shuffle. Trees are dealt by path before
+they are cut: a limit sorts what its task holds, and one task may read very
+many rows of a well compressed table.
 """
 
 from __future__ import annotations
@@ -48,6 +50,11 @@ def _first_rows(rows: DataFrame, cap: int, *order: Column | str) -> DataFrame:
     return rows.withColumn("position", position).filter(F.col("position") <= cap)
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of every repository dealt over all tasks, however few tasks read them."""
+    return rows.repartition("repo", *by)
+
+
 def recent_commits(changes: DataFrame, commits: int = RECENT_COMMITS) -> DataFrame:
     """The newest commits of each repository: ``repo, commit_id, commit_rank, sha``.
 
@@ -78,7 +85,8 @@ def recent_commit_targets(changes: DataFrame, commits: int = RECENT_COMMITS, cap
 def tree_sample_targets(tree: DataFrame, cap: int = MAX_FILES) -> DataFrame:
     """First supported blobs in tree order: ``repo, path, position, sha``."""
     blobs = tree.filter((F.col("type") == "blob") & (F.col("path") != "") & is_supported(F.col("path")))
-    return _first_rows(blobs, cap, "pos", "path").select("repo", "path", "position", F.col("head_id").alias("sha"))
+    dealt = _spread(blobs.select("repo", "head_id", "pos", "path"), "pos", "path")
+    return _first_rows(dealt, cap, "pos", "path").select("repo", "path", "position", F.col("head_id").alias("sha"))
 
 
 def repo_targets(
@@ -93,7 +101,9 @@ def repo_targets(
 
     Repositories without commits take the tree sample alone. Both inputs are
     cut to ``cap`` rows per repository first, so the windows below see at most
-    twice that many rows per repository and share one shuffle.
+    twice that many rows per repository and share one shuffle. It has a fixed
+    number of partitions: the windows sort their rows several times, so small
+    partitions joined up to a size would hold a multiple of it.
     """
     columns = ("repo", "path", "position", "sha")
     recent = recent_commit_targets(changes, commits, cap).select(*columns, F.lit(0).alias("sampled"))
@@ -102,17 +112,20 @@ def repo_targets(
     repo = Window.partitionBy("repo")
     same_path = Window.partitionBy("repo", "path").orderBy("sampled", "position")
     ordered = repo.orderBy("sampled", "position")
+    # As many as the inputs have would make this no shuffle of its own.
+    tasks = 2 * int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = (
         recent.unionByName(sample)
+        .repartition(tasks, "repo")
+        .withColumn("copy", F.row_number().over(same_path))
         .withColumns(
             {
                 "n_recent": F.count_if(F.col("sampled") == 0).over(repo),
                 "recent_sha": F.max(F.when(F.col("sampled") == 0, F.col("sha"))).over(repo),
             }
         )
-        .filter((F.col("sampled") == 0) | (F.col("n_recent") < top_up_below))
-        .withColumn("copy", F.row_number().over(same_path))
-        .filter(F.col("copy") == 1)
+        # A recent path is the first of its copies, whether or not the sample counts.
+        .filter((F.col("copy") == 1) & ((F.col("sampled") == 0) | (F.col("n_recent") < top_up_below)))
         .withColumn("position", F.row_number().over(ordered))
         .filter(F.col("position") <= cap)
         .withColumn("total", F.count(F.lit(1)).over(repo))
@@ -123,8 +136,10 @@ def repo_targets(
         .when(F.col("total") > n_recent, F.lit("recent+sample"))
         .otherwise(F.lit("recent-commits"))
     )
-    # The tree's head counts even when the tree holds no supported file.
-    heads = tree.groupBy("repo").agg(F.max("head_id").alias("head"))
+    # The tree's head counts even when the tree holds no supported file. The
+    # largest text is found by sorting, so each is taken once before, by hash:
+    # without a shuffle between the two, Spark would leave that step out.
+    heads = tree.select("repo", "head_id").distinct().repartition("repo").groupBy("repo").agg(F.max("head_id").alias("head"))
     sha = F.when(n_recent < top_up_below, F.coalesce("head", "recent_sha")).otherwise(F.col("recent_sha"))
     return counted.join(heads, "repo", "left").select("repo", "path", "position", mode.alias("mode"), sha.alias("sha")).select(
         "repo",
@@ -140,7 +155,7 @@ def walk_sample_targets(tree: DataFrame, cap: int = MAX_FILES) -> DataFrame:
     """Supported files outside skipped folders, by path, cut at ``cap``."""
     path = F.col("path")
     usable = tree.filter((F.col("type") == "blob") & is_supported(path) & ~is_skipped(path))
-    return _first_rows(usable, cap, "path").select("repo", "path", F.lit("TREE").alias("status"))
+    return _first_rows(_spread(usable.select("repo", "path"), "path"), cap, "path").select("repo", "path", F.lit("TREE").alias("status"))
 
 
 def latest_commit_targets(changes: DataFrame) -> DataFrame:
