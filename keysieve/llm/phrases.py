@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysieve.llm.common import press, settled, unpress
-from keysieve.operators.skew import join_groups
+from keysieve.operators.skew import SPREAD, join_groups
 
 MAX_WORDS = 3
 MIN_COUNT = 10
@@ -50,6 +50,8 @@ NO_LANGUAGE = "und"
 CHUNK_WORDS = 1_000_000
 BUCKET_BYTES = 8 << 20
 SLICE_BYTES = 4 << 20
+#: Occurrences from which on a phrase's candidates are spread over tasks.
+COMMON = 200_000
 
 #: No UTF-8 text holds this byte: it stands for the end of a piece.
 _CUT = b"\xff"
@@ -256,21 +258,35 @@ def _decimal(column: Column) -> Column:
     return column.cast("decimal(38,0)")
 
 
+def _with_count(cuts: DataFrame, parts: DataFrame, side: str, name: str) -> DataFrame:
+    """``cuts`` with the count of their part ``side`` as ``name``.
+
+    A common part begins or ends many candidates: those are spread, and its one
+    row is repeated. A part has at most ``max_words - 1`` candidates on a side
+    for every ``min_count`` of its occurrences, so the others have few.
+    """
+    common = parts.filter(F.col("count") >= COMMON).select("lang", F.col("part").alias(side), F.lit(True).alias("__common"))
+    salt = F.when(F.col("__common"), F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")
+    salted = cuts.join(F.broadcast(common), ["lang", side], "left").withColumn("__salt", salt).drop("__common")
+    salts = F.when(F.col("count") >= COMMON, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    repeated = parts.select("lang", F.col("part").alias(side), F.col("count").alias(name), F.explode(salts).alias("__salt"))
+    return salted.join(repeated, ["lang", side, "__salt"]).drop("__salt")
+
+
 def scored(sums: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """Candidates with their lowest-scoring cut: ``lang, phrase, a, l, r, n, score`` and ``words``.
 
     ``sums`` is read several times; give a written table.
     """
-    by_phrase = sums.filter("size > 0").select("lang", F.array_join("phrase", " ").alias("part"), F.col("n").alias("count"))
+    # No cut has a part of full length.
+    by_phrase = sums.filter((F.col("size") > 0) & (F.col("size") < max_words)).select("lang", F.array_join("phrase", " ").alias("part"), F.col("n").alias("count"))
     cuts = sums.filter("size > 1").select(
         "lang", "phrase", F.col("n").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")
     )
     cuts = cuts.withColumns({"head": F.array_join(F.slice("phrase", F.lit(1), F.col("k")), " "),
                              "tail": F.array_join(F.slice("phrase", F.col("k") + 1, F.size("phrase") - F.col("k")), " ")})
-    # A common word begins or ends many candidates: those are spread, its one row is repeated.
     for side, name in (("head", "l"), ("tail", "r")):
-        parts = by_phrase.select(F.struct("lang", F.col("part").alias("part")).alias("key"), F.col("count").alias(name))
-        cuts = join_groups(cuts.withColumn("key", F.struct("lang", F.col(side).alias("part"))), parts, "key", "inner", ("phrase",)).drop("key")
+        cuts = _with_count(cuts, by_phrase, side, name)
     a, l, r = (_decimal(F.col(c)) for c in ("a", "l", "r"))
     cuts = cuts.withColumns({"__a": a, "__l": l, "__r": r}).withColumn("score", F.expr(f"({UNIT}BD * __a * __a) div (__l * __r)"))
     least = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
