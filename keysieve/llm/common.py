@@ -36,6 +36,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``keys``, before anything moves; the join that follows is exact.
+
+    The marks are bitmaps of 16 bits a key, at most 16 MB in all however many
+    keys there are: beyond that more rows pass than need be.
+    """
+    bits = 1 << min(27, max(15, (16 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits)).alias("__place")
+    bucket, bit = F.bitmap_bucket_number("__place"), F.bitmap_bit_position("__place")
+    marks = keys.select(place).groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__marks"))
+    placed = rows.withColumn("__place", place).withColumn("__bucket", bucket)
+    byte = F.conv(F.hex(F.substring("__marks", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.expr("__byte & (1 << cast(__bit % 8 as int))") != 0
+    found = placed.join(F.broadcast(marks), "__bucket").withColumns({"__byte": byte, "__bit": bit}).filter(there)
+    return found.select(*rows.columns)
+
+
 def press(numbers: np.ndarray) -> bytes:
     """Whole numbers, byte by byte of their value, compressed."""
     kind = np.dtype(f"<u{min(8, max(1, 1 << max(0, (int(numbers.max(initial=0)).bit_length() - 1) // 8).bit_length()))}")

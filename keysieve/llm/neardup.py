@@ -16,7 +16,7 @@ several classes are left, they meet again in cells, by single items in which
 they differ from the leader: similar texts that the leader leaves in two
 classes have at least one of their first differences in common. Members far
 from the leader stay in their bucket without it. Within cells and such buckets, texts of
-other classes than the largest lead in rounds, eight times as many in each,
+other classes than the largest lead in rounds, more and more of them,
 and are compared with texts of other classes, unless their overlaps with the
 first leader and with further candidates bound their own too low. It ends when
 no text outside its cell's largest class is left that has not led. So every
@@ -48,17 +48,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import settled
+from keysieve.llm.common import marked, settled
 
 WIDTH = 5
 THRESHOLD = 0.8
 #: At similarity 0.8, a pair misses all bands with a probability of about 2e-5.
 BANDS, ROWS = 36, 6
-GROWTH = 8
+#: So many of a cell lead in the first round after the leader's, and so many times as many in each that follows.
+FIRST, GROWTH = 64, 8
 #: Members of a bucket that are farther than this from its leader stay together.
 FAR = 0.6
 BLOCK_TEXTS = 1000
-BATCH_WORDS = 500_000
+BATCH_WORDS = 125_000
 CACHE_ENTRIES = 200_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -269,12 +270,15 @@ def _compare(threshold: float):
 def _verify(pairs: DataFrame, items: DataFrame, blocks: int, threshold: float) -> DataFrame:
     """``pairs`` (a, b, keyed) with the similarity of their whole texts and, if ``keyed``, ``keys`` of the cells of b by its differences to a.
 
-    Texts are dealt into blocks of about ``BLOCK_TEXTS``; a pair belongs to a
-    pair of blocks, and a text goes once to each of those that need it, not
-    once to each of its pairs.
+    All pairs of a text ``b`` belong to the block of its first leader, so that
+    it moves once; leaders go once to each block that needs them. A leader of
+    very many texts has several blocks, each of about ``BLOCK_TEXTS``.
     """
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    placed = pairs.select((block("a") * blocks + block("b")).alias("g"), "a", "b", "keyed")
+    pairs = settled(pairs, "pairs")
+    homed = pairs.withColumn("home", F.min("a").over(Window.partitionBy("b")))
+    load = homed.filter("a = home").groupBy("home").agg(F.count(F.lit(1)).alias("load"))
+    share = F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / BLOCK_TEXTS))
+    placed = homed.join(load, "home").select(F.pmod(F.xxhash64("home", share), F.lit(blocks)).alias("g"), "a", "b", "keyed")
     needed = placed.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
     none = F.lit(None)
     rows = needed.join(items, "node").select("g", "node", none.cast("long").alias("partner"), none.cast("boolean").alias("keyed"), "items").unionByName(
@@ -283,29 +287,36 @@ def _verify(pairs: DataFrame, items: DataFrame, blocks: int, threshold: float) -
     return rows.groupBy("g").applyInArrow(_compare(threshold), "a bigint, b bigint, sim double, keys array<bigint>")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, passes: int | None = None) -> DataFrame:
     """``node`` and ``label`` (smallest node it is linked to) of all ends of ``edges`` (a, b).
 
     Each round takes the smallest label among the neighbours and then follows
-    labels of labels, until nothing changes.
+    labels of labels, until nothing changes or, for labels that may still
+    divide what is linked, ``passes`` times.
     """
     both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
         stepped = settled(lower.join(far, "label", "left").select("node", F.least("label", "beyond").alias("label"), "was"), "labels")
-        if stepped.filter("label <> was").isEmpty():
-            return stepped.select("node", "label")
         labels = stepped.select("node", "label")
+        passes = None if passes is None else passes - 1
+        if passes == 0 or stepped.filter("label <> was").isEmpty():
+            return labels
+
+
+def _chosen(places: DataFrame) -> DataFrame:
+    """``bucket``, ``n`` and ``least`` (size of its smallest text) of the buckets of at least two texts; of buckets with equal members one."""
+    texts = F.bit_xor(F.xxhash64("node")).alias("sum")
+    buckets = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("size").alias("least"), texts)
+    return buckets.filter("n > 1").groupBy("n", "low", "high", "least", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "least")
 
 
 def _shared(places: DataFrame) -> DataFrame:
     """``places`` in buckets of at least two texts, with their number ``n``; buckets with equal members count once."""
-    buckets = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"))
-    chosen = buckets.filter("n > 1").groupBy("n", "low", "high", "sum").agg(F.min("bucket").alias("bucket"))
-    return places.join(chosen.select("bucket", "n"), "bucket")
+    return places.join(_chosen(places.select("bucket", "node", "size")).drop("least"), "bucket")
 
 
 def _members(bands: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -327,11 +338,12 @@ def _pairs(met: DataFrame, tried: DataFrame) -> DataFrame:
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after further links: their classes are linked instead of their texts."""
-    if links.isEmpty():
-        return labels
     la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
     ends = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    merged = components(ends.filter("a <> b").distinct()).toDF("label", "into")
+    open_links = settled(ends.filter("a <> b").distinct(), "open-links")
+    if open_links.isEmpty():
+        return labels
+    merged = components(open_links).toDF("label", "into")
     known = labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
     fresh = merged.toDF("node", "label").join(labels, "node", "left_anti")
     return settled(known.unionByName(fresh), "labels")
@@ -340,9 +352,14 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _hopeful(members: DataFrame, threshold: float) -> DataFrame:
     """``members`` (bucket, node, size, shared) that may be similar to a text as small as the smallest there."""
     least = members.groupBy("bucket").agg(F.min("size").alias("least"))
+    return members.join(least, "bucket").filter(_able("least", threshold)).drop("least")
+
+
+def _able(least: str, threshold: float) -> Column:
+    """Whether a text may be similar to any with ``least`` items or more."""
     # No partner shares more than ``shared`` items, nor has fewer than ``least``.
-    union = F.col("size") + F.greatest("least", "shared") - F.col("shared")
-    return members.join(least, "bucket").filter(F.col("shared") >= threshold * union - 1e-6).drop("least")
+    union = F.col("size") + F.greatest(least, "shared") - F.col("shared")
+    return F.col("shared") >= threshold * union - 1e-6
 
 
 def _links(members: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
@@ -377,10 +394,12 @@ def _links(members: DataFrame, items: DataFrame, threshold: float) -> DataFrame
     pairs = met.filter(possible(most, threshold - FAR)).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max(F.col("n") > 2).alias("keyed"))
     sims = settled(_verify(pairs, items, blocks, threshold), "similarities")
     tried = sims.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels = components(sims.filter(F.col("sim") >= threshold))
+    # One pass joins what its leaders have in common; the rest of the links counts with those that are found later.
+    links = sims.filter(F.col("sim") >= threshold).select("a", "b")
+    labels = components(links, 1)
     led = first.select("bucket", F.col("leader").alias("node"))
     larger = settled(_cells(met.filter("n > 2"), sims, labels, threshold), "cell-members")
-    take = 1
+    take = FIRST
     while True:
         tagged = larger.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         shares = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -390,16 +409,19 @@ def _links(members: DataFrame, items: DataFrame, threshold: float) -> DataFrame
         ranked = settled(leading(waiting, take).select("nth", "bucket", F.col("node").alias("leader"), F.col("label").alias("ll"), F.col("size").alias("sl"), F.col("shared").alias("cl"), F.col("own").alias("ol"), F.col("other").alias("rl")), "leaders")
         chosen = ranked.filter(F.col("nth") <= take).drop("nth")
         if chosen.isEmpty():
-            return labels
+            return _merged(labels, links)
         # A text ruled out for the first leader was not compared with it and has no overlap.
         within = F.coalesce(possible(F.least("own", "ol") + F.least("other", "rl")), F.lit(True))
         rivals = chosen.join(open_members, "bucket").filter((F.col("ll") != F.col("label")) & possible(most) & within)
         found = settled(_verify(_pairs(rivals, tried), items, blocks, threshold).drop("keys"), "similarities")
         tried = tried.unionByName(found.select("a", "b"))
         led = led.unionByName(chosen.select("bucket", F.col("leader").alias("node")))
-        labels = _merged(labels, found.filter(F.col("sim") >= threshold))
+        links = links.unionByName(found.filter(F.col("sim") >= threshold).select("a", "b"))
         # A bucket whose waiting texts have all led is done.
         more = ranked.filter(F.col("nth") > take).select("bucket")
+        if more.isEmpty():
+            return _merged(labels, links)
+        labels = _merged(labels, links)
         larger = open_members.drop("label", "main").join(more, "bucket", "left_semi")
         take *= GROWTH
 
@@ -419,8 +441,9 @@ def _cells(met: DataFrame, sims: DataFrame, labels: DataFrame, threshold: float)
     far = _hopeful(still.filter("sim is null").unionByName(still.filter(F.col("sim") < 1 - FAR + 1e-6)).select("bucket", *shape), threshold)
     near = still.filter("sim is not null").select("leader", *shape).distinct()
     told = near.join(sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.explode("keys").alias("bucket")), ["leader", "node"])
-    cells = settled(_shared(settled(told.select("bucket", *shape), "differences")).select("bucket", *shape), "cells")
-    return _hopeful(cells, threshold).select("bucket", *shape).unionByName(far.select("bucket", *shape))
+    places = settled(told.select("bucket", *shape), "differences")
+    cells = places.join(_chosen(places.select("bucket", "node", "size")), "bucket")
+    return cells.filter(_able("least", threshold)).select("bucket", *shape).unionByName(far.select("bucket", *shape))
 
 
 def classified(
@@ -430,10 +453,12 @@ def classified(
     signed = settled(_signed(docs, id_column, text, bands, rows), "signatures")
     nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "nodes")
     unique = signed.filter("keys is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "size", "keys")
-    bands = settled(_shared(unique.select("node", "size", F.explode("keys").alias("bucket"))).drop("n"), "band-members")
-    wanted = nodes.join(bands.select("node").distinct(), "node").select("node", "address")
+    # Most keys are a text's own: to deal the rows themselves moves less than to deal partial counts.
+    dealt = unique.select("node", "size", F.explode("keys").alias("bucket")).repartition("bucket")
+    bands = settled(dealt.join(_chosen(dealt), "bucket", "left_semi"), "band-members")
+    wanted = settled(nodes.join(bands.select("node").distinct(), "node").select("node", "address"), "candidates")
     addressed = docs.select(F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("address"), F.col(text).alias("text"))
-    texts = addressed.join(wanted, "address").dropDuplicates(["node"]).select("node", "text")
+    texts = marked(addressed, wanted, "address").join(wanted, "address").dropDuplicates(["node"]).select("node", "text")
     items = settled(_with_items(texts), "candidate-items")
     labels = _links(settled(_members(bands, items, threshold), "members"), items, threshold)
     if labels is None:

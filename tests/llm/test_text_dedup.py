@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keysieve.llm import lm, neardup, suffix
+from keysieve.llm import common, lm, neardup, suffix
 
 
 def words(rng, n, size=300):
@@ -268,3 +268,44 @@ def test_comparisons_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
         totals.append(sum(counted))
     # All pairs would be four times as many.
     assert totals[1] <= 2.5 * totals[0], totals
+
+
+def test_texts_that_meet_no_other_do_not_move(spark):
+    rows = spark.range(0, 5000, 1, 4).select("id", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("address"))
+    keys = rows.filter("id % 10 = 3").union(spark.createDataFrame([(-1, None)], rows.schema))
+    left = common.marked(rows.union(spark.createDataFrame([(-2, None)], rows.schema)), keys, "address")
+    assert left.columns == ["id", "address"]
+    assert left.join(keys.select("address"), "address").count() == 500
+    assert left.count() < 1000
+
+
+def test_a_text_is_sent_once_to_be_compared_with_all_its_leaders(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 3)
+    sets = {n: list(range(n % 4, 40 + n)) for n in range(30)}
+    items = spark.createDataFrame(list(sets.items()), "node long, items array<long>")
+    pairs = [(a, b) for a in (0, 1, 2) for b in range(3, 30)]
+    compare, sent = neardup._compare, spark.sparkContext.accumulator(0)
+
+    def counting(threshold):
+        run = compare(threshold)
+
+        def told(table):
+            sent.add(sum(v is not None and n > 2 for n, v in zip(table["node"].to_pylist(), table["items"].to_pylist(), strict=True)))
+            return run(table)
+
+        return told
+
+    monkeypatch.setattr(neardup, "_compare", counting)
+    got = neardup._verify(spark.createDataFrame([(*p, False) for p in pairs], "a long, b long, keyed boolean"), items, 10, 0.8).collect()
+    want = {(a, b): len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a, b in pairs}
+    assert sorted((r.a, r.b) for r in got) == sorted(pairs)
+    assert all(abs(r.sim - want[r.a, r.b]) < 1e-9 for r in got)
+    assert sent.value == 27
+
+
+def test_one_pass_of_components_divides_nothing_that_is_not_linked(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 30) if k % 10 != 9], "a long, b long")
+    part, whole = ({r.node: r.label for r in neardup.components(edges, p).collect()} for p in (1, None))
+    assert whole == {n: n // 10 * 10 for n in range(30)}
+    assert all(whole[part[n]] == whole[n] for n in whole)
+    assert {r.node: r.label for r in neardup._merged(neardup.components(edges, 1), edges).collect()} == whole
