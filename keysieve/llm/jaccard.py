@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import settled
+from keysieve.llm.common import marked, settled
 from keysieve.llm.neardup import components
 
 WIDTH = 3
@@ -334,15 +334,17 @@ def _regions(open_members: DataFrame, near: DataFrame, ranked: DataFrame, tried:
     nearest = placed.groupBy("region", "node").agg(F.min("d").alias("nearest"))
     own = ["node", "n", "weight"]
     shape = open_members.select(*own).distinct()
-    # Voronoi regions of the pivots: with all that could be linked across a border.
-    window = placed.join(nearest, ["region", "node"]).filter(F.col("d") <= F.least("nearest", F.lit(FAR)) + radius + _EPS)
-    voronoi = window.select("region", F.xxhash64("region", "pivot").alias("inner"), "node")
+    if first is None:
+        # Voronoi regions of the pivots: with all that could be linked across a border.
+        window = placed.join(nearest, ["region", "node"]).filter(F.col("d") <= F.least("nearest", F.lit(FAR)) + radius + _EPS)
+        voronoi = window.select("region", F.xxhash64("region", "pivot").alias("inner"), "node")
     used = ranked.filter(F.col("nth") <= take).select("region", F.col("pivot").alias("node"))
     rest = open_members.select("region", *own).join(more, "region", "left_semi").join(used, ["region", "node"], "left_anti")
     far = rest.join(nearest, ["region", "node"], "left").filter(F.coalesce(F.col("nearest") > FAR, F.lit(True))).drop("nearest")
     if first is not None:
         # Within a region all are alike; what they differ in from the pivot tells them apart.
-        told = window.select("node", "pivot").distinct().join(first.select("node", "pivot", F.explode("cells").alias("region")), ["node", "pivot"])
+        own_pivots = placed.filter(F.col("d") <= FAR + radius + _EPS).select("node", "pivot").distinct()
+        told = own_pivots.join(first.select("node", "pivot", F.explode("cells").alias("region")), ["node", "pivot"])
         cells = _cells(told.select("region", "node").distinct().join(open_members.select("node", "n").distinct(), "node").select("region", "node", "n"))
         return cells.join(shape.select("node", "weight"), "node").select("region", *own).unionByName(far.select("region", *own))
     # Where regions overlap so much that dividing gains nothing, members stay together without the pivots.
@@ -360,8 +362,8 @@ def classified(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
     nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "nodes")
     unique = signed.filter("cells is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "cells")
     members = settled(_cells(unique.select(F.explode("cells").alias("region"), "node", "n")), "cell-members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "address")
-    texts = settled(_pressed_texts(docs, width).join(wanted, "address").dropDuplicates(["node"]).select("node", "words"), "candidate-texts")
+    wanted = settled(nodes.join(members.select("node").distinct(), "node").select("node", "address"), "candidates")
+    texts = settled(marked(_pressed_texts(docs, width), wanted, "address").join(wanted, "address").dropDuplicates(["node"]).select("node", "words"), "candidate-texts")
     labels = _linked(members, texts, percent, width)
     if labels is None:
         classes = nodes.select("address", F.col("least_id").alias("class_id"))

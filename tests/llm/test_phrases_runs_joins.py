@@ -288,3 +288,19 @@ def test_join_of_nothing(spark):
     rows = [(1, None), (2, ""), (None, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert shown(tuple(r) for r in jaccard.classified(docs).collect()) == shown([(1, 0, 1), (2, 0, 2), (None, 0, None)])
+
+
+def test_texts_of_a_join_that_share_no_cell_do_not_move(spark, monkeypatch):
+    marked, passed = jaccard.marked, []
+
+    def counting(rows, keys, key):
+        left = marked(rows, keys, key)
+        passed.append((rows.count(), left.count()))
+        return left
+
+    monkeypatch.setattr(jaccard, "marked", counting)
+    rows = [(n, " ".join(f"w{n}x{k}" for k in range(40))) for n in range(300)]
+    rows += [(300 + n, " ".join(f"c{k}" for k in range(60 + n))) for n in range(3)]
+    got = {r.doc_id: r.component_id for r in jaccard.classified(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: min(n, 300) for n in range(303)}
+    assert passed[0][0] == 303 and 3 <= passed[0][1] < 100
