@@ -39,10 +39,10 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not among ``keys``, before anything moves; the join that follows is exact.
 
-    The marks are bitmaps of 16 bits a key, at most 16 MB in all however many
-    keys there are: beyond that more rows pass than need be.
+    The marks are bitmaps of 32 to 64 bits a key, at most 16 MB in all however
+    many keys there are: beyond that more rows pass than need be.
     """
-    bits = 1 << min(27, max(15, (16 * keys.count()).bit_length()))
+    bits = 1 << min(27, max(15, (32 * keys.count()).bit_length()))
     place = F.pmod(F.xxhash64(key), F.lit(bits)).alias("__place")
     bucket, bit = F.bitmap_bucket_number("__place"), F.bitmap_bit_position("__place")
     marks = keys.select(place).groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__marks"))
@@ -53,6 +53,11 @@ def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return found.select(*rows.columns)
 
 
+def first_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (``node`` and more) of ``nodes``, without most of the others, in place: wide rows need not move to be told apart."""
+    return marked(rows, nodes.select("node"), "node")
+
+
 def press(numbers: np.ndarray) -> bytes:
     """Whole numbers, byte by byte of their value, compressed."""
     kind = np.dtype(f"<u{min(8, max(1, 1 << max(0, (int(numbers.max(initial=0)).bit_length() - 1) // 8).bit_length()))}")

@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import marked, settled
+from keysieve.llm.common import first_rows, marked, settled
 from keysieve.llm.neardup import components
 
 WIDTH = 3
@@ -267,13 +267,32 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, width: int, percent: int, spli
     return rows.groupBy("g").applyInArrow(_compare(width, percent, split), "node bigint, pivot bigint, both bigint, either bigint, cells array<bigint>")
 
 
-def _cells(places: DataFrame) -> DataFrame:
-    """``region, node, n`` of cells with at least two nodes; of cells with equal members one."""
-    shared = places.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("region")
-    members = settled(places.join(shared, "region"), "cells")
+def _cells(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``region, node`` of cells with at least two ``nodes``; of cells with equal members one."""
+    # Most cells are a text's own: the places move once, and what is left is little.
+    met = places.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("region"))).filter("size > 1").select("region", "node")
+    members = settled(met.join(nodes, "node", "left_semi").distinct(), "cells")
     looks = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"))
-    chosen = looks.groupBy("size", "low", "high", "sum").agg(F.min("region").alias("region")).select("region")
-    return members.join(chosen, "region", "left_semi")
+    chosen = looks.filter("size > 1").groupBy("size", "low", "high", "sum").agg(F.min("region").alias("region")).select("region")
+    return members.join(chosen, "region", "left_semi").select("region", "node")
+
+
+def _lone(texts: DataFrame, width: int) -> DataFrame:
+    """``node`` and ``lone``: how many of a text's shingles no other candidate has, if any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                value, bounds = shingle_sets([zstandard.ZstdDecompressor().decompress(w.as_py()).split() for w in part.column(1)], hashes, width)
+                # Shingles that fall together in 40 bits count as another text's: fewer are lone, never more.
+                items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((value >> np.uint64(24)).view(np.int64)))
+                yield pa.record_batch([part.column(0), items], names=["node", "items"])
+
+    items = texts.select("node", "words").mapInArrow(run, "node bigint, items array<bigint>")
+    single = items.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    return single.filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
 
 
 def _classes(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -290,7 +309,12 @@ def _classes(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def _linked(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame | None:
-    """Classes (node, label) of all nodes with a link; None without any."""
+    """Classes (node, label) of all nodes with a link; None without any. ``members``: ``region, node, n`` and ``lone``.
+
+    Texts of which each has shingles that no other has differ in these at
+    least, and share none of them. A member leaves a region where nobody has so
+    few of its own that the two could be linked.
+    """
     radius = 1 - percent / 100
     weight = members.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     members = settled(members.join(weight, "node"), "members")
@@ -299,18 +323,19 @@ def _linked(members: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     labels, tried, take, turn = None, None, 1, 0
     while True:
         tagged = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        shares = tagged.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"))
-        mixed = shares.groupBy("region").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-        open_members = settled(tagged.join(mixed.select("region", "main"), "region"), "open-members")
+        shares = tagged.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"), F.min("lone").alias("fewest"))
+        mixed = shares.groupBy("region").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), F.min("fewest").alias("fewest")).filter("classes > 1")
+        able = (100 - percent) * (F.col("n") - F.col("lone")) >= percent * (F.col("lone") + F.col("fewest"))
+        open_members = settled(tagged.join(mixed.select("region", "main", "fewest"), "region").filter(able).drop("fewest"), "open-members")
         waiting = open_members.filter("label <> main.label or main.size = 1")
-        ranked = settled(waiting.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= take + 1).select("region", F.col("node").alias("pivot"), F.col("n").alias("m"), "nth"), "pivots")
+        ranked = settled(waiting.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= take + 1).select("region", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("lone").alias("own"), "nth"), "pivots")
         pivots = ranked.filter(F.col("nth") <= take).drop("nth")
         if pivots.isEmpty():
             return labels
-        met = open_members.select("region", "node", "n").join(pivots, "region").filter("node <> pivot")
-        # Sizes alone put the others beyond all that is looked at.
-        least = F.least("n", "m") / F.greatest("n", "m")
-        near = met.filter(least >= 1 - FAR - radius - _EPS)
+        met = open_members.select("region", "node", "n", "lone").join(pivots, "region").filter("node <> pivot")
+        # What they can share at most puts the others beyond all that is looked at.
+        most = F.least(F.col("n") - F.col("lone"), F.col("m") - F.col("own"))
+        near = met.filter(most >= (1 - FAR - radius - _EPS) * (F.col("n") + F.col("m") - most))
         pair = [F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")]
         if turn == 0:
             pairs = near.select("node", "pivot").distinct()
@@ -330,23 +355,22 @@ def _regions(open_members: DataFrame, near: DataFrame, ranked: DataFrame, tried:
     more = ranked.filter(F.col("nth") > take).select("region")
     distance = (1 - F.col("both") / F.col("either")).alias("d")
     either_way = tried.select("node", "pivot", distance).union(tried.select("pivot", "node", distance).toDF("node", "pivot", "d"))
-    placed = near.join(more, "region", "left_semi").select("region", "node", "pivot").join(either_way, ["node", "pivot"])
-    nearest = placed.groupBy("region", "node").agg(F.min("d").alias("nearest"))
-    own = ["node", "n", "weight"]
+    own = ["node", "n", "lone", "weight"]
     shape = open_members.select(*own).distinct()
-    if first is None:
-        # Voronoi regions of the pivots: with all that could be linked across a border.
-        window = placed.join(nearest, ["region", "node"]).filter(F.col("d") <= F.least("nearest", F.lit(FAR)) + radius + _EPS)
-        voronoi = window.select("region", F.xxhash64("region", "pivot").alias("inner"), "node")
+    placed = near.join(more, "region", "left_semi").select("region", "node", "pivot").join(either_way, ["node", "pivot"])
+    placed = settled(placed.withColumn("nearest", F.min("d").over(Window.partitionBy("region", "node"))), "distances")
     used = ranked.filter(F.col("nth") <= take).select("region", F.col("pivot").alias("node"))
     rest = open_members.select("region", *own).join(more, "region", "left_semi").join(used, ["region", "node"], "left_anti")
-    far = rest.join(nearest, ["region", "node"], "left").filter(F.coalesce(F.col("nearest") > FAR, F.lit(True))).drop("nearest")
+    far = rest.join(placed.filter(F.col("nearest") <= FAR).select("region", "node"), ["region", "node"], "left_anti")
     if first is not None:
         # Within a region all are alike; what they differ in from the pivot tells them apart.
-        own_pivots = placed.filter(F.col("d") <= FAR + radius + _EPS).select("node", "pivot").distinct()
-        told = own_pivots.join(first.select("node", "pivot", F.explode("cells").alias("region")), ["node", "pivot"])
-        cells = _cells(told.select("region", "node").distinct().join(open_members.select("node", "n").distinct(), "node").select("region", "node", "n"))
-        return cells.join(shape.select("node", "weight"), "node").select("region", *own).unionByName(far.select("region", *own))
+        own_pivots = placed.filter(F.col("d") <= FAR + radius + _EPS).select("node", "pivot")
+        told = first.filter("cells is not null").join(own_pivots, ["node", "pivot"], "left_semi").select("node", F.explode("cells").alias("region"))
+        cells = _cells(told, shape.select("node"))
+        return cells.join(shape, "node").select("region", *own).unionByName(far.select("region", *own))
+    # Voronoi regions of the pivots: with all that could be linked across a border.
+    window = placed.filter(F.col("d") <= F.least("nearest", F.lit(FAR)) + radius + _EPS)
+    voronoi = window.select("region", F.xxhash64("region", "pivot").alias("inner"), "node")
     # Where regions overlap so much that dividing gains nothing, members stay together without the pivots.
     parts = settled(voronoi.unionByName(far.select("region", F.col("region").alias("inner"), "node")), "regions")
     gain = parts.groupBy("region").agg(F.count(F.lit(1)).alias("parts")).join(rest.groupBy("region").agg(F.count(F.lit(1)).alias("whole")), "region")
@@ -359,12 +383,16 @@ def classified(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
     """One row per row of ``docs``: its id, ``n_shingles`` and ``component_id``."""
     docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     signed = settled(_signed(docs, percent, width), "sets")
-    nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "nodes")
-    unique = signed.filter("cells is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "cells")
-    members = settled(_cells(unique.select(F.explode("cells").alias("region"), "node", "n")), "cell-members")
-    wanted = settled(nodes.join(members.select("node").distinct(), "node").select("node", "address"), "candidates")
-    texts = settled(marked(_pressed_texts(docs, width), wanted, "address").join(wanted, "address").dropDuplicates(["node"]).select("node", "words"), "candidate-texts")
-    labels = _linked(members, texts, percent, width)
+    nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.min("n").alias("n")), "nodes")
+    # Keys do not move with the rows they belong to. Few other rows of equal sets pass, which leave with the cells.
+    first = first_rows(signed.filter("cells is not null").select(F.col("row").alias("node"), "cells"), nodes)
+    cells = settled(_cells(first.select(F.explode("cells").alias("region"), "node"), nodes.select("node")), "cell-members")
+    wanted = settled(nodes.join(cells.select("node").distinct(), "node").select("node", "address", "n"), "candidates")
+    # Texts of one address have equal sets. Dealt by it, they move once, from each task one of a kind.
+    pressed = marked(_pressed_texts(docs, width), wanted, "address").dropDuplicates(["address"])
+    texts = settled(pressed.join(wanted, "address").select("node", "words"), "candidate-texts")
+    sizes = wanted.select("node", "n").join(_lone(texts, width), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    labels = _linked(cells.join(settled(sizes, "sizes"), "node"), texts, percent, width)
     if labels is None:
         classes = nodes.select("address", F.col("least_id").alias("class_id"))
     else:

@@ -304,3 +304,44 @@ def test_texts_of_a_join_that_share_no_cell_do_not_move(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.classified(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {n: min(n, 300) for n in range(303)}
     assert passed[0][0] == 303 and 3 <= passed[0][1] < 100
+
+
+def test_texts_that_can_be_linked_with_nobody_are_not_compared(spark, monkeypatch):
+    overlaps, compared = jaccard._overlaps, []
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return overlaps(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_overlaps", counting)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    # Each has some tenth of its shingles for itself: two together have too many.
+    rows = [(n, " ".join(w if k not in new else f"new{rng.randrange(10**9)}" for k, w in enumerate(base))) for n in range(120) for new in [set(rng.sample(range(150), 4))]]
+    rows += [(200 + n, " ".join(base[:40] + [f"p{k}" for k in range(60)] + ["end"] * n)) for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shown(tuple(r) for r in jaccard.classified(docs).collect()) == shown(plain_join(rows))
+    assert sum(compared) < 60
+
+
+def test_parts_of_sets_are_dealt_once_and_rows_keep_theirs(spark, monkeypatch):
+    settled, plans = jaccard.settled, []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df, name)
+
+    monkeypatch.setattr(jaccard, "settled", seen)
+    rows = [(n, " ".join(f"w{n // 2}x{k}" for k in range(40 + n % 2))) for n in range(20)] * 2
+    got = {r.doc_id: r.component_id for r in jaccard.classified(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: n // 2 * 2 for n in range(20)}
+    dealt = [p for p in plans if "explode(cells" in p]
+    assert dealt and all(p.count("Generate explode(cells") == 1 for p in dealt)
+
+
+def test_copies_do_not_make_a_cell(spark, monkeypatch):
+    """Also where the marks let all rows pass, cells hold texts that differ."""
+    monkeypatch.setattr(jaccard, "first_rows", lambda rows, nodes: rows)
+    rows = [(n, " ".join(f"w{n % 4}x{k}" for k in range(40))) for n in range(40)] + [(50, " ".join(f"w1x{k}" for k in range(41)))]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.classified(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [*((n, n % 4) for n in range(40)), (50, 1)]
