@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import marked, settled
+from keysieve.llm.common import first_rows, marked, settled
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -314,6 +314,16 @@ def _chosen(places: DataFrame) -> DataFrame:
     return buckets.filter("n > 1").groupBy("n", "low", "high", "least", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "least")
 
 
+def _met(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``bucket, node, size``: the first rows of their texts in the buckets of at least two of them; of buckets with equal members one."""
+    # Keys do not move with the rows they belong to. Few other rows of equal texts pass, which leave below.
+    first = first_rows(signed.filter("keys is not null").select(F.col("row").alias("node"), "size", "keys"), nodes)
+    # Most keys are a text's own: to deal the rows themselves, once, moves less than to deal partial counts and then rows.
+    dealt = first.select("node", "size", F.explode("keys").alias("bucket")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    places = settled(dealt.filter("n > 1").drop("n").join(nodes.select("node"), "node", "left_semi"), "bucket-members")
+    return places.join(_chosen(places), "bucket", "left_semi").select("bucket", "node", "size")
+
+
 def _shared(places: DataFrame) -> DataFrame:
     """``places`` in buckets of at least two texts, with their number ``n``; buckets with equal members count once."""
     return places.join(_chosen(places.select("bucket", "node", "size")).drop("least"), "bucket")
@@ -452,13 +462,11 @@ def classified(
     """One row per row of ``docs``: ``id``, ``row`` (a number of its own), ``address`` (SHA-256 of the text), ``label`` (the row that its class is named by) and ``class_id``; the last three are null for a null text."""
     signed = settled(_signed(docs, id_column, text, bands, rows), "signatures")
     nodes = settled(signed.filter("address is not null").groupBy("address").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "nodes")
-    unique = signed.filter("keys is not null").join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "size", "keys")
-    # Most keys are a text's own: to deal the rows themselves moves less than to deal partial counts.
-    dealt = unique.select("node", "size", F.explode("keys").alias("bucket")).repartition("bucket")
-    bands = settled(dealt.join(_chosen(dealt), "bucket", "left_semi"), "band-members")
+    bands = settled(_met(signed, nodes), "band-members")
     wanted = settled(nodes.join(bands.select("node").distinct(), "node").select("node", "address"), "candidates")
     addressed = docs.select(F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("address"), F.col(text).alias("text"))
-    texts = marked(addressed, wanted, "address").join(wanted, "address").dropDuplicates(["node"]).select("node", "text")
+    # Texts of one address are equal. Dealt by it, they move once, from each task one of a kind.
+    texts = marked(addressed, wanted, "address").dropDuplicates(["address"]).join(wanted, "address").select("node", "text")
     items = settled(_with_items(texts), "candidate-items")
     labels = _links(settled(_members(bands, items, threshold), "members"), items, threshold)
     if labels is None:

@@ -309,3 +309,28 @@ def test_one_pass_of_components_divides_nothing_that_is_not_linked(spark):
     assert whole == {n: n // 10 * 10 for n in range(30)}
     assert all(whole[part[n]] == whole[n] for n in whole)
     assert {r.node: r.label for r in neardup._merged(neardup.components(edges, 1), edges).collect()} == whole
+
+
+def test_band_keys_are_dealt_once_and_texts_move_once(spark, monkeypatch):
+    settled, plans = neardup.settled, {}
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return settled(df, name)
+
+    monkeypatch.setattr(neardup, "settled", seen)
+    rows = [(n, " ".join(f"w{n // 2}x{k}" for k in range(60 + n % 2))) for n in range(20)] * 2
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: n // 2 * 2 for n in range(20)}
+    dealt = [p for p in plans.values() if "explode(keys" in p and "[bucket" in p and "similarities" not in p and "size" in p]
+    assert dealt and dealt[0].count("Generate explode(keys") == 1
+    # One exchange by address for the texts and one for the candidates at most.
+    assert "Exchange hashpartitioning(node" not in plans["candidate-items"]
+
+
+def test_copies_of_a_text_do_not_make_a_bucket(spark, monkeypatch):
+    """Also where the marks let all rows pass, buckets hold texts that differ."""
+    monkeypatch.setattr(neardup, "first_rows", lambda rows, nodes: rows)
+    rows = [(n, " ".join(f"w{n % 4}x{k}" for k in range(40))) for n in range(40)] + [(50, " ".join(f"w1x{k}" for k in range(41)))]
+    got = sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [*((n, n % 4) for n in range(40)), (50, 1)]
