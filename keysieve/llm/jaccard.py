@@ -7,11 +7,17 @@ go to the region of their nearest pivot; by the triangle inequality a linked
 pair is at most ``radius`` apart, so a member is replicated to all pivots that
 are no more than that beyond its nearest one, and a pair always shares the
 region of whichever member lies closer to its pivot. Members far from all
-pivots stay together without them. Regions join again with more pivots, until
-all members of each are of one class or have been pivots. A group of copies
-is compared with its pivots, not expanded into its pairs. In the region of a first
-pivot the members join again by their differences to it: sets that lie close to
-one pivot but are linked with each other differ from it in the same shingles.
+pivots stay together without them and join again with more pivots, until few
+are left. A group of copies is compared with its pivots, not expanded into its
+pairs. In the region of a pivot the members meet again in cells by their
+differences to it: sets that lie close to one pivot but are linked with each
+other differ from it in the same shingles.
+
+Within such cells nearly all pairs are close and not linked, and neither
+pivots nor regions tell them apart. There the members outside the largest class
+meet those of other classes, and sketches, the parities of the shingles in each
+of some bits, rule out nearly all pairs: sets differ in as many shingles at
+least as their sketches differ in bits. Texts are compared of the rest only.
 
 Unrelated texts are all at distance 1, where no pivot tells them apart. So the
 first regions are cells of texts that may be near: the hash values are cut into
@@ -46,7 +52,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysieve.llm.common import first_rows, marked, settled
@@ -56,9 +62,10 @@ WIDTH = 3
 PERCENT = 90
 #: Members farther than this from all pivots stay together.
 FAR = 0.3
-#: A region is divided if its parts have at most so many times its members.
-OVERLAP = 1.2
-GROWTH = 4
+#: Members that are left without a pivot and are no more than this are ended by sketches.
+SMALL = 64
+#: So many outside a cell's largest class lead in the first round there, and how many times as many (pivots too) in each that follows.
+FIRST, GROWTH = 64, 4
 #: Sizes of a class lie this far apart at least; a part in so many is spare; parts of fewer shingles are left out.
 CLASS_WIDTH, SPARE, FEW = 1.25, 6, 3
 BATCH_WORDS = 400_000
@@ -159,6 +166,21 @@ def part_keys(shingles: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndar
     return np.concatenate(out)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles by their lowest bits, twice as many as it has shingles or more, in words of 64; half as many bits are the words' halves, added."""
+    words = 1 << (-(-len(shingles) // 32) - 1).bit_length()
+    odd = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two sketches differ, the longer one folded to the shorter."""
+    short, long = f"if(size({a}) <= size({b}), {a}, {b})", f"if(size({a}) <= size({b}), {b}, {a})"
+    part = f"slice({long}, cast(i * size({short}) + 1 as int), size({short}))"
+    differ = f"aggregate(sequence(0, cast(size({long}) / size({short}) as int) - 1), {short}, (s, i) -> zip_with(s, {part}, (x, y) -> x ^ y))"
+    return F.expr(f"aggregate({differ}, 0, (n, w) -> n + bit_count(w))")
+
+
 def _signed(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """``id, n, address`` (of the set) and ``cells`` (keys of its parts); null address without words."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -184,14 +206,14 @@ def _signed(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def _pressed_texts(docs: DataFrame, width: int) -> DataFrame:
-    """``address`` of the set and the compressed words of the texts, equal sets of a task mostly once."""
+    """``address`` and ``sketch`` of the set and the compressed words of the texts, equal sets of a task mostly once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, pack = _Hashes(), set(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for _, texts in _batches(batch, 0):
                 value, bounds = shingle_sets(texts, hashes, width)
-                address, words = [], []
+                address, words, sketches = [], [], []
                 for i, (at, to) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     key = xxhash.xxh3_128_digest(value[at:to].tobytes())
                     if to > at and key not in seen:
@@ -200,9 +222,11 @@ def _pressed_texts(docs: DataFrame, width: int) -> DataFrame:
                         seen.add(key)
                         address.append(key)
                         words.append(pack.compress(b" ".join(texts[i])))
-                yield pa.record_batch([pa.array(address, pa.binary()), pa.array(words, pa.binary())], names=["address", "words"])
+                        sketches.append(sketch(value[at:to]))
+                arrays = [pa.array(address, pa.binary()), pa.array(words, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+                yield pa.record_batch(arrays, names=["address", "words", "sketch"])
 
-    return docs.select("text").mapInArrow(run, "address binary, words binary")
+    return docs.select("text").mapInArrow(run, "address binary, words binary, sketch array<bigint>")
 
 
 def _compare(width: int, percent: int, split: bool):
@@ -308,75 +332,116 @@ def _classes(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return settled(known.unionByName(merged.toDF("node", "label").join(labels, "node", "left_anti")), "labels")
 
 
-def _linked(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame | None:
-    """Classes (node, label) of all nodes with a link; None without any. ``members``: ``region, node, n`` and ``lone``.
+def _open(members: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """``members`` of regions of several classes, with their ``label`` and the region's largest class (``main``).
 
     Texts of which each has shingles that no other has differ in these at
     least, and share none of them. A member leaves a region where nobody has so
     few of its own that the two could be linked.
     """
+    tagged = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shares = tagged.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"), F.min("lone").alias("fewest"))
+    mixed = shares.groupBy("region").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), F.min("fewest").alias("fewest")).filter("classes > 1")
+    able = (100 - percent) * (F.col("n") - F.col("lone")) >= percent * (F.col("lone") + F.col("fewest"))
+    return tagged.join(mixed.select("region", "main", "fewest"), "region").filter(able).drop("fewest")
+
+
+def _linked(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """Classes (node, label) of all nodes with a link; None without any. ``members``: ``region, node, n`` and ``lone``."""
     radius = 1 - percent / 100
     weight = members.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     members = settled(members.join(weight, "node"), "members")
+    own = ["node", "n", "lone", "weight"]
+    shape = members.select(*own).distinct()
     # The text in most regions, which tends to lie in the middle of its group, leads in all of them.
     order = Window.partitionBy("region").orderBy(F.desc("weight"), F.xxhash64("node"), "node")
-    labels, tried, take, turn = None, None, 1, 0
+    labels, tried, told, few, take = None, None, None, None, 1
     while True:
-        tagged = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        shares = tagged.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"), F.min("lone").alias("fewest"))
-        mixed = shares.groupBy("region").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), F.min("fewest").alias("fewest")).filter("classes > 1")
-        able = (100 - percent) * (F.col("n") - F.col("lone")) >= percent * (F.col("lone") + F.col("fewest"))
-        open_members = settled(tagged.join(mixed.select("region", "main", "fewest"), "region").filter(able).drop("fewest"), "open-members")
+        open_members = settled(_open(members, labels, percent), "open-members")
         waiting = open_members.filter("label <> main.label or main.size = 1")
         ranked = settled(waiting.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= take + 1).select("region", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("lone").alias("own"), "nth"), "pivots")
         pivots = ranked.filter(F.col("nth") <= take).drop("nth")
         if pivots.isEmpty():
-            return labels
+            break
         met = open_members.select("region", "node", "n", "lone").join(pivots, "region").filter("node <> pivot")
         # What they can share at most puts the others beyond all that is looked at.
         most = F.least(F.col("n") - F.col("lone"), F.col("m") - F.col("own"))
         near = met.filter(most >= (1 - FAR - radius - _EPS) * (F.col("n") + F.col("m") - most))
-        pair = [F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")]
-        if turn == 0:
-            pairs = near.select("node", "pivot").distinct()
-        else:
-            pairs = near.select(*pair).distinct().join(tried.select("node", "pivot"), ["node", "pivot"], "left_anti")
-        found = settled(_overlaps(pairs, texts, width, percent, turn == 0), "overlaps")
-        known = found.select(*pair, "both", "either")
-        tried = known.distinct() if turn == 0 else tried.unionByName(known)
-        linked = found.filter(100 * F.col("both") >= percent * F.col("either"))
-        labels = _classes(labels, linked.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        members = settled(_regions(open_members, near, ranked, tried, take, found if turn == 0 else None, radius), "members")
-        take, turn = take * GROWTH, turn + 1
-
-
-def _regions(open_members: DataFrame, near: DataFrame, ranked: DataFrame, tried: DataFrame, take: int, first: DataFrame | None, radius: float) -> DataFrame:
-    """The regions that follow from those whose waiting members have not all been pivots."""
+        pairs = near.select("node", "pivot").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select("node", "pivot"), ["node", "pivot"], "left_anti")
+        found = settled(_overlaps(pairs, texts, width, percent, True), "overlaps")
+        tried = found if tried is None else tried.unionByName(found)
+        labels = _classes(labels, _links(found, percent))
+        cells, far = _regions(open_members, near, ranked, tried, take, radius)
+        told = cells if told is None else told.unionByName(cells)
+        rest = settled(far.withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("region"))), "far-members")
+        small = rest.filter(F.col("left") <= SMALL).select("region", *own)
+        few = small if few is None else few.unionByName(small)
+        members = rest.filter(F.col("left") > SMALL).select("region", *own)
+        if members.isEmpty():
+            break
+        take *= GROWTH
+    if told is None:
+        return labels
+    met_again = _cells(told, shape.select("node")).join(shape, "node").select("region", *own).unionByName(few)
+    return _ended(settled(met_again, "members"), labels, tried.select("node", "pivot"), texts, percent, width)
+
+
+def _links(found: DataFrame, percent: int) -> DataFrame:
+    return found.filter(100 * F.col("both") >= percent * F.col("either")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
+def _regions(open_members: DataFrame, near: DataFrame, ranked: DataFrame, tried: DataFrame, take: int, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Of regions whose waiting members have not all been pivots: places (``node, region``) in the cells that follow, and the members that lie far from all pivots."""
     more = ranked.filter(F.col("nth") > take).select("region")
     distance = (1 - F.col("both") / F.col("either")).alias("d")
-    either_way = tried.select("node", "pivot", distance).union(tried.select("pivot", "node", distance).toDF("node", "pivot", "d"))
-    own = ["node", "n", "lone", "weight"]
-    shape = open_members.select(*own).distinct()
-    placed = near.join(more, "region", "left_semi").select("region", "node", "pivot").join(either_way, ["node", "pivot"])
+    placed = near.join(more, "region", "left_semi").select("region", "node", "pivot").join(tried.select("node", "pivot", distance), ["node", "pivot"])
     placed = settled(placed.withColumn("nearest", F.min("d").over(Window.partitionBy("region", "node"))), "distances")
     used = ranked.filter(F.col("nth") <= take).select("region", F.col("pivot").alias("node"))
-    rest = open_members.select("region", *own).join(more, "region", "left_semi").join(used, ["region", "node"], "left_anti")
+    rest = open_members.drop("label", "main").join(more, "region", "left_semi").join(used, ["region", "node"], "left_anti")
     far = rest.join(placed.filter(F.col("nearest") <= FAR).select("region", "node"), ["region", "node"], "left_anti")
-    if first is not None:
-        # Within a region all are alike; what they differ in from the pivot tells them apart.
-        own_pivots = placed.filter(F.col("d") <= FAR + radius + _EPS).select("node", "pivot")
-        told = first.filter("cells is not null").join(own_pivots, ["node", "pivot"], "left_semi").select("node", F.explode("cells").alias("region"))
-        cells = _cells(told, shape.select("node"))
-        return cells.join(shape, "node").select("region", *own).unionByName(far.select("region", *own))
     # Voronoi regions of the pivots: with all that could be linked across a border.
-    window = placed.filter(F.col("d") <= F.least("nearest", F.lit(FAR)) + radius + _EPS)
-    voronoi = window.select("region", F.xxhash64("region", "pivot").alias("inner"), "node")
-    # Where regions overlap so much that dividing gains nothing, members stay together without the pivots.
-    parts = settled(voronoi.unionByName(far.select("region", F.col("region").alias("inner"), "node")), "regions")
-    gain = parts.groupBy("region").agg(F.count(F.lit(1)).alias("parts")).join(rest.groupBy("region").agg(F.count(F.lit(1)).alias("whole")), "region")
-    divided = gain.filter(F.col("parts") <= OVERLAP * F.col("whole")).select("region")
-    inner = parts.join(divided, "region", "left_semi").select(F.col("inner").alias("region"), "node").distinct().join(shape, "node")
-    return inner.select("region", *own).unionByName(rest.join(divided, "region", "left_anti").select("region", *own))
+    voronoi = placed.filter(F.col("d") <= F.least("nearest", F.lit(FAR)) + radius + _EPS).select("node", "pivot")
+    # Within a region all are alike; what they differ in from the pivot tells them apart.
+    cells = tried.filter("cells is not null").join(voronoi, ["node", "pivot"], "left_semi").select("node", F.explode("cells").alias("region"))
+    return cells, far
+
+
+def _ended(members: DataFrame, labels: DataFrame | None, tried: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """``labels`` after all links within a region of ``members``.
+
+    Those outside its largest class lead, in order and in rounds. They meet the
+    members of other classes that are not before them.
+    """
+    waits = F.col("label") != F.col("main.label")
+    order = Window.partitionBy("region", waits).orderBy(F.desc("weight"), F.xxhash64("node"), "node")
+    sketches = texts.select("node", "sketch")
+    most = F.least(F.col("n") - F.col("lone"), F.col("m") - F.col("own"))
+    able = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
+    close = (100 + percent) * _apart("sketch", "mark") <= (100 - percent) * (F.col("n") + F.col("m"))
+    take = FIRST
+    while True:
+        ranked = settled(_open(members, labels, percent).withColumn("nth", F.when(waits, F.row_number().over(order))).drop("main"), "ranked-members")
+        first = ranked.filter(F.col("nth") <= take)
+        if first.isEmpty():
+            return labels
+        marked_first = first.join(sketches, "node").select(
+            "region", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("lone").alias("own"), F.col("label").alias("of"), F.col("nth").alias("turn"), F.col("sketch").alias("mark")
+        )
+        later = F.col("nth").isNull() | (F.col("nth") > F.col("turn"))
+        met = ranked.join(sketches, "node").join(marked_first, "region").filter(later & (F.col("label") != F.col("of")) & able & close)
+        pairs = met.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+        known = tried.union(tried.select("pivot", "node"))
+        found = settled(_overlaps(pairs.join(known, ["node", "pivot"], "left_anti"), texts, width, percent, False), "overlaps")
+        tried = tried.unionByName(found.select("node", "pivot"))
+        labels = _classes(labels, _links(found, percent))
+        # A region whose waiting members have all led is done.
+        more = ranked.filter(F.col("nth") > take).select("region").distinct()
+        if more.isEmpty():
+            return labels
+        members = ranked.filter(F.coalesce(F.col("nth") > take, F.lit(True))).drop("label", "nth").join(more, "region", "left_semi")
+        take *= GROWTH
 
 
 def classified(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -390,7 +455,7 @@ def classified(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
     wanted = settled(nodes.join(cells.select("node").distinct(), "node").select("node", "address", "n"), "candidates")
     # Texts of one address have equal sets. Dealt by it, they move once, from each task one of a kind.
     pressed = marked(_pressed_texts(docs, width), wanted, "address").dropDuplicates(["address"])
-    texts = settled(pressed.join(wanted, "address").select("node", "words"), "candidate-texts")
+    texts = settled(pressed.join(wanted, "address").select("node", "words", "sketch"), "candidate-texts")
     sizes = wanted.select("node", "n").join(_lone(texts, width), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     labels = _linked(cells.join(settled(sizes, "sizes"), "node"), texts, percent, width)
     if labels is None:

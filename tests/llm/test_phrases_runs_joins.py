@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keysieve.llm import jaccard, periods, phrases, queries
 
@@ -324,6 +325,58 @@ def test_texts_that_can_be_linked_with_nobody_are_not_compared(spark, monkeypatc
     assert sum(compared) < 60
 
 
+def test_close_texts_that_are_not_linked_are_not_compared(spark, monkeypatch):
+    overlaps, compared = jaccard._overlaps, []
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return overlaps(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_overlaps", counting)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    # Edits that others make as well, at few places: all are close to the middle and share some with many.
+    places = range(5, 150, 6)
+    rows = [(n, " ".join(f"new{k}" if k in new else w for k, w in enumerate(base))) for n in range(100) for new in [set(rng.sample(places, 5 + n % 4))]]
+    rows.append((100, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = plain_join(rows)
+    assert shown(tuple(r) for r in jaccard.classified(docs).collect()) == shown(expected)
+    assert len({c for _, _, c in expected}) > 40
+    # Those with the middle and the first pivots; of the rest hardly more than are linked.
+    assert compared[0] > 100 and sum(compared[1:]) < 100
+
+
+def test_join_in_rounds_of_few_pivots(spark, monkeypatch):
+    """Unrelated groups in one region, divided by pivots until hardly any member is left."""
+    monkeypatch.setattr(jaccard, "part_keys", lambda shingles, percent, bounds: np.array([7], dtype=np.uint64))
+    monkeypatch.setattr(jaccard, "_lone", lambda texts, width: texts.select("node", F.lit(0).alias("lone")))
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "FIRST", 2)
+    rows = join_rows(8, [(6, 0.01), (5, 0.02), (4, 0.03), (8, 0.012), (1, 0), (1, 0)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shown(tuple(r) for r in jaccard.classified(docs).collect()) == shown(plain_join(rows))
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(spark):
+    rng = np.random.default_rng(5)
+    pairs, differ = [], []
+    for k in range(300):
+        n = int(rng.integers(1, 700))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        # Some sets are much larger: their sketch is folded more than once.
+        new = int(rng.integers(0, 4 * n if k % 5 == 0 else 1 + n // 5))
+        y = np.unique(np.concatenate([rng.permutation(x)[int(rng.integers(0, 1 + n // 10)):], rng.integers(0, 2**64, new, dtype=np.uint64)]))
+        y = y if len(y) else x
+        pairs.append((k, jaccard.sketch(x).tolist(), jaccard.sketch(y).tolist()))
+        differ.append(len(np.setxor1d(x, y)))
+    frame = spark.createDataFrame(pairs, "k long, a array<bigint>, b array<bigint>")
+    got = {r.k: r.d for r in frame.select("k", jaccard._apart("a", "b").alias("d")).collect()}
+    assert all(got[k] <= d and (d - got[k]) % 2 == 0 for k, d in enumerate(differ))
+    assert sum(got[k] for k in got) > 0.5 * sum(differ)
+    assert {r.d for r in frame.select(jaccard._apart("a", "a").alias("d")).collect()} == {0}
+
+
 def test_parts_of_sets_are_dealt_once_and_rows_keep_theirs(spark, monkeypatch):
     settled, plans = jaccard.settled, []
 
