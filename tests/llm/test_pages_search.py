@@ -149,6 +149,55 @@ def test_large_components_are_exact(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_top(rows, 3)
 
 
+def test_no_block_goes_through_the_driver(spark, capsys):
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(200)]
+    search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0, block=16).explain()
+    plan = capsys.readouterr().out
+    # Blocks of queries are repeated for each part of the data: a join would let Spark gather all copies in the driver.
+    assert "MapInArrow" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize(("values", "spread"), [(1 << 22, 32), (64, 3), (1, 100)])
+def test_cells_of_any_shape_equal_brute_force(spark, monkeypatch, values, spread):
+    monkeypatch.setattr(search, "QUERY_VALUES", values)
+    monkeypatch.setattr(search, "SPREAD", spread)
+    rng = np.random.default_rng(2)
+    # Scores in single and double precision and in whole numbers, for one query and in one cell.
+    rows = [(int(i), (rng.normal(size=6) * size).tolist()) for i, size in enumerate(rng.choice([0.01, 1.0, 100.0, 1e6], 120))]
+    # Equal rows in many blocks, ids against their order: ties go to the smaller id.
+    rows += [(1000 - i, [1.0, -2.0, 3.0]) for i in range(90)] + [(2000 + i, [0.5]) for i in range(60)] + [(5, rows[7][1]), (1000, rows[3][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search.top_k(table, F.col("vec_id") % 5 == 0, k=4, block=16).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_top(rows, 4)
+
+
+@pytest.mark.parametrize("size", [1, 3, 4])
+def test_lists_go_on_from_block_to_block(size):
+    rng = np.random.default_rng(size)
+    v = np.floor(10.0**size * rng.normal(size=(700, 5))).astype(np.int64)
+    v[::3] = v[1] + rng.integers(0, 3, size=(234, 5))
+    ids, rows = rng.permutation(700), np.arange(700)
+    side = lambda at: {"v": v[at], "id": ids[at], "row": rows[at]}
+    asks = side(rows[:90])
+    best, tree = search.Best(90, 7), search.CoverTree(asks["v"])
+    for start in range(0, 700, 50):
+        data = side(rows[start : start + 50])
+        search.dual_search(tree, search.CoverTree(data["v"]), asks, data, best)
+    for a in range(90):
+        others = sorted((-int(v[a] @ v[b]), int(ids[b])) for b in range(700) if b != a)[:7]
+        assert list(zip((-best.score[a]).tolist(), best.id[a].tolist(), strict=True)) == others
+
+
+def test_every_point_is_in_one_leaf_within_reach():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(-99, 99, size=(300, 4)), np.full((200, 4), 7), rng.integers(-3, 3, size=(300, 4))])
+    tree = search.CoverTree(x)
+    assert sorted(np.concatenate([m for m in tree.members if m is not None]).tolist()) == list(range(800))
+    for centre, radius, below, children in zip(tree.centres, tree.radii, tree.below, tree.children, strict=True):
+        assert np.sqrt(((x[below] - x[centre]) ** 2).sum(1)).max() <= radius + 1e-6
+        assert not children or sorted(np.concatenate([tree.below[c] for c in children]).tolist()) == sorted(below.tolist())
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])]])
 def test_nothing_to_find(spark, rows):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
