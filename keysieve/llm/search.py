@@ -38,7 +38,9 @@ SCALE = 256
 BLOCK = 4096
 LEAF = 32
 BASE = 1.3
-CHUNK = 1024
+CHUNK = 2048
+#: Queries of a leaf at most, and of groups too small for a leaf of their own: each passes over the data in steps of its own.
+QUERY_LEAF, FEW = 256, 16
 #: Centres whose distances are worked out at once.
 CENTRES = 32
 #: Of one cell: components of its queries, which stay in memory, and of its data at most; products of components, about.
@@ -58,9 +60,12 @@ def usable(vector: Column) -> Column:
 
 
 class CoverTree:
-    """Leaves of a cover tree over the rows of ``x``, with every node's centre, radius and points."""
+    """Leaves of a cover tree over the rows of ``x``, with every node's centre, radius and points.
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF) -> None:
+    A leaf holds ``leaf`` points, or equal ones; children of ``few`` points or less share leaves.
+    """
+
+    def __init__(self, x: np.ndarray, leaf: int = LEAF, few: int = 1) -> None:
         self.x = x.astype(np.float64)
         self.centres: list[int] = []
         self.radii: list[float] = []
@@ -96,7 +101,7 @@ class CoverTree:
             singles: list[np.ndarray] = []
 
             def cover(own: np.ndarray, centre: int, away: np.ndarray, n: int = n, singles: list = singles) -> None:
-                if len(own) == 1:
+                if len(own) <= few:
                     singles.append(own)
                 else:
                     self.children[n].append(child := node(own, centre, away))
@@ -115,7 +120,7 @@ class CoverTree:
                         cover(points[near], int(points[j]), far[j][near])
                         left &= ~near
                 points = points[left]
-            # Vectors without neighbours share leaves, or each would be a node of its own.
+            # Vectors with few neighbours share leaves, or each would be a node of its own.
             lone = np.concatenate(singles) if singles else np.empty(0, dtype=np.int64)
             for start in range(0, len(lone), leaf):
                 own = lone[start : start + leaf]
@@ -156,6 +161,8 @@ class Best:
             # k others of these, besides the query itself, are better than what is below.
             low = np.maximum(low, np.partition(score.T, -k - 1, axis=1)[:, -k - 1])
         hits = np.flatnonzero(score >= low)
+        if not len(hits):
+            return
         of, at = np.divmod(hits, len(queries))
         new = score.reshape(-1)[hits].astype(np.int64)
         keep = (rows[of] != own[at]) & ~(full[at] & (new == last[at]) & (ids[of] >= last_id[at]))
@@ -315,7 +322,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
                     asked, cell = [], numbers[at]
                 arrays = _unpacked(sizes[at], width, batch.column("data")[at].as_buffer())
                 if asks[at]:
-                    asked.append((arrays, CoverTree(arrays["v"], 4 * LEAF), Best(sizes[at], k)))
+                    asked.append((arrays, CoverTree(arrays["v"], QUERY_LEAF, FEW), Best(sizes[at], k)))
                 elif asked:
                     tree = CoverTree(arrays["v"])
                     for q, q_tree, best in asked:

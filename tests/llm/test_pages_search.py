@@ -179,7 +179,7 @@ def test_lists_go_on_from_block_to_block(size):
     ids, rows = rng.permutation(700), np.arange(700)
     side = lambda at: {"v": v[at], "id": ids[at], "row": rows[at]}
     asks = side(rows[:90])
-    best, tree = search.Best(90, 7), search.CoverTree(asks["v"])
+    best, tree = search.Best(90, 7), search.CoverTree(asks["v"], 8, 2)
     for start in range(0, 700, 50):
         data = side(rows[start : start + 50])
         search.dual_search(tree, search.CoverTree(data["v"]), asks, data, best)
@@ -188,10 +188,11 @@ def test_lists_go_on_from_block_to_block(size):
         assert list(zip((-best.score[a]).tolist(), best.id[a].tolist(), strict=True)) == others
 
 
-def test_every_point_is_in_one_leaf_within_reach():
+@pytest.mark.parametrize(("leaf", "few"), [(32, 1), (8, 3), (256, 16)])
+def test_every_point_is_in_one_leaf_within_reach(leaf, few):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.integers(-99, 99, size=(300, 4)), np.full((200, 4), 7), rng.integers(-3, 3, size=(300, 4))])
-    tree = search.CoverTree(x)
+    tree = search.CoverTree(x, leaf, few)
     assert sorted(np.concatenate([m for m in tree.members if m is not None]).tolist()) == list(range(800))
     for centre, radius, below, children in zip(tree.centres, tree.radii, tree.below, tree.children, strict=True):
         assert np.sqrt(((x[below] - x[centre]) ** 2).sum(1)).max() <= radius + 1e-6
